@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from specforge.llm.quality import op2_quality
 from specforge.llm.simhash import op8_simhash
 
 QUERIES = {
+    "op2_quality": op2_quality,
     "op8_simhash": op8_simhash,
 }
 ORACLES: dict[str, str] = {}
