@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from specforge.llm.quality import op2_quality
+from specforge.llm.secrets import op10_secrets
 from specforge.llm.simhash import op8_simhash
 
 QUERIES = {
     "op2_quality": op2_quality,
     "op8_simhash": op8_simhash,
+    "op10_secrets": op10_secrets,
 }
 ORACLES: dict[str, str] = {}
