@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+from specforge.llm.mixing import op9_mixing
+from specforge.llm.packing import op5_packing
 from specforge.llm.quality import op2_quality
 from specforge.llm.secrets import op10_secrets
 from specforge.llm.simhash import op8_simhash
 
 QUERIES = {
     "op2_quality": op2_quality,
+    "op5_packing": op5_packing,
     "op8_simhash": op8_simhash,
+    "op9_mixing": op9_mixing,
     "op10_secrets": op10_secrets,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {}
