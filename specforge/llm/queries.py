@@ -7,11 +7,13 @@ from specforge.llm.mixing import op9_mixing
 from specforge.llm.packing import op5_packing
 from specforge.llm.quality import op2_quality
 from specforge.llm.secrets import op10_secrets
+from specforge.llm.sharding import op7_kd_sharding
 from specforge.llm.simhash import op8_simhash
 
 QUERIES = {
     "op2_quality": op2_quality,
     "op5_packing": op5_packing,
+    "op7_kd_sharding": op7_kd_sharding,
     "op8_simhash": op8_simhash,
     "op9_mixing": op9_mixing,
     "op10_secrets": op10_secrets,
