@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from specforge.llm.digests import op4_digests
 from specforge.llm.mixing import op9_mixing
 from specforge.llm.packing import op5_packing
 from specforge.llm.quality import op2_quality
@@ -12,6 +13,7 @@ from specforge.llm.simhash import op8_simhash
 
 QUERIES = {
     "op2_quality": op2_quality,
+    "op4_digests": op4_digests,
     "op5_packing": op5_packing,
     "op7_kd_sharding": op7_kd_sharding,
     "op8_simhash": op8_simhash,
