@@ -51,10 +51,13 @@ def new_path(spark: SparkSession, what: str) -> str:
     return path
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """Cut the lineage: write to the shared folder and read back.  A lost executor costs nothing that was written."""
+def written(df: DataFrame, what: str, parts: int | None = None) -> DataFrame:
+    """Cut the lineage: write to the shared folder and read back.  A lost executor costs nothing that was written.
+
+    parts: at most so many files, for tables of sums, so that their size on disk is that of their rows.
+    """
     path = new_path(df.sparkSession, what)
-    df.write.parquet(path)
+    (df.coalesce(parts) if parts else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

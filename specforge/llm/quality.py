@@ -123,7 +123,7 @@ def factored(g: DataFrame, means: list[Column], cov) -> DataFrame:
 def start(points: DataFrame) -> DataFrame:
     """Medians and median absolute deviations; the histograms behind exact percentiles hold rounded values only."""
     coarse = lambda c: F.round(c / 64.0)
-    mid = written(points.groupBy("_g").agg(F.count("*").alias("n"), *[(F.percentile(coarse(F.col(f"x{i}")), 0.5) * 64).alias(f"d{i}") for i in range(P)]), "medians")
+    mid = written(points.groupBy("_g").agg(F.count("*").alias("n"), *[(F.percentile(coarse(F.col(f"x{i}")), 0.5) * 64).alias(f"d{i}") for i in range(P)]), "medians", 4)
     off = points.join(mid.drop("n"), "_g").groupBy("_g")
     off = off.agg(*[(F.percentile(coarse(F.abs(F.col(f"x{i}") - F.col(f"d{i}"))), 0.5) * 64 * 1.4826).alias(f"a{i}") for i in range(P)])
     g = mid.join(off, "_g")
@@ -145,17 +145,17 @@ def verdicts(stats: DataFrame) -> DataFrame:
     passed = stats.where(~base_failed())
     key = F.xxhash64(F.coalesce(F.concat(F.lit("="), "lang"), F.lit("-")), F.coalesce(F.concat(F.lit("="), "source"), F.lit("-")))
     points = passed.select("_row", key.alias("_k"), *statistics())
-    sizes = written(points.groupBy("_k").agg(F.count("*").alias("_n")), "groups")
+    sizes = written(points.groupBy("_k").agg(F.count("*").alias("_n")), "groups", 4)
     group = F.when(F.col("_n") >= MIN_GROUP, F.col("_k")).otherwise(F.lit(0).cast("long"))
     points = written(points.join(sizes, "_k").select("_row", group.alias("_g"), *[f"x{i}" for i in range(P)]), "points")
-    model = written(start(points), "model")
+    model = written(start(points), "model", 4)
     rank = F.floor(F.log(F.col("d2") + 1e-9) * 64)
     for _ in range(STEPS):
         ranked = distances(points, model).withColumn("_q", rank)
-        edge = written(ranked.groupBy("_g").agg(F.percentile("_q", SHARE).alias("_edge")), "edge")
-        model = written(estimate(ranked.join(edge, "_g").where("_q <= _edge")), "model")
+        edge = written(ranked.groupBy("_g").agg(F.percentile("_q", SHARE).alias("_edge")), "edge", 4)
+        model = written(estimate(ranked.join(edge, "_g").where("_q <= _edge")), "model", 4)
     full = points.groupBy("_g").agg(F.count("*").alias("_all"))
-    return distances(points, model).join(written(full, "sizes"), "_g").select("_row", F.col("d2").alias("distance"), F.col("_all").alias("group_rows"))
+    return distances(points, model).join(written(full, "sizes", 4), "_g").select("_row", F.col("d2").alias("distance"), F.col("_all").alias("group_rows"))
 
 
 def judged(docs: DataFrame) -> DataFrame:
