@@ -4,17 +4,21 @@ from __future__ import annotations
 
 import corpus_pipeline
 from specforge.llm.digests import op4_digests
+from specforge.llm.language import op6_language
 from specforge.llm.mixing import op9_mixing
 from specforge.llm.packing import op5_packing
 from specforge.llm.quality import op2_quality
 from specforge.llm.secrets import op10_secrets
 from specforge.llm.sharding import op7_kd_sharding
 from specforge.llm.simhash import op8_simhash
+from specforge.llm.warc import op3_warc
 
 QUERIES = {
     "op2_quality": op2_quality,
+    "op3_warc": op3_warc,
     "op4_digests": op4_digests,
     "op5_packing": op5_packing,
+    "op6_language": op6_language,
     "op7_kd_sharding": op7_kd_sharding,
     "op8_simhash": op8_simhash,
     "op9_mixing": op9_mixing,
