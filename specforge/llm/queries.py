@@ -11,9 +11,11 @@ from specforge.llm.quality import op2_quality
 from specforge.llm.secrets import op10_secrets
 from specforge.llm.sharding import op7_kd_sharding
 from specforge.llm.simhash import op8_simhash
+from specforge.llm.substrings import op1_suffix_dedup
 from specforge.llm.warc import op3_warc
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_quality": op2_quality,
     "op3_warc": op3_warc,
     "op4_digests": op4_digests,
