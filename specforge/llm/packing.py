@@ -14,6 +14,7 @@ vocabulary file; strings of special tokens in a text are ordinary text.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -29,9 +30,11 @@ from specforge.llm.common import long_ids, small_batches, table, written
 CAPACITY = 2048
 END = 0
 #: Chunks of texts whose ids a worker remembers at most; then it forgets them all.
-REMEMBERED = 400_000
-#: White space runs with the word behind them.  No token of this vocabulary spans a change from a word to white space.
-CHUNK = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
+REMEMBERED = 300_000
+#: White space with the letters behind it, or with any other word.  No token of this vocabulary spans a change from a word to
+#: white space, nor one from letters to an ASCII character that isn't a letter.
+LATIN = "A-Za-z" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ((0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0x24F)))
+CHUNK = re.compile(rf"[ \n\t\r]*[{LATIN}]++(?![^\x00-\x7f])|[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 #: Other white space, which could join a run across chunks: such texts are tokenised whole.
 ODD_SPACE = (0x0B, 0x0C, 0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 ODD = re.compile("[" + "".join(map(chr, ODD_SPACE)) + "]")
@@ -43,6 +46,7 @@ class Ids:
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads of their own would only cost memory
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True
         self.forget()
