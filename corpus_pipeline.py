@@ -34,7 +34,7 @@ def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 2048 tokens."""
-    return packed(docs, vocabulary_path())
+    return packed(docs, vocabulary_path(), ranks=vocabulary_path("byte_bpe_50k.tiktoken"))
 
 
 STAGES = [
