@@ -6,5 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from specforge.plans import conformity_queries, document_queries, question_queries
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+for _part in (conformity_queries, document_queries, question_queries):
+    QUERIES |= _part.QUERIES
+    ORACLES |= _part.ORACLES
