@@ -99,7 +99,7 @@ def reclassified_columns(cells: DataFrame, first_rows: int = 100) -> DataFrame:
     """Of the first rows' cells (row_index, col, value): columns that hold versions, or domain codes and hardly a status."""
     n = normalize(F.col("value"))
     filled = cells.where((F.col("row_index") < first_rows) & (n != ""))
-    domain = F.forall(F.filter(F.transform(F.split(n, "/"), F.trim), lambda p: p != ""), lambda p: p.isin(*lexicon.DOMAIN_CODES))
+    domain = F.forall(F.filter(F.transform(F.split(n, "/"), lambda c: F.trim(c)), lambda p: p != ""), lambda p: p.isin(*lexicon.DOMAIN_CODES))
     stats = filled.groupBy("col").agg(
         F.count("*").alias("filled"),
         F.count_if(n.rlike(r"^([a-i]|v\d+)$")).alias("version_like"),
@@ -175,7 +175,7 @@ DOMAIN_OK = r"^(?:(?:" + "|".join(lexicon.DOMAIN_CODES) + r")\s*:\s*ok[\s,;.]*)+
 def is_domain_only(comment: Column) -> Column:
     """Comments that only assign domains, or say ok per domain."""
     n = normalize(comment)
-    parts = F.filter(F.transform(F.split(n, "/"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(n, "/"), lambda c: F.trim(c)), lambda p: p != "")
     return (F.size(parts) > 0) & F.forall(parts, lambda p: p.isin(*lexicon.DOMAIN_CODES)) | n.rlike(DOMAIN_OK)
 
 

@@ -83,7 +83,7 @@ def extract_requirements(docs: DataFrame) -> DataFrame:
 
 def inline_requirements(lines: DataFrame) -> DataFrame:
     """The part that needs no scan: table rows that begin with an identifier; first row of each identifier."""
-    cells = F.transform(F.split("line", r"\|"), F.trim)
+    cells = F.transform(F.split("line", r"\|"), lambda c: F.trim(c))
     rows = lines.withColumn("cells", cells).where(F.get("cells", F.lit(0)).rlike(r"^(?:REQ|REF|APP|GEN)(?:-[A-Z0-9_]+)*-\d+$") & (F.size("cells") >= 2))
     named = rows.select("doc_id", F.get("cells", F.lit(0)).alias("req_id"), F.get("cells", F.lit(1)).alias("text"), "line_no")
     return named.groupBy("doc_id", "req_id").agg(F.min_by("text", "line_no").alias("text"), F.min("line_no").alias("line_no"))

@@ -163,7 +163,7 @@ def state_machine(lines: DataFrame) -> DataFrame:
 def requirement_issues(lines: DataFrame) -> DataFrame:
     """(doc_id, line_no, issue) of table rows: several issues a row."""
     cells = F.split("line", r"\|")
-    rows = lines.withColumn("cells", F.transform(cells, F.trim)).where((F.size("cells") >= 3) & F.col("line").rlike(SHALL))
+    rows = lines.withColumn("cells", F.transform(cells, lambda c: F.trim(c))).where((F.size("cells") >= 3) & F.col("line").rlike(SHALL))
     desc, ref = F.get("cells", F.lit(1)), F.get("cells", F.lit(2))
     issues = F.array_compact(
         F.array(
