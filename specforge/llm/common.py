@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import json
 import os
 import tempfile
 import uuid
@@ -67,6 +68,13 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def local_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows as a DataFrame without Python on the executors (createDataFrame goes through a Python RDD)."""
+    names = [x.split()[0] for x in schema.split(", ")]
+    text = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
+    return spark.range(1).select(F.explode(F.from_json(F.lit(text), f"array<struct<{schema.replace(' ', ': ').replace(',:', ',')}>>")).alias("x")).select("x.*")
+
+
 def long_ids(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id as long and the named columns; other columns, whatever their names, are dropped."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *more)

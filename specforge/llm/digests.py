@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from specforge.llm.common import long_ids, table, written
+from specforge.llm.common import local_rows, long_ids, table, written
 
 #: Rows of a range, about; ranges at most (two levels of splitters).
 RANGE, LEVEL = 500, 128
@@ -98,7 +98,7 @@ def collided(docs: DataFrame, marked: DataFrame) -> DataFrame:
     differ = forms.groupBy("fp").agg(F.min("form").alias("least"), F.max("form").alias("greatest")).where("least <> greatest").select(F.col("fp").alias("_fp"))
     differ = written(differ, "collided")
     if not differ.limit(1).count():
-        return docs.sparkSession.createDataFrame([], "fp string, form string, part int")
+        return local_rows(docs.sparkSession, [], "fp string, form string, part int")
     distinct = forms.join(differ, F.col("fp") == F.col("_fp"), "left_semi").distinct()
     return written(distinct.withColumn("part", F.row_number().over(Window.partitionBy("fp").orderBy("form")) - 1), "parts")
 

@@ -19,7 +19,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from specforge.llm.common import long_ids, table, written
+from specforge.llm.common import local_rows, long_ids, table, written
 
 BINS = 1024
 #: Rows of a bucket in which places are ranked, about.
@@ -84,7 +84,7 @@ def medians(d: DataFrame, nodes: list[Node], whole) -> dict[int, tuple]:
         begin(n, DIMS[n.dim])
     while searched:
         rows = [(n.number, n.dim, len(n.fixed), *[*n.fixed, 0, 0, 0][:3], n.low, n.width) for n in searched.values()]
-        asked = spark.createDataFrame(rows, "_node long, dim int, depth int, f0 long, f1 long, f2 long, low long, width long")
+        asked = local_rows(spark, rows, "_node long, dim int, depth int, f0 long, f1 long, f2 long, low long, width long")
         own = F.element_at(F.array(*DIMS), F.col("dim") + 1)
         x = F.when(F.col("depth") == 0, own).when(F.col("depth") == 1, F.col(ORDER[0])).when(F.col("depth") == 2, F.col(ORDER[1])).otherwise(F.col(ORDER[2]))
         here = ((F.col("depth") < 1) | (own == F.col("f0"))) & ((F.col("depth") < 2) | (F.col(ORDER[0]) == F.col("f1"))) & ((F.col("depth") < 3) | (F.col(ORDER[1]) == F.col("f2")))
@@ -140,7 +140,7 @@ def kd_shards(docs: DataFrame, leaves: int | None = None, leaf_bytes: int | None
             break
         cuts = medians(d, splitting, whole)
         rows = [(k, *v) for k, v in cuts.items()]
-        cut = d.sparkSession.createDataFrame(rows, "_node long, dim int, v0 long, v1 long, v2 long, v3 long")
+        cut = local_rows(d.sparkSession, rows, "_node long, dim int, v0 long, v1 long, v2 long, v3 long")
         own = F.struct(F.element_at(F.array(*DIMS), F.col("dim") + 1).alias("a"), F.col(ORDER[0]).alias("b"), F.col(ORDER[1]).alias("c"), F.col(ORDER[2]).alias("d"))
         edge = F.struct(F.col("v0").alias("a"), F.col("v1").alias("b"), F.col("v2").alias("c"), F.col("v3").alias("d"))
         side = F.when(F.col("v0").isNull(), F.col("_node")).otherwise(F.col("_node") * 2 + (own >= edge).cast("long"))
@@ -151,7 +151,7 @@ def kd_shards(docs: DataFrame, leaves: int | None = None, leaf_bytes: int | None
         open_ = [Node(2 * n.number + k, (n.leaves // 2, n.leaves - n.leaves // 2)[k], 0) for n in splitting for k in (0, 1)]
     first = lambda n: n / 2 ** n.bit_length()  # noqa: E731  leaves from left to right
     names = [(n, k) for k, n in enumerate(sorted(done, key=first))]
-    shards = d.sparkSession.createDataFrame(names, "_node long, shard int")
+    shards = local_rows(d.sparkSession, names, "_node long, shard int")
     return slotted(d.join(F.broadcast(shards), "_node"))
 
 
