@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from specforge.llm.common import SPACE, table, written
+from specforge.llm.common import SPACE, local_rows, table, written
 
 BLOCK = 128
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -90,23 +90,25 @@ def schedule(spark: SparkSession, goal: list[float], blocks: list[int], block: i
 
     def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for c in batch.column(0).to_pylist():
+            for c, sources, befores in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 slot, source = drawn(c * chunk)
                 order = np.argsort(source, kind="stable")
                 grouped = source[order]
                 rank = np.empty(len(slot), np.int64)
                 rank[order] = np.arange(len(slot)) - np.searchsorted(grouped, grouped)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slot), c)), pa.array(source), pa.array(slot), pa.array(rank)], ["chunk", "source_index", "slot", "rank"])
+                known = np.argsort(sources)
+                rank += np.array(befores, np.int64)[known][np.searchsorted(np.array(sources)[known], source)]
+                number = sizes[source]
+                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(source), pa.array(rank % number), pa.array(rank // number)], ["slot", "source_index", "block", "round"])
 
+    sizes = np.array(blocks, np.int64)
     chunks = spark.range(-(-slots // chunk)) if slots else spark.range(0)
     counts = chunks.mapInArrow(counted, "chunk long, source_index long, n long")
     line = Window.partitionBy("source_index").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     before = written(counts.withColumn("before", F.coalesce(F.sum("n").over(line), F.lit(0))).drop("n"), "slots-before")
-    sizes = spark.createDataFrame([(k, int(n)) for k, n in enumerate(blocks)], "source_index long, blocks long")
-    found = chunks.mapInArrow(ranked, "chunk long, source_index long, slot long, rank long").join(before, ["chunk", "source_index"]).join(F.broadcast(sizes), "source_index")
-    rank = F.col("rank") + F.col("before")
-    found = found.select("slot", "source_index", F.pmod(rank, F.col("blocks")).alias("block"), F.floor(rank / F.col("blocks")).alias("round"))
-    return found.where(F.col("round") < MOST)
+    listed = F.sort_array(F.collect_list(F.struct("source_index", "before")))  # one entry a source
+    offsets = before.groupBy("chunk").agg(listed.alias("x")).select("chunk", F.col("x.source_index").alias("sources"), F.col("x.before").alias("befores"))
+    return offsets.mapInArrow(ranked, "slot long, source_index long, block long, round long").where(F.col("round") < MOST)
 
 
 def mixed(docs: DataFrame, key: tuple[str, ...] = ("doc_id",), block: int = BLOCK) -> DataFrame:
@@ -120,14 +122,15 @@ def mixed(docs: DataFrame, key: tuple[str, ...] = ("doc_id",), block: int = BLOC
     sizes = [int(r["size"]) for r in found]
     goal = targets(sizes)
     blocks = [max(1, -(-n // block)) for n in sizes]
-    known = spark.createDataFrame([(r.source, k, n, float(t)) for k, (r, n, t) in enumerate(zip(found, sizes, goal, strict=True))], "_s string, source_index long, source_size long, target double")
+    known = local_rows(spark, [(r.source, k, n, float(t)) for k, (r, n, t) in enumerate(zip(found, sizes, goal, strict=True))], "_s string, source_index long, source_size long, target double")
     placed = line.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "source")
     times = schedule(spark, goal, blocks, block).groupBy("source_index", "block").agg(F.count("*").alias("times"))
     last = F.floor((F.col("begin") + F.col("size") - 1) / block)
     first = F.floor(F.col("begin") / block)
     parts = placed.where("size > 0").select("_row", "source_index", "begin", "size", first.alias("first"), F.explode(F.sequence(first, last)).alias("block"))
     overlap = F.least(F.col("begin") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("begin"), F.col("block") * block)
-    got = parts.join(times, ["source_index", "block"]).groupBy("_row")
+    # the optimizer can't know how many slots a row of chunks becomes: no broadcast of them
+    got = parts.join(times.hint("merge"), ["source_index", "block"]).groupBy("_row")
     got = got.agg(F.sum(overlap * F.col("times")).alias("taken"), F.sum(F.when(F.col("block") == F.col("first"), F.col("times")).otherwise(0)).alias("copies"))
     none = F.lit(0).cast("long")
     return placed.join(got, "_row", "left").select(*key, "_row", "size", "source_size", "target", F.coalesce("taken", none).alias("taken"), F.coalesce("copies", none).alias("copies"))
