@@ -188,16 +188,16 @@ def spans_of(text: Column, rule: Rule, number: int) -> Column:
 
 
 def scanned(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The columns of docs and _spans: all spans by start, then rule."""
-    own = docs.columns
+    """(_doc, _spans): a row of docs as a struct, whatever its columns are called, and all spans by start, then rule."""
     some = written(candidates(docs, rules), "candidates")
-    joined = docs.withColumn("_text", F.coalesce("text", F.lit(""))).join(some.withColumnRenamed("key", "_key"), _key() == F.col("_key"), "left")
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.coalesce("text", F.lit("")).alias("_text"), _key().alias("_own"))
+    joined = held.join(some.withColumnRenamed("key", "_key"), F.col("_own") == F.col("_key"), "left")
     empty = F.array().cast("array<struct<start:long,rule:int,end:long>>")
     parts = []
     for k, rule in enumerate(rules):
         asked = F.coalesce(F.col(f"c{k}"), F.lit(False)) if f"c{k}" in some.columns else F.lit(True)
         parts.append(F.when(asked & F.col("_text").rlike(rule.pattern), spans_of(F.col("_text"), rule, k)).otherwise(empty))
-    return joined.select(*[docs[c] for c in own], F.array_sort(F.concat(*parts)).alias("_spans"))
+    return joined.select("_doc", F.array_sort(F.concat(*parts)).alias("_spans"))
 
 
 def told(spans: Column, rules: tuple[Rule, ...]) -> Column:
@@ -211,7 +211,7 @@ def secret_spans(docs: DataFrame) -> DataFrame:
     base = F.filter("_spans", lambda s: s["rule"] < len(BASE))
     count = lambda k: F.size(F.filter("_spans", lambda s: s["rule"] == k)).cast("long")
     return found.select(
-        "doc_id",
+        F.col("_doc.doc_id").alias("doc_id"),
         *[count(k).alias(f"n_{r.kind}") for k, r in enumerate(BASE)],
         F.sha2(told(base, RULES).cast("binary"), 256).alias("base_sha256"),
         told(F.col("_spans"), RULES).alias("spans"),
@@ -221,7 +221,7 @@ def secret_spans(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every span of a secret replaced by MASK; overlapping spans become one mask.  n_chars follows the text."""
     found = scanned(docs)
-    text, n = F.col("text"), F.col("n_chars")
+    text = F.col("_doc.text")
     first = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -237,9 +237,9 @@ def redact(docs: DataFrame) -> DataFrame:
         if c == "text":
             columns.append(F.col("_new").alias("text"))
         elif c == "n_chars":
-            columns.append(F.when(some, F.char_length("_new").cast("long")).otherwise(n).cast(dict(docs.dtypes)[c]).alias(c))
+            columns.append(F.when(some, F.char_length("_new").cast("long")).otherwise(F.col("_doc.n_chars")).cast(dict(docs.dtypes)[c]).alias(c))
         else:
-            columns.append(F.col(c))
+            columns.append(F.col(f"_doc.`{c}`"))
     return new.select(*columns)
 
 
