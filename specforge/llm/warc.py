@@ -52,7 +52,8 @@ def classed(pages: DataFrame) -> DataFrame:
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     p = p.withColumns({"_row": F.monotonically_increasing_id(), "digest": F.sha2(F.col("payload").cast("binary"), 256), "size": F.octet_length("payload").cast("long")})
-    keys = written(p.select("page_id", "_row", "digest", "size"), "page-keys")
+    p = written(p, "pages")  # row numbers are drawn once: drawn again over fewer columns they could fall otherwise
+    keys = p.select("page_id", "_row", "digest", "size")
     least = F.min(F.struct(F.coalesce("page_id", F.lit(LAST)).alias("id"), F.col("_row").alias("row")))
     groups = keys.where(F.col("size") >= LEAST).groupBy("digest").agg(least.alias("first"), F.count("*").alias("n")).where("n > 1")
     groups = written(groups.select("digest", F.col("first.row").alias("first")), "payload-groups")
