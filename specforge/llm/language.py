@@ -4,7 +4,7 @@ A profile is the list of the ``TOP`` most frequent n-grams of letters (one to th
 first.  A document gets the language whose profile its own is least out of place with: for every n-gram the difference
 of its ranks, or ``TOP`` if the language lacks it.
 
-Profiles are learned from at most ``SAMPLE`` labelled documents a language, those with the least hash of their number among the
+Profiles are learned from at most ``SAMPLE`` labelled documents a language, drawn by a hash of their number (the least first) among the
 documents that aren't held out; every whole text is classified.  At most ``MAX_LANGS`` languages are learned.
 
 Nulls and texts without letters are ``und`` with score 0; so is everything if nothing was learned.  Documents without a
@@ -66,8 +66,12 @@ def held_out() -> Column:
 def profiles(docs: DataFrame) -> pd.DataFrame:
     """lang, code, rank: the learned profiles, on the driver (at most MAX_LANGS * TOP rows)."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("long")), "doc_id")
-    chosen = written(labelled.select("doc_id", "lang").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= SAMPLE).select(F.col("doc_id").alias("_d")).distinct(), "sample", 4)
+    sizes = written(labelled.groupBy("lang").agg(F.count("*").alias("_size")).withColumnRenamed("lang", "_lang"), "languages", 4)
+    drawn = F.xxhash64(F.col("doc_id").cast("long"))
+    # a draw of about twice the sample first, so that a frequent language brings no more rows to its task than a rare one
+    near = labelled.select("doc_id", "lang").join(sizes, F.col("lang") == F.col("_lang")).where(F.pmod(drawn, F.lit(1 << 30)) <= F.lit(2.0 * SAMPLE * (1 << 30)) / F.col("_size"))
+    order = Window.partitionBy("lang").orderBy(F.pmod(drawn, F.lit(1 << 30)), "doc_id")
+    chosen = written(near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= SAMPLE).select(F.col("doc_id").alias("_d")).distinct(), "sample", 4)
     texts = labelled.join(chosen, F.col("doc_id") == F.col("_d"), "left_semi").select("lang", F.coalesce("text", F.lit("")).alias("text"))
 
     def learn(own: pd.DataFrame) -> pd.DataFrame:
