@@ -30,6 +30,6 @@ def status(index: DataFrame) -> DataFrame:
 def resolved_standards(wanted: DataFrame, standards: DataFrame) -> DataFrame:
     """(code, status, title) of wanted codes against (code, title, state): the exact code first, else the first that begins with it."""
     joined = wanted.join(standards.withColumnRenamed("code", "_code"), F.upper("_code").startswith(F.upper("code")), "left")
-    best = joined.groupBy("code").agg(F.min_by(F.struct("title", "state"), F.struct((F.upper("_code") != F.upper("code")).alias("far"), "_code")).alias("x"))
-    state = F.when(F.col("x").isNull(), "not_found").when(F.lower("x.state").isin("active", "cancelled", "draft"), F.lower("x.state")).otherwise("unknown_status")
+    best = joined.groupBy("code").agg(F.min_by(F.struct("title", "state", "_code"), F.struct((F.upper("_code") != F.upper("code")).alias("far"), "_code")).alias("x"))
+    state = F.when(F.col("x._code").isNull(), "not_found").when(F.lower("x.state").isin("active", "cancelled", "draft"), F.lower("x.state")).otherwise("unknown_status")
     return best.select("code", state.alias("status"), F.col("x.title").alias("title"))
