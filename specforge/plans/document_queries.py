@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from specforge import lexicon
 from specforge.fixtures import cte, fixture
 from specforge.functions import text as T
-from specforge.operators import chunking, lines, requirements, rules, scoring
+from specforge.operators import chunking, lines, reports, requirements, rules, scoring
 from specforge.plans.registry import found, quoted, registry, times
 
 QUERIES, ORACLES, query = registry()
@@ -298,3 +298,50 @@ def extract_requirements(spark, sf_dir):
 
 
 QUERIES["extract_requirements"] = extract_requirements
+
+
+# ---------------------------------------------------------------- reports
+@query(rf"""{S}, h AS (SELECT doc_id, line_no, 'template_placeholder' AS label FROM fx_spec_lines WHERE {found('line', PLACE)} UNION ALL SELECT doc_id, line_no, 'tbd_placeholder' FROM fx_spec_lines WHERE regexp_matches(line, '(?i)\bTBD\b')
+  UNION ALL SELECT doc_id, line_no, 'xxx_placeholder' FROM fx_spec_lines WHERE {found('line', XXX)})
+  SELECT doc_id, label, count(*) AS n, array_to_string(list_slice(list(line_no ORDER BY line_no), 1, 5), ',') AS first_lines FROM h GROUP BY doc_id, label""")
+def placeholder_places(spark, sf_dir):
+    d = reports.placeholder_places(spec(spark, sf_dir))
+    return d.withColumn("first_lines", F.array_join(F.col("first_lines").cast("array<string>"), ","))
+
+
+@query(f"""{S}, r AS (SELECT doc_id, list_transform(string_split(line, '|'), lambda x: trim(x)) AS c FROM fx_spec_lines WHERE len(string_split(line, '|')) >= 3 AND {found('line', SH)}),
+  q AS (SELECT doc_id, count(*) AS total, count(*) FILTER ({found('c[1]', rules.REQUIREMENT_ID)}) AS with_id, count(*) FILTER (c[3] NOT IN ('', 'N/A')) AS with_input, count(*) FILTER (length(c[2]) < 40) AS weak FROM r GROUP BY doc_id)
+  SELECT *, with_id / total AS id_share, with_input / total AS input_share FROM q""")
+def req_quality(spark, sf_dir):
+    return reports.requirement_quality(spec(spark, sf_dir))
+
+
+@query(f"""{H}, c AS (SELECT *, last_value(heading IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS section FROM h)
+  SELECT doc_id, section, count(*) FILTER ({IS_SHALL}) AS requirements, sum({times('line', PLACE)} + {times('line', TBD)})::BIGINT AS placeholders,
+    count(*) FILTER ({found('line', SH)} AND {found('line', SUBJ)}) AS issues FROM c WHERE section IS NOT NULL GROUP BY doc_id, section""")
+def section_summary(spark, sf_dir):
+    return reports.section_summary(spec(spark, sf_dir))
+
+
+@query(rf"""{S}, r AS (SELECT doc_id, line_no, list_transform(string_split(line, '|'), lambda x: trim(x)) AS c FROM fx_spec_lines),
+  i AS (SELECT doc_id, c[1] AS req_id, min(line_no) AS line_no FROM r WHERE regexp_matches(c[1], '^(?:REQ|REF|APP|GEN)(?:-[A-Z0-9_]+)*-\d+$') AND len(c) >= 2 GROUP BY doc_id, c[1])
+  SELECT doc_id, count(*) AS total, count(*) AS with_id, 0 AS without_id, array_to_string(list_slice(list(req_id ORDER BY line_no), 1, 10), ',') AS first_ids FROM i GROUP BY doc_id""")
+def matrix_stats(spark, sf_dir):
+    d = reports.matrix_stats(requirements.inline_requirements(spec(spark, sf_dir)))
+    return d.withColumn("first_ids", F.array_join("first_ids", ","))
+
+
+@query(f"""{COVER}, cv AS (SELECT doc_id, count(section)::DOUBLE / count(*) AS ratio, count(*) - count(section) AS missing FROM cover GROUP BY doc_id),
+  rs AS (SELECT doc_id, sum({times('line', PLACE)} + {times('line', VAR)} + {times('line', TBD)})::BIGINT AS residue, count(*) FILTER ({found('line', SH)} AND {found('line', SUBJ)}) AS subjective FROM fx_spec_lines GROUP BY doc_id),
+  w AS (SELECT *, {IS_SHALL} AS own, {TRACED} AS hit, max(CAST({TRACED} AS INT)) OVER x AS near, max(CAST({found('line', rules.REQUIREMENT_ID)} AS INT)) OVER x AS idn FROM fx_spec_lines WINDOW x AS (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING)),
+  t AS (SELECT doc_id, count(*) AS n, CASE WHEN count(*) FILTER (hit) > 0 THEN count(*) FILTER (hit) ELSE count(*) FILTER (near = 1) END / count(*) AS tr, count(*) FILTER (idn = 1) / count(*) AS ir FROM w WHERE own GROUP BY doc_id),
+  a AS (SELECT cv.doc_id, missing, least(1.0::DOUBLE, CASE WHEN ratio >= 0.95::DOUBLE THEN 0.9::DOUBLE + (ratio - 0.95::DOUBLE) * 2 WHEN ratio >= 0.80::DOUBLE THEN 0.6::DOUBLE + (ratio - 0.80::DOUBLE) * 2
+      WHEN ratio >= 0.60::DOUBLE THEN 0.3::DOUBLE + (ratio - 0.60::DOUBLE) * 1.5::DOUBLE ELSE ratio * 0.5::DOUBLE END) AS structure, {tiers('residue')} AS cleanliness,
+    least(n / 20.0::DOUBLE, 1.0::DOUBLE) * 0.5::DOUBLE + ir * 0.3::DOUBLE + tr * 0.2::DOUBLE AS requirements, 1.0::DOUBLE - CASE WHEN subjective > 0 THEN 0.15::DOUBLE ELSE 0.0::DOUBLE END - 0.05::DOUBLE AS writing_guide
+    FROM cv JOIN rs ON rs.doc_id = cv.doc_id JOIN t ON t.doc_id = cv.doc_id)
+  SELECT doc_id, missing, CAST(floor(structure * 1e6 + 0.5) AS BIGINT) AS structure, CAST(floor(cleanliness * 1e6 + 0.5) AS BIGINT) AS cleanliness, CAST(floor(requirements * 1e6 + 0.5) AS BIGINT) AS requirements,
+    CAST(floor(writing_guide * 1e6 + 0.5) AS BIGINT) AS writing_guide FROM a""")
+def v1_report(spark, sf_dir):
+    """Axes in millionths, so that the last digit of a double doesn't matter."""
+    d = reports.v1_report(spec(spark, sf_dir), rules.catalogue(spark))
+    return d.select("doc_id", "missing", *[F.floor(F.col(a) * 1e6 + 0.5).alias(a) for a in ("structure", "cleanliness", "requirements", "writing_guide")])
