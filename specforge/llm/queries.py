@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from specforge.llm import oracles
 from specforge.llm.digests import op4_digests
 from specforge.llm.language import op6_language
 from specforge.llm.mixing import op9_mixing
@@ -27,4 +28,4 @@ QUERIES = {
     "op10_secrets": op10_secrets,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_warc": oracles.WARC, "op10_secrets": oracles.SECRETS}
