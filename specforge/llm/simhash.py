@@ -123,10 +123,11 @@ def planes_of(lanes: np.ndarray) -> np.ndarray:
 def within(planes: np.ndarray, pivot: np.ndarray | None, radius: int) -> np.ndarray:
     """Words of lanes whose distance to the pivot is at most the radius (padding lanes aren't cleared).
 
-    Counter bit k of every lane lies in one word of counters[k]; the last is sticky.  Every eight planes, words in which all
-    lanes have more than 2**(bits-1)-1 differences or more are abandoned.
+    Counter bit k of every lane lies in one word of counters[k].  The last one is worth more than the radius and sticky, so a lane
+    that has passed it stays out whatever the lower bits go on to count.  Every eight planes, words in which all lanes are past
+    the radius are abandoned.
     """
-    bits = (radius + 1).bit_length()
+    bits = radius.bit_length() + 1
     counters = np.zeros((bits, planes.shape[1]), np.uint64)
     alive = np.arange(planes.shape[1])
     done = np.zeros(planes.shape[1], np.uint64)
