@@ -7,6 +7,7 @@ words whose lanes have all gone past the radius are abandoned.
 Keys.  For a radius r of 3 over 64 bits, six blocks are cut; two fingerprints at most 3 bits apart agree on three of the six
 whole blocks, so the 20 choices of three blocks as keys lose no pair.  For wide fingerprints of five-word shingles keys are
 bands of minima of shingle hashes (a pair of similarity 0.8 shares one of 16 bands of 4 with probability 0.9998).
+For near-dedup the radius only finds candidates; their sets of shingles decide.
 
 Only distinct fingerprints are compared, so exact copies cost nothing; a large group is walked from neighbour to
 neighbour and a fingerprint that has been reached isn't compared again, so a dense group costs little over its size and
@@ -84,14 +85,15 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def wide_fingerprints(docs: DataFrame, lanes: int = 4, bands: int = 16, rows: int = 4) -> DataFrame:
-    """(doc_id, fp, n, keys): fingerprint of lanes*64 bits over five-word shingles, their number, and its band keys."""
+    """(doc_id, node, fp, n, keys): digest of the set of five-word shingles, its fingerprint of lanes*64 bits, size and band keys."""
     small_batches(docs.sparkSession)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, sizes, keys = [], [], []
+            nodes, fps, sizes, keys = [], [], [], []
             for text in text_bytes(batch.column(1)):
                 hashes = np.unique(shingle_hashes(text, 5))
+                nodes.append(set_digest(hashes))
                 fps.append(b"".join(majority(remix(hashes, k)).to_bytes(8, "little") for k in range(lanes)))
                 sizes.append(len(hashes))
                 if len(hashes):
@@ -103,11 +105,29 @@ def wide_fingerprints(docs: DataFrame, lanes: int = 4, bands: int = 16, rows: in
                 else:
                     keys.append([0])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(fps, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "fp", "n", "keys"],
+                [batch.column(0), pa.array(nodes, pa.binary()), pa.array(fps, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+                ["doc_id", "node", "fp", "n", "keys"],
             )
 
-    return long_ids(docs, "text").mapInArrow(make, "doc_id long, fp binary, n long, keys array<long>")
+    return long_ids(docs, "text").mapInArrow(make, "doc_id long, node binary, fp binary, n long, keys array<long>")
+
+
+def set_digest(hashes: np.ndarray) -> bytes:
+    """XXH128 of a sorted set of shingle hashes: documents with the same shingles are one node."""
+    return xxhash.xxh3_128_digest(hashes.astype("<u8").tobytes())
+
+
+def shingle_sets(docs: DataFrame) -> DataFrame:
+    """(node, shingles): the hashes of the five-word shingles of every row, sorted and distinct."""
+    small_batches(docs.sparkSession)
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, 5)) for t in text_bytes(batch.column(0))]
+            made = pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([set_digest(x) for x in sets], pa.binary()), made], ["node", "shingles"])
+
+    return docs.select("text").mapInArrow(make, "node binary, shingles array<long>")
 
 
 # ---------------------------------------------------------------- bit-sliced comparison
@@ -207,6 +227,28 @@ def group_links(starts: np.ndarray, ends: np.ndarray, lanes: np.ndarray, radius:
     return np.concatenate(links) if links else np.empty((0, 2), np.int64)
 
 
+def crossing(starts: np.ndarray, ends: np.ndarray, lanes: np.ndarray, radius: int, sizes: np.ndarray, labels: np.ndarray) -> Iterator[np.ndarray]:
+    """All pairs within the radius and of fitting sizes that have different labels, within runs [start, end) of rows that share a key."""
+    made, n = [], 0
+    for s, e in zip(starts, ends, strict=True):
+        if (labels[s:e] == labels[s]).all():
+            continue
+        planes = planes_of(lanes[s:e])
+        for at in range(s, e - 1):
+            near = lanes_set(within(planes, lanes[at], radius), e - s)
+            near[: at - s + 1] = False
+            near &= alike(sizes[at], sizes[s:e]) & (labels[s:e] != labels[at])
+            if near.any():
+                found = np.flatnonzero(near) + s
+                made.append(np.stack([np.full(len(found), at), found], 1))
+                n += len(found)
+                if n > 50_000:
+                    yield np.concatenate(made)
+                    made, n = [], 0
+    if made:
+        yield np.concatenate(made)
+
+
 def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Sets of these sizes can have a similarity of 0.8."""
     return 10 * np.minimum(a, b) >= 8 * np.maximum(a, b)
@@ -232,10 +274,13 @@ def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def linked(keyed: DataFrame, radius: int, width: int) -> DataFrame:
-    """(a, b) links between fingerprints among rows (key, fp[, n]) that share a key; fp is a long or binary of width words."""
+    """(a, b) links between fingerprints among rows (key, fp) that share a key; fp is a long or binary of width words.
+
+    Rows (key, fp, n, node) give (key, a, b) links between nodes, a forest of every key; rows (key, fp, n, node, label) all pairs
+    of nodes with different labels.
+    """
     wide = dict(keyed.dtypes)["fp"] == "binary"
-    sized = "n" in keyed.columns
-    kind = pa.binary() if wide else pa.int64()
+    sized, labelled = "n" in keyed.columns, "label" in keyed.columns
 
     def lanes_of(column: pa.Array) -> np.ndarray:
         if wide:
@@ -245,37 +290,49 @@ def linked(keyed: DataFrame, radius: int, width: int) -> DataFrame:
     def numbers_of(column: pa.Array) -> np.ndarray:
         return column.to_numpy(zero_copy_only=False)
 
+    def bytes_of(column: pa.Array) -> np.ndarray:
+        return np.array(column.to_pylist(), object)
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
             if not len(batch):
                 continue
             key = numbers_of(batch.column(0))
-            now = (key, lanes_of(batch.column(1)), numbers_of(batch.column(2)) if sized else None)
+            now = (key, lanes_of(batch.column(1)))
+            if sized:
+                now += (numbers_of(batch.column(2)), *(bytes_of(c) for c in batch.columns[3:]))
             if key[-1] == key[0] and (not held or held[-1][0][-1] == key[0]):
                 held.append(now)  # one long run goes on
                 continue
             edge = int(np.searchsorted(key, key[-1]))
-            held.append(tuple(x if x is None else x[:edge] for x in now))
+            held.append(tuple(x[:edge] for x in now))
             yield from flush(held)
-            held = [tuple(x if x is None else x[edge:] for x in now)]
+            held = [tuple(x[edge:] for x in now)]
         yield from flush(held)
 
     def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         if not held or not sum(len(x[0]) for x in held):
             return
-        key, lanes = (np.concatenate([x[i] for x in held]) for i in (0, 1))
-        sizes = np.concatenate([x[2] for x in held]) if sized else None
+        key, lanes, *more = (np.concatenate(x) for x in zip(*held, strict=True))
         cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
         starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(key)]))
-        links = group_links(starts, ends, lanes, radius, sizes)
-        if len(links):
-            sides = [lanes[links[:, i]] for i in (0, 1)]
-            made = [pa.array([x.tobytes() for x in s], kind) if wide else pa.array(np.ascontiguousarray(s[:, 0]).view(np.int64)) for s in sides]
-            yield pa.RecordBatch.from_arrays(made, ["a", "b"])
+        if labelled:
+            found = crossing(starts, ends, lanes, radius, more[0], more[2])
+        else:
+            found = iter([group_links(starts, ends, lanes, radius, more[0] if sized else None)])
+        for links in found:
+            if not len(links):
+                continue
+            if sized:
+                sides = [pa.array(more[1][links[:, i]].tolist(), pa.binary()) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(key[links[:, 0]]), *sides], ["key", "a", "b"])
+            else:
+                sides = [lanes[links[:, i]] for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[:, 0]).view(np.int64)) for x in sides], ["a", "b"])
 
-    out = "binary" if wide else "long"
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(compare, f"a {out}, b {out}")
+    out = "key long, a binary, b binary" if sized else "a long, b long"
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(compare, out)
 
 
 def block_keys(fps: DataFrame) -> DataFrame:
@@ -339,18 +396,51 @@ def simhash_components(docs: DataFrame, radius: int = 3) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def near_dedup(docs: DataFrame, radius: int = 48) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(a, b, good) of distinct pairs of nodes: whether their sets of shingles have a similarity of 0.8; firsts are (node, doc_id)."""
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = written(nodes.join(firsts, "node").select("node", "doc_id"), "paired")
+    ids = wanted.select(F.col("doc_id").alias("_id")).distinct()
+    chosen = docs.join(ids, docs.doc_id.cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    sets = written(shingle_sets(chosen).join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    d = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("s")), "a")
+    d = d.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("t")), "b")
+    inter = F.size(F.array_intersect("s", "t"))
+    return written(d.select("a", "b", (10 * inter >= 8 * (F.size("s") + F.size("t") - inter)).alias("good")), "verified")
+
+
+def near_links(docs: DataFrame, worded: DataFrame, radius: int) -> DataFrame:
+    """(a, b) links between sets of shingles (nodes) that are alike at 0.8; all pairs under a key and the radius are linked or joined by links.
+
+    First a forest of every key is verified.  Where one of its links fails, whoever it reached may have a true link elsewhere in
+    the key, so there all pairs that the verified links haven't joined are verified as well.
+    """
+    distinct = written(worded.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys")), "nodes")
+    firsts = distinct.select("node", "doc_id")
+    keyed = distinct.select(F.explode("keys").alias("key"), "fp", "n", "node")
+    ordered = lambda d: d.select("key", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    tried = written(ordered(linked(keyed, radius, 4)), "tried")
+    checked = verified(tried.select("a", "b").distinct(), docs, firsts)
+    good = checked.where("good").select("a", "b")
+    open_keys = written(tried.join(checked.where("not good"), ["a", "b"]).select("key").distinct(), "open")
+    roots = written(components(good), "roots").withColumnRenamed("root", "label")
+    again = keyed.join(open_keys, "key", "left_semi").join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
+    again = again.select("key", "fp", "n", "node", F.coalesce("label", "node").alias("label"))
+    more = ordered(linked(again, radius, 4)).select("a", "b").distinct().join(checked, ["a", "b"], "left_anti")
+    return good.union(verified(written(more, "more"), docs, firsts).where("good").select("a", "b"))
+
+
+def near_dedup(docs: DataFrame, radius: int = 60) -> DataFrame:
     """All columns of the rows that stay: one row of each group of documents alike at 0.8 over five-word shingles.
 
-    A group stays as its smallest doc_id.  Fingerprints have 256 bits; a similarity of 0.8 lies near 37 differing bits, and the
-    radius covers the spread.  Two documents whose numbers of shingles rule 0.8 out aren't linked.  Texts without words are
-    left alone.  Of repeated rows of one doc_id the first of the ordered rows stays.
+    A group stays as its smallest doc_id.  Candidates share a band key and differ in at most ``radius`` of 256 bits: a similarity of
+    0.8 lies near 37, with a deviation under 6.  A candidate is linked only if its sets of shingles (64-bit hashes) have a similarity
+    of 0.8.  Texts without words are left alone.  Of repeated rows of one doc_id the first of the ordered rows stays.
     """
     marked = written(wide_fingerprints(docs), "wide")
     worded = marked.where("n > 0")
-    distinct = worded.groupBy("fp", "n").agg(F.first("keys").alias("keys"))
-    links = linked(distinct.select(F.explode("keys").alias("key"), "fp", "n"), radius, 4)
-    found = with_components(worded.select("doc_id", "fp"), links)
+    links = near_links(docs, worded, radius)
+    found = with_components(worded.select("doc_id", F.col("node").alias("fp")), links)
     gone = written(found.where("component_id <> doc_id").select("doc_id").distinct(), "gone")
     kept = docs.join(gone.withColumnRenamed("doc_id", "_gone"), docs.doc_id.cast("long") == F.col("_gone"), "left_anti")
     again = marked.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()

@@ -101,3 +101,49 @@ def test_near_dedup_recall(spark):
     ids = {r.doc_id for r in S.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(2 * k in ids for k in range(120))
     assert sum(2 * k + 1 not in ids for k in range(120)) >= 0.95 * wanted > 50
+
+
+def with_similarity(rng, shared, own):
+    """Two texts of five-word shingles of which `shared` are common and `own` differ on each side."""
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    common = words(shared + 4)
+    return " ".join(common + words(own)), " ".join(common + words(own))
+
+
+def test_near_dedup_decides_by_shingles(spark):
+    """Pairs just above 0.8 go, pairs just below stay, whatever their fingerprints."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(100):
+        a, b = with_similarity(rng, 242, 30) if k < 50 else with_similarity(rng, 230, 30)  # 242/302 = 0.801, 230/290 = 0.793
+        rows += [(2 * k, a), (2 * k + 1, b)]
+    ids = {r.doc_id for r in S.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(2 * k in ids for k in range(100))
+    assert all(2 * k + 1 in ids for k in range(50, 100))
+    assert sum(2 * k + 1 not in ids for k in range(50)) >= 49
+
+
+def test_failed_candidates_hide_no_links(spark):
+    """In a crowd of candidates under 0.8 every true pair is found, though a forest of the crowd needn't hold it."""
+    rng = np.random.default_rng(6)
+    base = [f"w{x}" for x in rng.integers(0, 10**9, 300)]
+    texts = []
+    for _ in range(40):
+        words = list(base)
+        for at in rng.choice(60, 7, replace=False) * 5:
+            words[at] = f"c{rng.integers(0, 10**9)}"
+        twin = list(words)
+        twin[150] = "twin"
+        texts += [words, twin]
+    sets = [{tuple(x[i : i + 5]) for i in range(296)} for x in texts]
+    top = list(range(len(texts)))
+    for _ in texts:  # least numbers spread along true links
+        for a in range(len(texts)):
+            for b in range(len(texts)):
+                if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
+                    top[a] = min(top[a], top[b])
+        if all(top[t] == t for t in top):
+            break
+    rows = [(k, " ".join(x)) for k, x in enumerate(texts)]
+    ids = {r.doc_id for r in S.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert ids == set(top) and 30 <= len(ids) < 60
