@@ -10,8 +10,8 @@ number of rounded values, combined before any exchange, so a group with a third
 
 Nulls: a null text has no words (and fails the base rules); null languages and sources are groups like any other.  Groups
 under ``MIN_GROUP`` rows that pass the base rules share one estimate; if together they are under it as well, the method
-rejects none of them.  Repeated rows are separate rows.  Variances have floors (``FLOORS``), since a statistic that is zero
-nearly everywhere would otherwise make the rare small value an outlier.
+rejects none of them.  Repeated rows are separate rows.  Floors (``FLOORS``) are added to the variances, since a statistic that is
+zero nearly everywhere would otherwise make the rare small value an outlier, and since the sum is regular whatever the covariance.
 """
 
 from __future__ import annotations
@@ -32,8 +32,8 @@ UNIT = 4096.0
 FLOORS = (0.5, 0.4, 0.06, 0.5, 0.12)
 #: Makes the covariance of the nearest 75 % of five normal variables that of all of them.
 CONSISTENCY = 1.41
-#: Squared distance above which a document is rejected (a normal vector lies above it with a probability under 1e-10).
-CUTOFF = 60.0
+#: Squared distance above which a document is rejected: the 0.999 quantile of chi-square with 5 degrees of freedom.
+CUTOFF = 20.515
 P = 5
 
 
@@ -101,7 +101,7 @@ def statistics() -> list[Column]:
 
 
 def estimate(points: DataFrame) -> DataFrame:
-    """Per group _g: mean m0.. and lower Cholesky factor l00.. of the covariance, its diagonal raised to the floors."""
+    """Per group _g: mean m0.. and lower Cholesky factor l00.. of the covariance with the floors added to its diagonal."""
     big = lambda c: c.cast("decimal(20,0)")
     sums = [F.sum(big(F.col(f"x{i}"))).cast("double").alias(f"s{i}") for i in range(P)]
     sums += [F.sum(big(F.col(f"x{i}") * F.col(f"x{j}"))).cast("double").alias(f"s{i}{j}") for i in range(P) for j in range(i + 1)]

@@ -71,3 +71,16 @@ def test_odd_tables(repeated, none, docs):
     assert Q.judged(repeated).count() == repeated.count()
     kept = Q.quality_filter(docs)
     assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
+
+
+def test_moderate_outliers_go(spark):
+    """Junk between words lies past the 0.999 quantile (20.5), though not far past it."""
+    import random
+
+    rng = random.Random(2)
+    words = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+    texts = [" ".join(words(rng.randint(30, 200))) for _ in range(120)] + [" ".join(w + "|" for w in words(80)) for _ in range(3)]
+    d = spark.createDataFrame([(k, t, "en", "a") for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in Q.judged(d).collect()}
+    assert all(20.6 < got[k].distance < 60 and not got[k].kept for k in range(120, 123))
+    assert all(got[k].kept for k in range(120))
