@@ -84,7 +84,7 @@ def conversation_intent(spark, sf_dir):
 
 # ---------------------------------------------------------------- retrieval
 def paragraphs(spark, sf_dir):
-    c = chunking.by_paragraphs(spark.read.parquet(f"{sf_dir}/documents.parquet"), max_tokens=10**9)
+    c = chunking.by_paragraphs(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     key = F.concat_ws("-", F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lpad(F.col("chunk_id").cast("string"), 6, "0"))
     return c.select(key.alias("chunk_key"), F.col("doc_id").cast("string").alias("file_name"), "chunk_id", "section", "text")
 

@@ -208,3 +208,15 @@ def test_header_roles(spark):
     assert [(r.header_row, r.score) for r in h.collect()] == [(1, 2)]
     roles = {r.role: r.cols for r in conformity.column_roles(d, h.drop("score")).collect()}
     assert roles == {"req_id": [0], "conformity": [1], "comment": [2]}
+
+
+def test_queries_chunk_at_the_production_limit(spark, tmp_path):
+    """Both callers flush before 6000 estimated tokens; three paragraphs of 2000 fit exactly, a longer one stands alone."""
+    from specforge.plans import document_queries, question_queries
+
+    own = {1: ["a" * 4000] * 7, 2: ["b" * 13000, "c", "d" * 11998, "e"], 3: ["f"] * 7}
+    spark.createDataFrame([(k, "\n".join(p)) for k, p in own.items()], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = {(1, 0): own[1][:3], (1, 1): own[1][3:6], (1, 2): own[1][6:], (2, 0): own[2][:1], (2, 1): own[2][1:3], (2, 2): own[2][3:], (3, 0): own[3][:5], (3, 1): own[3][5:]}
+    want = {k: " ".join(p) for k, p in want.items()}
+    assert {(r.doc_id, r.chunk_id): r.text for r in document_queries.chunk_paragraphs(spark, str(tmp_path)).collect()} == want
+    assert {(int(r.file_name), r.chunk_id): r.text for r in question_queries.paragraphs(spark, str(tmp_path)).collect()} == want
