@@ -137,10 +137,18 @@ def mixed(docs: DataFrame, key: tuple[str, ...] = ("doc_id",), block: int = BLOC
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
-    """docs' columns: every document as often as the mix takes its first word, so that whole documents meet the targets."""
-    counts = written(mixed(docs.select("doc_id", "text", "source")).groupBy("doc_id").agg(F.max("copies").alias("_copies")), "copies")
-    joined = docs.join(counts.withColumnRenamed("doc_id", "_id").where("_copies > 0"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    return joined.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    """docs' columns: every document as often as the mix takes its first word, so that whole documents meet the targets.
+
+    Rows are written once as structs with a number, so that repeated rows, repeated or null doc_ids and columns of any name are
+    documents of their own.  The copies meet them in a merge join at every size: each text is shuffled once.
+    """
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    held = written(docs.select(whole.alias("_doc"), F.monotonically_increasing_id().alias("_key")), "held")
+    lean = held.select("_key", *[F.col(f"_doc.{c}").alias(c) for c in ("doc_id", "text", "source")])
+    copies = written(mixed(lean, ("_key",)).where("copies > 0").select("_key", "copies"), "copies")
+    joined = held.join(copies.hint("merge"), "_key")
+    times = F.sequence(F.lit(1).cast("long"), F.col("copies"))
+    return joined.select("_doc", F.explode(times).alias("_time")).select(*[F.col(f"_doc.`{c}`").alias(c) for c in docs.columns])
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
