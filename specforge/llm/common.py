@@ -10,7 +10,8 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space of the contracts' word pattern ``[^\x20\x09-\x0D]+``, as a Java character class.
@@ -24,9 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.  Only a local master may do without it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
         found = os.path.join(tempfile.gettempdir(), f"specforge-{os.getuid()}")
     return found.rstrip("/")
 
@@ -62,6 +65,48 @@ def written(df: DataFrame, what: str, parts: int | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def placed(docs: DataFrame) -> DataFrame:
+    """(_doc, _file, _row): rows of docs as structs, whatever their columns are called, and the place of each.
+
+    A place is the file (a hash of its path) and the row's index there, so it is the same at every reading and costs no pass over
+    the texts.  Rows that don't come straight from files are written first.
+    """
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
+    try:
+        if "_metadata" in docs.columns:
+            raise AnalysisException("a column hides the files' own")
+        return docs.select(whole, *_places())
+    except AnalysisException:
+        return written(docs.select(whole), "placed").select("_doc", *_places())
+
+
+def _places() -> list[Column]:
+    return [F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
+
+
+PLACE = ["_file", "_row"]
+
+
+def unplaced(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """docs' columns of placed rows."""
+    return rows.select(*[F.col(f"_doc.`{c}`").alias(c) for c in docs.columns])
+
+
+def sums_before(counts: DataFrame, by: str, bucket: str, n: str, wide: int = 1024) -> DataFrame:
+    """counts (by, bucket, n) with _before, the sum of n over the earlier buckets of its group.
+
+    Sums run within `wide` buckets and then over such runs, so a group of any size is no single ordered partition.
+    """
+    d = counts.withColumn("_run", F.floor(F.col(bucket) / wide))
+    inner = Window.partitionBy(by, "_run").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("_in", F.coalesce(F.sum(n).over(inner), F.lit(0)))
+    outer = Window.partitionBy("_by").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    runs = d.groupBy(F.col(by).alias("_by"), F.col("_run").alias("_of")).agg(F.sum(n).alias("_sum"))
+    runs = runs.withColumn("_start", F.coalesce(F.sum("_sum").over(outer), F.lit(0)))
+    joined = d.join(runs, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_run") == F.col("_of")))
+    return joined.withColumn("_before", F.col("_start") + F.col("_in")).drop("_run", "_in", "_by", "_of", "_sum", "_start")
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound what a Python worker holds at once: Arrow batches of at most so many rows."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != rows:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from specforge.llm.common import SPACE, local_rows, table, written
+from specforge.llm.common import PLACE, SPACE, local_rows, placed, sums_before, table, unplaced, written
 
 BLOCK = 128
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -54,20 +54,19 @@ def targets(sizes: list[int], share: float = SHARE, weights: tuple[float, ...] =
 
 
 def laid(docs: DataFrame, key: list[str]) -> DataFrame:
-    """key columns, _row, source, size and begin, the place of the first word on the source's line of shuffled documents."""
+    """key columns, _number, source, size and begin, the place of the first word on the source's line of shuffled documents."""
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(f"[^{SPACE}]+")).cast("long")
     source = F.col("source").cast("string").alias("source")
-    sized = docs.select(*key, source, size.alias("size"), F.xxhash64(F.lit("mix"), F.col("doc_id").cast("long")).alias("_h"), F.monotonically_increasing_id().alias("_row"))
+    sized = docs.select(*key, source, size.alias("size"), F.xxhash64(F.lit("mix"), F.col("doc_id").cast("long")).alias("_h"), F.monotonically_increasing_id().alias("_number"))
     sized = written(sized, "sized")
     buckets = max(1, -(-sized.count() // BUCKET))
     sized = sized.withColumn("_b", F.pmod(F.xxhash64("_h"), F.lit(buckets)))
-    line = Window.partitionBy("source").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    before = sized.groupBy("source", "_b").agg(F.sum("size").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(line), F.lit(0)))
+    before = sums_before(sized.groupBy("source", "_b").agg(F.sum("size").alias("_n")), "source", "_b", "_n")
     before = written(before.drop("_n").withColumnsRenamed({"source": "_s", "_b": "_c"}), "before")
-    own = Window.partitionBy("source", "_b").orderBy("_h", "_row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = Window.partitionBy("source", "_b").orderBy("_h", "_number").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     within = sized.withColumn("_upto", F.sum("size").over(own))
     same = F.col("source").eqNullSafe(F.col("_s")) & (F.col("_b") == F.col("_c"))
-    return within.join(before, same).select(*key, "_row", "source", "size", (F.col("_before") + F.col("_upto") - F.col("size")).alias("begin"))
+    return within.join(before, same).select(*key, "_number", "source", "size", (F.col("_before") + F.col("_upto") - F.col("size")).alias("begin"))
 
 
 def schedule(spark: SparkSession, goal: list[float], blocks: list[int], block: int) -> DataFrame:
@@ -104,15 +103,15 @@ def schedule(spark: SparkSession, goal: list[float], blocks: list[int], block: i
     sizes = np.array(blocks, np.int64)
     chunks = spark.range(-(-slots // chunk)) if slots else spark.range(0)
     counts = chunks.mapInArrow(counted, "chunk long, source_index long, n long")
-    line = Window.partitionBy("source_index").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    before = written(counts.withColumn("before", F.coalesce(F.sum("n").over(line), F.lit(0))).drop("n"), "slots-before")
+    counts = written(counts, "slot-counts")
+    before = written(sums_before(counts, "source_index", "chunk", "n").drop("n").withColumnRenamed("_before", "before"), "slots-before")
     listed = F.sort_array(F.collect_list(F.struct("source_index", "before")))  # one entry a source
     offsets = before.groupBy("chunk").agg(listed.alias("x")).select("chunk", F.col("x.source_index").alias("sources"), F.col("x.before").alias("befores"))
     return offsets.mapInArrow(ranked, "slot long, source_index long, block long, round long").where(F.col("round") < MOST)
 
 
-def mixed(docs: DataFrame, key: tuple[str, ...] = ("doc_id",), block: int = BLOCK) -> DataFrame:
-    """key columns, _row, size, source_size, target, taken (words, repeats counted) and copies (takings of the first word)."""
+def mixed(docs: DataFrame, key: list[str] | tuple[str, ...] = ("doc_id",), block: int = BLOCK) -> DataFrame:
+    """key columns, _number, size, source_size, target, taken (words, repeats counted) and copies (takings of the first word)."""
     spark, key = docs.sparkSession, list(key)
     line = written(laid(docs, key), "line")
     found = line.groupBy("source").agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
@@ -123,32 +122,30 @@ def mixed(docs: DataFrame, key: tuple[str, ...] = ("doc_id",), block: int = BLOC
     goal = targets(sizes)
     blocks = [max(1, -(-n // block)) for n in sizes]
     known = local_rows(spark, [(r.source, k, n, float(t)) for k, (r, n, t) in enumerate(zip(found, sizes, goal, strict=True))], "_s string, source_index long, source_size long, target double")
-    placed = line.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "source")
+    lined = line.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "source")
     times = schedule(spark, goal, blocks, block).groupBy("source_index", "block").agg(F.count("*").alias("times"))
     last = F.floor((F.col("begin") + F.col("size") - 1) / block)
     first = F.floor(F.col("begin") / block)
-    parts = placed.where("size > 0").select("_row", "source_index", "begin", "size", first.alias("first"), F.explode(F.sequence(first, last)).alias("block"))
+    parts = lined.where("size > 0").select("_number", "source_index", "begin", "size", first.alias("first"), F.explode(F.sequence(first, last)).alias("block"))
     overlap = F.least(F.col("begin") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("begin"), F.col("block") * block)
     # the optimizer can't know how many slots a row of chunks becomes: no broadcast of them
-    got = parts.join(times.hint("merge"), ["source_index", "block"]).groupBy("_row")
+    got = parts.join(times.hint("merge"), ["source_index", "block"]).groupBy("_number")
     got = got.agg(F.sum(overlap * F.col("times")).alias("taken"), F.sum(F.when(F.col("block") == F.col("first"), F.col("times")).otherwise(0)).alias("copies"))
     none = F.lit(0).cast("long")
-    return placed.join(got, "_row", "left").select(*key, "_row", "size", "source_size", "target", F.coalesce("taken", none).alias("taken"), F.coalesce("copies", none).alias("copies"))
+    return lined.join(got, "_number", "left").select(*key, "_number", "size", "source_size", "target", F.coalesce("taken", none).alias("taken"), F.coalesce("copies", none).alias("copies"))
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
     """docs' columns: every document as often as the mix takes its first word, so that whole documents meet the targets.
 
-    Rows are written once as structs with a number, so that repeated rows, repeated or null doc_ids and columns of any name are
-    documents of their own.  The copies meet them in a merge join at every size: each text is shuffled once.
+    Copies are known by the place of their row, so repeated rows, repeated or null doc_ids and columns of any name are documents of
+    their own.  They meet the documents in a merge join at every size: each text is shuffled once.
     """
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    held = written(docs.select(whole.alias("_doc"), F.monotonically_increasing_id().alias("_key")), "held")
-    lean = held.select("_key", *[F.col(f"_doc.{c}").alias(c) for c in ("doc_id", "text", "source")])
-    copies = written(mixed(lean, ("_key",)).where("copies > 0").select("_key", "copies"), "copies")
-    joined = held.join(copies.hint("merge"), "_key")
-    times = F.sequence(F.lit(1).cast("long"), F.col("copies"))
-    return joined.select("_doc", F.explode(times).alias("_time")).select(*[F.col(f"_doc.`{c}`").alias(c) for c in docs.columns])
+    rows = placed(docs)
+    lean = rows.select(*PLACE, *[F.col(f"_doc.{c}").alias(c) for c in ("doc_id", "text", "source")])
+    copies = written(mixed(lean, PLACE).where("copies > 0").select(*PLACE, "copies"), "copies")
+    times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("_time")
+    return unplaced(rows.join(copies.hint("merge"), PLACE).select("_doc", times), docs)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,9 +9,10 @@ whole blocks, so the 20 choices of three blocks as keys lose no pair.  For wide
 bands of minima of shingle hashes (a pair of similarity 0.8 shares one of 16 bands of 4 with probability 0.9998).
 For near-dedup the radius only finds candidates; their sets of shingles decide.
 
-Only distinct fingerprints are compared, so exact copies cost nothing; a large group is walked from neighbour to
-neighbour and a fingerprint that has been reached isn't compared again, so a dense group costs little over its size and
-emits a forest, never all pairs.  Components come from star contraction over the links in DataFrames.
+Only distinct fingerprints are compared, so exact copies cost nothing; a group is walked from neighbour to neighbour and a
+fingerprint that has been reached isn't compared again, so a dense group costs little over its size and emits a forest,
+never all pairs.  A key with more than ``BLOCK`` rows is cut into blocks, and every pair of blocks is a group of its own, so
+no task holds an unbounded one.  Components come from star contraction over the links in DataFrames.
 
 Nulls: a null text has no words.  A text without words has fingerprint zero, which links as any other does.  Rows with the
 same doc_id are separate rows with the same number.  Empty tables give empty results.  Further columns are ignored.
@@ -28,13 +29,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specforge.llm.common import long_ids, small_batches, table, text_bytes, written
+from specforge.llm.common import PLACE, long_ids, placed, small_batches, table, text_bytes, unplaced, written
 
 SEED = 42
 #: Six blocks of a 64-bit fingerprint: (lowest bit, width).
 BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 #: Groups up to this size are compared as pairs side by side in one sheet of lanes; larger ones are walked.
 PAIRED = 48
+#: Rows of a key that stay together: of 64-bit fingerprints, of wide ones (whose sets of shingles may have to be held as well).
+BLOCK, WIDE_BLOCK = 8192, 1024
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -84,14 +87,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return long_ids(docs, "text").mapInArrow(make, "doc_id long, fp long")
 
 
-def wide_fingerprints(docs: DataFrame, lanes: int = 4, bands: int = 16, rows: int = 4) -> DataFrame:
-    """(doc_id, node, fp, n, keys): digest of the set of five-word shingles, its fingerprint of lanes*64 bits, size and band keys."""
-    small_batches(docs.sparkSession)
+def wide_fingerprints(held: DataFrame, lanes: int = 4, bands: int = 16, rows: int = 4) -> DataFrame:
+    """(_file, _row, node, fp, n, keys) of rows (_file, _row, text): digest of the set of five-word shingles, its fingerprint of lanes*64 bits, size and band keys."""
+    small_batches(held.sparkSession)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes, fps, sizes, keys = [], [], [], []
-            for text in text_bytes(batch.column(1)):
+            for text in text_bytes(batch.column(2)):
                 hashes = np.unique(shingle_hashes(text, 5))
                 nodes.append(set_digest(hashes))
                 fps.append(b"".join(majority(remix(hashes, k)).to_bytes(8, "little") for k in range(lanes)))
@@ -105,11 +108,11 @@ def wide_fingerprints(docs: DataFrame, lanes: int = 4, bands: int = 16, rows: in
                 else:
                     keys.append([0])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(nodes, pa.binary()), pa.array(fps, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "node", "fp", "n", "keys"],
+                [*batch.columns[:2], pa.array(nodes, pa.binary()), pa.array(fps, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+                [*PLACE, "node", "fp", "n", "keys"],
             )
 
-    return long_ids(docs, "text").mapInArrow(make, "doc_id long, node binary, fp binary, n long, keys array<long>")
+    return held.select(*PLACE, "text").mapInArrow(make, "_file long, _row long, node binary, fp binary, n long, keys array<long>")
 
 
 def set_digest(hashes: np.ndarray) -> bytes:
@@ -227,26 +230,30 @@ def group_links(starts: np.ndarray, ends: np.ndarray, lanes: np.ndarray, radius:
     return np.concatenate(links) if links else np.empty((0, 2), np.int64)
 
 
-def crossing(starts: np.ndarray, ends: np.ndarray, lanes: np.ndarray, radius: int, sizes: np.ndarray, labels: np.ndarray) -> Iterator[np.ndarray]:
-    """All pairs within the radius and of fitting sizes that have different labels, within runs [start, end) of rows that share a key."""
-    made, n = [], 0
-    for s, e in zip(starts, ends, strict=True):
-        if (labels[s:e] == labels[s]).all():
+def set_links(sets: list[np.ndarray], own: np.ndarray) -> list[tuple[int, int]]:
+    """Links between sets of different labels whose similarity is 0.8 or more, until none is left that joins two labels.
+
+    Common members are counted through the lists of sets that hold each member, for one set against all the later ones.
+    """
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    member = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    owner = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
+    order = np.argsort(member, kind="stable")
+    holders, edges = owner[order], np.concatenate(([0], np.cumsum(np.bincount(member))))
+    begin, links, own = np.cumsum(sizes) - sizes, [], own.copy()
+    for i in range(len(sets) - 1):
+        open_ = (own != own[i]) & alike(sizes[i], sizes)
+        open_[: i + 1] = False
+        if not open_.any():
             continue
-        planes = planes_of(lanes[s:e])
-        for at in range(s, e - 1):
-            near = lanes_set(within(planes, lanes[at], radius), e - s)
-            near[: at - s + 1] = False
-            near &= alike(sizes[at], sizes[s:e]) & (labels[s:e] != labels[at])
-            if near.any():
-                found = np.flatnonzero(near) + s
-                made.append(np.stack([np.full(len(found), at), found], 1))
-                n += len(found)
-                if n > 50_000:
-                    yield np.concatenate(made)
-                    made, n = [], 0
-    if made:
-        yield np.concatenate(made)
+        mine = member[begin[i] : begin[i] + sizes[i]]
+        low, n = edges[mine], edges[mine + 1] - edges[mine]
+        common = np.bincount(holders[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())], minlength=len(sets))
+        for j in np.flatnonzero(open_ & (10 * common >= 8 * (sizes[i] + sizes - common))):
+            if own[j] != own[i]:
+                links.append((i, int(j)))
+                own[own == own[j]] = own[i]
+    return links
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -273,55 +280,72 @@ def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.array(kept, np.int64).reshape(-1, 2)
 
 
+def runs_of(batches: Iterator[pa.RecordBatch], read) -> Iterator[tuple[np.ndarray, ...]]:
+    """Whole groups of rows, sorted by the key in column 0, as arrays that `read` makes of a batch (the key first)."""
+    held: list[tuple] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        now = read(batch)
+        key = now[0]
+        if key[-1] == key[0] and (not held or held[-1][0][-1] == key[0]):
+            held.append(now)  # one long run goes on
+            continue
+        edge = int(np.searchsorted(key, key[-1]))
+        held.append(tuple(x[:edge] for x in now))
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+        held = [tuple(x[edge:] for x in now)]
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
+def cuts_of(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal keys begin and end."""
+    cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
+    return np.concatenate(([0], cuts)), np.concatenate((cuts, [len(key)]))
+
+
+def numbers_of(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False)
+
+
+def objects_of(items: list) -> np.ndarray:
+    out = np.empty(len(items), object)
+    out[:] = items
+    return out
+
+
+def in_blocks(keyed: DataFrame, by: str, most: int) -> DataFrame:
+    """keyed, with the rows of a key that has more than `most` of them once for every pair of blocks that theirs (a hash of `by`) is part of."""
+    large = keyed.groupBy("key").agg(F.count("*").alias("_rows")).where(F.col("_rows") > most)
+    large = large.select(F.col("key").alias("_large"), F.ceil(F.col("_rows") / most).alias("_blocks"))
+    d = keyed.join(large, F.col("key") == F.col("_large"), "left").drop("_large")
+    one = F.array(F.lit(0).cast("long"))
+    d = d.withColumn("_other", F.explode(F.when(F.col("_blocks").isNull(), one).otherwise(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))))
+    own = F.pmod(F.xxhash64(F.lit("block"), by), F.col("_blocks"))
+    pair = F.xxhash64(F.lit("pair"), "key", F.least(own, F.col("_other")), F.greatest(own, F.col("_other")))
+    return d.withColumn("key", F.when(F.col("_blocks").isNull(), F.col("key")).otherwise(pair)).drop("_blocks", "_other")
+
+
 def linked(keyed: DataFrame, radius: int, width: int) -> DataFrame:
     """(a, b) links between fingerprints among rows (key, fp) that share a key; fp is a long or binary of width words.
 
-    Rows (key, fp, n, node) give (key, a, b) links between nodes, a forest of every key; rows (key, fp, n, node, label) all pairs
-    of nodes with different labels.
+    Rows (key, fp, n, node) give (key, a, b) links between nodes of fitting sizes.  Either way the links of a key are a forest.
     """
-    wide = dict(keyed.dtypes)["fp"] == "binary"
-    sized, labelled = "n" in keyed.columns, "label" in keyed.columns
+    wide, sized = dict(keyed.dtypes)["fp"] == "binary", "n" in keyed.columns
 
     def lanes_of(column: pa.Array) -> np.ndarray:
         if wide:
             return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(-1, width)
         return numbers_of(column).view(np.uint64).reshape(-1, 1)
 
-    def numbers_of(column: pa.Array) -> np.ndarray:
-        return column.to_numpy(zero_copy_only=False)
-
-    def bytes_of(column: pa.Array) -> np.ndarray:
-        return np.array(column.to_pylist(), object)
+    def read(batch: pa.RecordBatch) -> tuple:
+        now = (numbers_of(batch.column(0)), lanes_of(batch.column(1)))
+        return (*now, numbers_of(batch.column(2)), objects_of(batch.column(3).to_pylist())) if sized else now
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        for batch in batches:
-            if not len(batch):
-                continue
-            key = numbers_of(batch.column(0))
-            now = (key, lanes_of(batch.column(1)))
-            if sized:
-                now += (numbers_of(batch.column(2)), *(bytes_of(c) for c in batch.columns[3:]))
-            if key[-1] == key[0] and (not held or held[-1][0][-1] == key[0]):
-                held.append(now)  # one long run goes on
-                continue
-            edge = int(np.searchsorted(key, key[-1]))
-            held.append(tuple(x[:edge] for x in now))
-            yield from flush(held)
-            held = [tuple(x[edge:] for x in now)]
-        yield from flush(held)
-
-    def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        if not held or not sum(len(x[0]) for x in held):
-            return
-        key, lanes, *more = (np.concatenate(x) for x in zip(*held, strict=True))
-        cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
-        starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(key)]))
-        if labelled:
-            found = crossing(starts, ends, lanes, radius, more[0], more[2])
-        else:
-            found = iter([group_links(starts, ends, lanes, radius, more[0] if sized else None)])
-        for links in found:
+        for key, lanes, *more in runs_of(batches, read):
+            links = group_links(*cuts_of(key), lanes, radius, more[0] if sized else None)
             if not len(links):
                 continue
             if sized:
@@ -335,6 +359,22 @@ def linked(keyed: DataFrame, radius: int, width: int) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(compare, out)
 
 
+def similar(rows: DataFrame) -> DataFrame:
+    """(a, b) links among rows (key, node, label, shingles) of a key with different labels: a forest of the pairs alike at 0.8."""
+
+    def read(batch: pa.RecordBatch) -> tuple:
+        return (numbers_of(batch.column(0)), *(objects_of(batch.column(k).to_pylist()) for k in (1, 2)), objects_of([x.values.to_numpy() for x in batch.column(3)]))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, node, label, sets in runs_of(batches, read):
+            for s, e in zip(*cuts_of(key), strict=True):
+                links = set_links(sets[s:e].tolist(), np.unique(label[s:e].tolist(), return_inverse=True)[1])
+                sides = [pa.array([node[s + x[i]] for x in links], pa.binary()) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays(sides, ["a", "b"])
+
+    return rows.select("key", "node", "label", "shingles").repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a binary, b binary")
+
+
 def block_keys(fps: DataFrame) -> DataFrame:
     """Twenty keys of a 64-bit fingerprint: each three of its six blocks, and the number of the choice."""
     keys = []
@@ -391,60 +431,70 @@ def simhash_components(docs: DataFrame, radius: int = 3) -> DataFrame:
     if not 0 <= radius <= 3:
         raise ValueError("the block keys are exact up to a radius of 3")
     marked = written(fingerprints(docs), "fingerprints")
-    links = linked(block_keys(marked.select("fp").distinct()), radius, 1)
+    links = linked(in_blocks(block_keys(marked.select("fp").distinct()), "fp", BLOCK), radius, 1)
     found = with_components(marked, links)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """(a, b, good) of distinct pairs of nodes: whether their sets of shingles have a similarity of 0.8; firsts are (node, doc_id)."""
+def sets_of(nodes: DataFrame, held: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(node, shingles) of distinct nodes; firsts are (node, _file, _row) of a row of held."""
+    wanted = written(nodes.join(firsts, "node").select(*PLACE), "wanted")
+    return written(shingle_sets(held.join(wanted, PLACE, "left_semi")), "sets")
+
+
+def verified(pairs: DataFrame, held: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(a, b, good) of distinct pairs of nodes: whether their sets of shingles have a similarity of 0.8."""
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = written(nodes.join(firsts, "node").select("node", "doc_id"), "paired")
-    ids = wanted.select(F.col("doc_id").alias("_id")).distinct()
-    chosen = docs.join(ids, docs.doc_id.cast("long").eqNullSafe(F.col("_id")), "left_semi")
-    sets = written(shingle_sets(chosen).join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    sets = sets_of(nodes, held, firsts)
     d = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("s")), "a")
     d = d.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("t")), "b")
     inter = F.size(F.array_intersect("s", "t"))
     return written(d.select("a", "b", (10 * inter >= 8 * (F.size("s") + F.size("t") - inter)).alias("good")), "verified")
 
 
-def near_links(docs: DataFrame, worded: DataFrame, radius: int) -> DataFrame:
-    """(a, b) links between sets of shingles (nodes) that are alike at 0.8; all pairs under a key and the radius are linked or joined by links.
+def near_links(held: DataFrame, worded: DataFrame, radius: int) -> DataFrame:
+    """(a, b) links between sets of shingles (nodes) that are alike at 0.8; all such pairs under a key and the radius are linked or joined by links.
 
     First a forest of every key is verified.  Where one of its links fails, whoever it reached may have a true link elsewhere in
-    the key, so there all pairs that the verified links haven't joined are verified as well.
+    the key: there the sets themselves are compared, all of those that the verified links haven't joined.
     """
-    distinct = written(worded.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys")), "nodes")
-    firsts = distinct.select("node", "doc_id")
-    keyed = distinct.select(F.explode("keys").alias("key"), "fp", "n", "node")
-    ordered = lambda d: d.select("key", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    tried = written(ordered(linked(keyed, radius, 4)), "tried")
-    checked = verified(tried.select("a", "b").distinct(), docs, firsts)
+    distinct = written(worded.groupBy("node").agg(F.min(F.struct(*PLACE)).alias("at"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys")), "nodes")
+    firsts = distinct.select("node", "at.*")
+    keyed = in_blocks(distinct.select(F.explode("keys").alias("key"), "fp", "n", "node"), "node", WIDE_BLOCK)
+    tried = written(linked(keyed, radius, 4).select("key", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "tried")
+    checked = verified(tried.select("a", "b").distinct(), held, firsts)
     good = checked.where("good").select("a", "b")
     open_keys = written(tried.join(checked.where("not good"), ["a", "b"]).select("key").distinct(), "open")
-    roots = written(components(good), "roots").withColumnRenamed("root", "label")
-    again = keyed.join(open_keys, "key", "left_semi").join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
-    again = again.select("key", "fp", "n", "node", F.coalesce("label", "node").alias("label"))
-    more = ordered(linked(again, radius, 4)).select("a", "b").distinct().join(checked, ["a", "b"], "left_anti")
-    return good.union(verified(written(more, "more"), docs, firsts).where("good").select("a", "b"))
+    roots = written(components(good), "roots").withColumnRenamed("root", "label").withColumnRenamed("node", "_node")
+    again = keyed.select("key", "node").join(open_keys, "key", "left_semi").join(roots, F.col("node") == F.col("_node"), "left")
+    again = written(again.select("key", "node", F.coalesce("label", "node").alias("label")), "again")
+    apart = again.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("greatest")).where("least <> greatest").select("key")
+    again = written(again.join(apart, "key", "left_semi"), "apart")
+    sets = sets_of(again.select("node").distinct(), held, firsts)
+    small_batches(held.sparkSession, 100)  # rows hold sets
+    more = written(similar(again.join(sets, "node")), "more")
+    small_batches(held.sparkSession)
+    return good.union(more)
 
 
 def near_dedup(docs: DataFrame, radius: int = 60) -> DataFrame:
     """All columns of the rows that stay: one row of each group of documents alike at 0.8 over five-word shingles.
 
-    A group stays as its smallest doc_id.  Candidates share a band key and differ in at most ``radius`` of 256 bits: a similarity of
-    0.8 lies near 37, with a deviation under 6.  A candidate is linked only if its sets of shingles (64-bit hashes) have a similarity
-    of 0.8.  Texts without words are left alone.  Of repeated rows of one doc_id the first of the ordered rows stays.
+    A group stays as its row of the smallest doc_id (null: last; ties: the first in the files).  Rows are known by their places, so rows
+    with equal or null doc_ids are judged by their texts like any others and columns may have any name.  Candidates share a band
+    key and differ in at most ``radius`` of 256 bits: a similarity of 0.8 lies near 37, with a deviation under 6.  A candidate is
+    linked only if its sets of shingles (64-bit hashes) have a similarity of 0.8.  Texts without words are left alone.  An empty
+    table stays empty.
     """
-    marked = written(wide_fingerprints(docs), "wide")
-    worded = marked.where("n > 0")
-    links = near_links(docs, worded, radius)
-    found = with_components(worded.select("doc_id", F.col("node").alias("fp")), links)
-    gone = written(found.where("component_id <> doc_id").select("doc_id").distinct(), "gone")
-    kept = docs.join(gone.withColumnRenamed("doc_id", "_gone"), docs.doc_id.cast("long") == F.col("_gone"), "left_anti")
-    again = marked.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if again else kept
+    rows = placed(docs)
+    held = rows.select(*PLACE, F.col("_doc.text").alias("text"))
+    worded = written(wide_fingerprints(held), "wide").where("n > 0")
+    links = written(near_links(held, worded, radius), "near-links")
+    order = F.struct(F.col("_doc.doc_id").isNull().alias("last"), F.col("_doc.doc_id").cast("long").alias("doc_id"), *PLACE)
+    ordered = rows.select(*PLACE, order.alias("doc_id"))
+    found = with_components(worded.select(*PLACE, F.col("node").alias("fp")).join(ordered, PLACE).select("doc_id", "fp"), links)
+    gone = written(found.where("component_id <> doc_id").select("doc_id._file", "doc_id._row"), "gone")
+    return unplaced(rows.join(gone.hint("merge"), PLACE, "left_anti"), docs)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

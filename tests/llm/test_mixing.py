@@ -81,3 +81,25 @@ def test_odd_tables(repeated, none, docs):
     out = M.mix_documents(docs)
     assert out.columns == docs.columns
     assert max(r["count"] for r in out.groupBy("doc_id").count().collect()) <= 2
+    assert M.mix_documents(none).count() == 0
+
+
+def test_rows_that_share_a_number_are_mixed_each(spark, repeated):
+    from specforge.llm.common import placed
+
+    rows = placed(repeated)
+    at = M.mixed(rows.select("_file", "_row", "_doc.doc_id", "_doc.text", "_doc.source"), ["_file", "_row"]).select("_file", "_row", "copies")
+    want = sorted((r.doc_id or -1, r.text, r.copies) for r in rows.join(at, ["_file", "_row"]).select("_doc.doc_id", "_doc.text", "copies").collect() if r.copies)
+    got = {}
+    for r in M.mix_documents(repeated).collect():
+        got[r.doc_id or -1, r.text] = got.get((r.doc_id or -1, r.text), 0) + 1
+    total = {}
+    for doc, text, n in want:
+        total[doc, text] = total.get((doc, text), 0) + n
+    assert got == total
+
+
+def test_columns_with_the_operators_own_names(spark):
+    d = spark.createDataFrame([(k, "some words of text " * 40, "a", "_id", 1, 2, "m") for k in range(8)], "doc_id long, text string, source string, _id string, _copies long, _row long, _metadata string")
+    out = M.mix_documents(d)
+    assert out.columns == d.columns and {r._id for r in out.collect()} == {"_id"}

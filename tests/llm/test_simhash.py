@@ -147,3 +147,45 @@ def test_failed_candidates_hide_no_links(spark):
     rows = [(k, " ".join(x)) for k, x in enumerate(texts)]
     ids = {r.doc_id for r in S.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert ids == set(top) and 30 <= len(ids) < 60
+
+
+def test_large_keys_are_cut_into_blocks(spark, docs, rows, monkeypatch):
+    """The same components, whatever the size of a block."""
+    want = groups({r[0]: plain(r[1]) for r in rows})
+    monkeypatch.setattr(S, "BLOCK", 3)
+    assert {r.doc_id: r.component_id for r in S.simhash_components(docs).collect()} == want
+    keyed = spark.range(50).selectExpr("id % 2 as key", "id as fp")
+    got = {}
+    for r in S.in_blocks(keyed, "fp", 10).collect():
+        got.setdefault(r.key, set()).add(r.fp)
+    assert max(map(len, got.values())) < 25
+    assert all(any({a, b} <= own for own in got.values()) for a in range(50) for b in range(a % 2, 50, 2))
+
+
+def test_near_dedup_in_blocks(spark, monkeypatch):
+    """Near-copies of one text that lie in different blocks are still one group."""
+    monkeypatch.setattr(S, "WIDE_BLOCK", 7)
+    rng = np.random.default_rng(8)
+    base = [f"w{x}" for x in rng.integers(0, 10**9, 300)]
+    texts = []
+    for k in range(60):
+        words = list(base)
+        words[int(rng.integers(0, 300))] = f"own{k}"
+        texts.append((k, " ".join(words)))
+    assert [r.doc_id for r in S.near_dedup(spark.createDataFrame(texts, "doc_id long, text string")).collect()] == [0]
+
+
+def test_rows_without_own_numbers(spark, repeated):
+    """Rows that share a number or have none are judged by their texts."""
+    words = " ".join(f"u{k}" for k in range(40))
+    other = " ".join(f"v{k}" for k in range(40))
+    rows = [(7, words, "x"), (7, other, "x"), (None, words + " end", "x"), (None, " ".join(f"z{k}" for k in range(40)), "x"), (None, None, "x"), (None, "", "x"), (7, words, "x")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, _gone string")
+    got = sorted((r.doc_id or 0, r.text or "") for r in S.near_dedup(d).collect())
+    assert got == sorted([(7, words), (7, other), (0, rows[3][1]), (0, ""), (0, "")])
+    kept = S.near_dedup(repeated)
+    assert kept.columns == repeated.columns and kept.groupBy("text").count().where("length(trim(text)) > 1 and count > 1").count() == 0
+
+
+def test_near_dedup_of_nothing(none):
+    assert S.near_dedup(none).count() == 0
