@@ -1,14 +1,18 @@
 """Secret scans by a trigram inverted index, in DataFrame functions only.
 
-From each rule's regular expression a Boolean query over trigrams of lower-cased text is derived: literal runs, with small
-classes, options and branches spelled out, must occur, so all their trigrams must.  The index keeps, for blocks of about
-``BLOCK`` documents, one posting list per trigram; a rule's candidates are intersections of lists within a clause and their
-unions over clauses.  Only candidates are verified with the expression; rules without a mandatory trigram scan every text.
-Blocks are cut by a hash of the document's number, so a trigram that every text holds makes no hot key, and lists of a block
-are bounded.
-
-Spans are code points, end exclusive, leftmost and non-overlapping per kind.  A null text is empty.  Rows with one doc_id are
-scanned each by itself (a candidate number is only an invitation to verify).  Null numbers are candidates under one number.
+The index is made of the texts alone, whatever the rules: every trigram of every lower-cased text, kept as a 32-bit hash.  Its
+postings are bit masks: ``BLOCK`` neighbouring rows of a file are a block, and a row of the index holds a block, a trigram and
+one bit for each of the block's documents that has it.  The masks are built by a bitwise aggregate, so that a trigram that
+every text holds is a few numbers a block and no hot key.
+
+From each rule's regular expression a Boolean query over trigrams is derived: literal runs, with small classes, options and
+branches spelled out, must occur, so all their trigrams must.  A rule's candidates are intersections of masks within a clause
+and their unions over clauses.  Only candidates are verified with the expression (a hash that two trigrams share only makes a
+candidate more); rules without a mandatory trigram scan every text.
+
+Spans are code points, end exclusive, leftmost and non-overlapping per kind.  A null text is empty.  Rows are known by their places in
+the files, so rows with equal or null doc_ids are scanned each by itself, and columns may have any name.  Empty tables give
+empty results.
 """
 
 from __future__ import annotations
@@ -21,14 +25,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specforge.llm.common import table, written
+from specforge.llm.common import PLACE, placed, table, written
 
-BLOCK = 1024
+#: Documents of a block (four masks of 64 bits).
+BLOCK, WORD = 256, 64
+WORDS = BLOCK // WORD
+#: Characters of a text from which trigrams are drawn at once.
+SEGMENT = 4096
 #: Trigrams that a literal run contributes at most; leaving some out only weakens the query.
 PER_RUN = 4
 #: Spelled-out strings per run at most.
 SPELLED = 16
-NO_ID = -(2**63)
 MASK = "[SECRET]"
 
 
@@ -130,41 +137,42 @@ def trigram_query(pattern: str) -> list[frozenset[str]]:
 
 
 # ---------------------------------------------------------------- index and candidates
-def _key() -> Column:
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-
-
-def trigram_index(docs: DataFrame, trigrams: list[str]) -> DataFrame:
-    """One row per block of documents: posting lists p0, p1, ... of the trigrams."""
-    blocks = max(1, -(-docs.count() // BLOCK))
-    low = docs.select(_key().alias("key"), F.lower(F.coalesce("text", F.lit(""))).alias("low"))
-    words = [trigrams[i : i + 60] for i in range(0, len(trigrams), 60)]
-    bits = [reduce(lambda a, b: a.bitwiseOR(b), [F.when(F.contains("low", F.lit(t)), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, t in enumerate(w)]) for w in words]
-    seen = low.select("key", F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("block"), *[b.alias(f"w{i}") for i, b in enumerate(bits)])
-    lists = []
-    for n in range(len(trigrams)):
-        has = F.col(f"w{n // 60}").bitwiseAND(F.lit(1 << n % 60).cast("long")) != 0
-        lists.append(F.collect_list(F.when(has, F.col("key"))).alias(f"p{n}"))
-    return seen.groupBy("block").agg(*lists)
-
-
-def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """(key, c0, c1, ...): documents that rule k's trigram query lets through; rules without a query have no column here."""
+def hashed(trigram: Column) -> Column:
+    return F.hash(trigram)
+
+
+def trigram_index(rows: DataFrame) -> DataFrame:
+    """(_file, _block, gram, w0, w1, ..): postings of every trigram of the lower-cased texts of placed rows, as masks of a block's documents."""
+    low = F.lower(F.coalesce("_doc.text", F.lit("")))
+    at = F.col("_row") % BLOCK
+    d = rows.select("_file", F.floor(F.col("_row") / BLOCK).alias("_block"), at.alias("_at"), low.alias("_low"))
+    # segments overlap by two characters, so that no trigram is lost between them
+    d = d.select("_file", "_block", "_at", F.explode(F.regexp_extract_all("_low", F.lit(f"(?s)(?=(.{{1,{SEGMENT + 2}}})).{{1,{SEGMENT}}}"), F.lit(1))).alias("_segment"))
+    d = d.select("_file", "_block", "_at", F.explode(F.regexp_extract_all("_segment", F.lit("(?s)(?=(.{3}))"), F.lit(1))).alias("_gram"))
+    d = d.select("_file", "_block", hashed(F.col("_gram")).alias("gram"), F.floor(F.col("_at") / WORD).alias("_word"), F.expr(f"shiftleft(1L, cast(_at % {WORD} as int))").alias("_bit"))
+    masks = [F.bit_or(F.when(F.col("_word") == k, F.col("_bit")).otherwise(F.lit(0).cast("long"))).alias(f"w{k}") for k in range(WORDS)]
+    return d.groupBy("_file", "_block", "gram").agg(*masks)
+
+
+def candidates(rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """(_file, _row, c0, c1, ...): rows that rule k's trigram query lets through; rules without a query have no column here."""
     asked = {k: q for k, r in enumerate(rules) if (q := trigram_query(r.pattern))}
+    index = written(trigram_index(rows), "trigrams")
     trigrams = sorted({t for q in asked.values() for clause in q for t in clause})
-    index = trigram_index(docs, trigrams)
+    numbers = dict(zip(trigrams, rows.sparkSession.range(1).select(F.array(*[hashed(F.lit(t)) for t in trigrams])).first()[0], strict=True)) if trigrams else {}
+    none = F.lit(0).cast("long")
+    masks = F.struct(*[f"w{k}" for k in range(WORDS)])
+    lists = index.where(F.col("gram").isin(list(numbers.values()))).groupBy("_file", "_block").agg(F.map_from_entries(F.collect_list(F.struct("gram", masks))).alias("_lists"))
 
-    def marked(rule: int):
-        return lambda d: F.struct(d.alias("key"), F.lit(rule).alias("rule"))
+    def found(query: list[frozenset[str]], word: int) -> Column:
+        held = lambda t: F.coalesce(F.get(F.array(F.try_element_at("_lists", F.lit(numbers[t]))), F.lit(0))[f"w{word}"], none)
+        return reduce(lambda a, b: a.bitwiseOR(b), [reduce(lambda a, b: a.bitwiseAND(b), [held(t) for t in sorted(clause)]) for clause in query])
 
-    place = {t: F.col(f"p{n}") for n, t in enumerate(trigrams)}
-    hits = []
-    for k, query in asked.items():
-        parts = [reduce(F.array_intersect, [place[t] for t in sorted(clause)]) for clause in query]
-        parts = [F.array_distinct(x) for x in parts]
-        hits.append(F.transform(reduce(F.array_union, parts), marked(k)))
-    found = index.select(F.explode(F.concat(*hits)).alias("x")).select("x.*")
-    return found.groupBy("key").agg(*[F.max(F.col("rule") == k).alias(f"c{k}") for k in asked])
+    hits = lists.select("_file", "_block", *[F.array(*[found(q, w) for w in range(WORDS)]).alias(f"h{k}") for k, q in asked.items()])
+    every = hits.select("*", F.explode(F.sequence(F.lit(0), F.lit(BLOCK - 1))).alias("_at"))
+    bit = lambda k: F.expr(f"shiftrightunsigned(h{k}[cast(_at div {WORD} as int)], _at % {WORD}) & 1L") == 1
+    marked = every.select("_file", (F.col("_block") * BLOCK + F.col("_at")).alias("_row"), *[bit(k).alias(f"c{k}") for k in asked])
+    return marked.where(reduce(lambda a, b: a | b, [F.col(f"c{k}") for k in asked], F.lit(False)))
 
 
 # ---------------------------------------------------------------- verification
@@ -189,9 +197,10 @@ def spans_of(text: Column, rule: Rule, number: int) -> Column:
 
 def scanned(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(_doc, _spans): a row of docs as a struct, whatever its columns are called, and all spans by start, then rule."""
-    some = written(candidates(docs, rules), "candidates")
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.coalesce("text", F.lit("")).alias("_text"), _key().alias("_own"))
-    joined = held.join(some.withColumnRenamed("key", "_key"), F.col("_own") == F.col("_key"), "left")
+    rows = placed(docs)
+    some = written(candidates(rows, rules), "candidates")
+    text = F.coalesce("_doc.text", F.lit(""))
+    joined = rows.withColumn("_text", text).join(some, PLACE, "left")
     empty = F.array().cast("array<struct<start:long,rule:int,end:long>>")
     parts = []
     for k, rule in enumerate(rules):

@@ -42,6 +42,41 @@ def test_queries_admit_every_match():
             assert re.search(rule.pattern, text) and any(all(t in text.lower() for t in clause) for clause in query)
 
 
+def test_postings_hold_every_trigram(docs, rows, monkeypatch):
+    """The index is that of the texts: every trigram of every text, and no other."""
+    from pyspark.sql import functions as F
+
+    from specforge.llm.common import placed
+
+    monkeypatch.setattr(S, "SEGMENT", 50)
+    monkeypatch.setattr(S, "hashed", lambda c: c)
+    held = placed(docs)
+    where = {(r._file, r._row): (r.text or "").lower() for r in held.select("_file", "_row", F.col("_doc.text").alias("text")).collect()}
+    got = {}
+    for r in S.trigram_index(held).collect():
+        for word in range(S.WORDS):
+            for bit in range(S.WORD):
+                if r[f"w{word}"] >> bit & 1:
+                    got.setdefault((r._file, r._block * S.BLOCK + word * S.WORD + bit), set()).add(r.gram)
+    for at, text in where.items():
+        if text.isascii():
+            assert got.get(at, set()) == {text[i : i + 3] for i in range(len(text) - 2)}
+
+
+def test_candidates_are_few(docs, rows):
+    from specforge.llm.common import placed
+
+    held = placed(docs)
+    some = S.candidates(held, S.RULES)
+    texts = {r.text: r for r in held.join(some, ["_file", "_row"]).select("_doc.text", *[c for c in some.columns if c[0] == "c"]).collect()}
+    for _, text, *_ in rows:
+        for k, rule in enumerate(S.RULES):
+            query = S.trigram_query(rule.pattern)
+            if query and text and text.isascii():
+                let = any(all(t in text.lower() for t in clause) for clause in query)
+                assert let == bool(text in texts and texts[text][f"c{k}"])
+
+
 def test_redaction(docs, rows):
     out = {r.doc_id: r for r in S.redact(docs).collect()}
     assert S.redact(docs).columns == docs.columns and len(out) == len(rows)
