@@ -74,9 +74,34 @@ SELECT row_index, req_id, conformity_raw AS s0, comment AS c0,
 FROM fx_matrix_a
 """
 
+#: Lines that specifications are made of: headings, and sentences that rules of the writing guide look for.
+PHRASES = (
+    "PURPOSE", "SCOPE", "SYSTEM DIVERSITY", "REFERENCE DOCUMENTS", "APPLICABLE DOCUMENTS", "STANDARDS", "ACRONYMS", "FUNCTIONAL REQUIREMENTS",
+    "PERFORMANCE REQUIREMENTS", "EXTERNAL INTERFACES", "NETWORK INTERFACES", "ELECTRICAL INTERFACES", "OPERATIONAL REQUIREMENTS", "MISSION PROFILE",
+    "RAMS REQUIREMENTS", "CONSTRAINT REQUIREMENTS", "DESIGN AND MANUFACTURING", "ENVIRONMENT CONDITIONS", "REQUIREMENTS", "REQUIREMENTS DOCUMENT",
+    "2.1 Purpose", "Reference documents", "3 GLOSSARY", "GENERAL DESCRIPTION OF THE SYSTEM", "Table of updates", "Written by A. Writer, checked by B. Checker",
+    "Specification of the door unit", "see figure 3 and table 4", "Figure 12 shows the sequence diagram", "ASU: Alarm Siren Unit", "The text in red is to be removed",
+    "le système et la fonction du composant", "This generic specification holds per project values to be defined", "Valid for all projects", "variant | left | right",
+    "The characteristic of each variant", "00998_20_01234 revision C", "00998_20_01235", "Design file of the upstream functional requirements", "The state machine is shown below",
+    "The unit shall send 0x1F on start of the cycle", "Noise level under test", "The regulation requirement is met", "The assembly process shall be described by the supplier",
+    "No internal functional analysis is given", "When the door opens the unit shall report its state", "Dependability and safety are studied", "A contextual diagram is given",
+    "Power supply and current", "The wiring diagram is attached", "Power consumption at rest shall stay low", "The test procedure is not given here", "The packaging process of the part",
+    "Recycling of the part", "The network interface is a constraint of the design", "The network frame shall hold the state", "List of I/O", "Participants: none",
+    "REF-PSP-COMP-0001 | The unit shall open within the time that the plan gives | N/A", "APP-ASU-CD-0002 | The unit shall withstand several cycles of use | [SSD_AUE]",
+    "[STA20] | 98037030 | part drawing", "[N41] | CS.00244 | EMC requirements", "Comply with [STA20] and [n7] in service", "The value is TBD and <<fill in the value>>",
+    "<component name> of the car", "The supplier should answer and may ask", "Delete this sentence of the template before you submit the document", "one | two | three", "", "plain text",
+)
+_listed = ", ".join(f"({k}, '{p}')" for k, p in enumerate(PHRASES))
+#: Long specifications of these lines, by part number: 40 documents.
+GUIDE_LINES = f"""
+SELECT l.doc_id, l.line_no, f.phrase AS line FROM (
+  SELECT p_partkey % 40 AS doc_id, CAST(floor(p_partkey / 40.0) AS BIGINT) AS line_no, (p_partkey * 37 + p_size * 11 + CAST(floor(p_partkey / 40.0) AS BIGINT) * 17) % {len(PHRASES)} AS k FROM part) AS l
+JOIN (SELECT * FROM (VALUES {_listed}) AS v(k, phrase)) AS f ON l.k = f.k
+"""
+
 TEXTS = {
     "fx_matrix_a": MATRIX_A, "fx_matrix_b": MATRIX_B, "fx_spec_lines": SPEC_LINES,
-    "fx_qa_events": QA_EVENTS, "fx_questions": QUESTIONS, "fx_wide": WIDE,
+    "fx_qa_events": QA_EVENTS, "fx_questions": QUESTIONS, "fx_wide": WIDE, "fx_guide_lines": GUIDE_LINES,
 }
 NEEDS = {"fx_matrix_b": ("fx_matrix_a",), "fx_wide": ("fx_matrix_a",)}
 BASE_TABLES = ("orders", "part", "events")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,6 +12,11 @@ from specforge import lexicon
 ACCENTED, PLAIN = "éèêëàâäùûüîïôöçñ", "eeeeaaauuuiioocn"
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with value computed once: a lambda's variable instead of as many copies of an expression as f has uses."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from specforge.functions.text import strip, upper_ratio
+from specforge.functions.text import bound, strip, upper_ratio
 
 #: Words that make a Title Case line a heading (fixed values).
 SECTION_WORDS = tuple(
@@ -32,18 +32,20 @@ def by_line(*more: str) -> Window:
 
 def heading_of(line: Column) -> Column:
     """Name of the section that a line begins, or null: capitals, Title Case with a section word, numbered."""
-    s = strip(line)
-    caps = strip(F.regexp_extract(s, CAPS, 1))
-    caps = F.regexp_replace(caps, ":+$", "")
-    title = F.regexp_extract(s, TITLE, 1)
-    worded = F.arrays_overlap(F.split(F.lower(title), r"\s+"), F.array(*[F.lit(w) for w in SECTION_WORDS]))
-    numbered = strip(F.regexp_extract(s, NUMBERED, 1))
-    name = (
-        F.when((F.char_length(caps) >= 3) & (upper_ratio(caps) >= 0.8), caps)
-        .when((F.char_length(title) >= 3) & worded, title)
-        .when(F.char_length(numbered) >= 3, numbered)
-    )
-    return F.when((s != "") & (F.char_length(s) <= 120) & ~s.rlike(LISTED), name)
+
+    def capitals(s: Column) -> Column:
+        caps = F.regexp_replace(strip(F.regexp_extract(s, CAPS, 1)), ":+$", "")
+        return bound(caps, lambda c: F.when((F.char_length(c) >= 3) & (upper_ratio(c) >= 0.8), c))
+
+    def titled(s: Column) -> Column:
+        worded = lambda t: F.arrays_overlap(F.split(F.lower(t), r"\s+"), F.array(*[F.lit(w) for w in SECTION_WORDS]))
+        return bound(F.regexp_extract(s, TITLE, 1), lambda t: F.when((F.char_length(t) >= 3) & worded(t), t))
+
+    def numbered(s: Column) -> Column:
+        return bound(strip(F.regexp_extract(s, NUMBERED, 1)), lambda n: F.when(F.char_length(n) >= 3, n))
+
+    name = lambda s: F.coalesce(capitals(s), titled(s), numbered(s))
+    return bound(strip(line), lambda s: F.when((s != "") & (F.char_length(s) <= 120) & ~s.rlike(LISTED), name(s)))
 
 
 def detected_sections(lines: DataFrame) -> DataFrame:

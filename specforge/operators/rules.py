@@ -192,22 +192,3 @@ def requirement_patterns(lines: DataFrame) -> DataFrame:
     low = F.lower("line")
     shall = is_shall(F.col("line"))
     return lines.groupBy("doc_id").agg(F.count_if(shall).alias("shall_lines"), F.count_if(shall & low.rlike(r"\b(when|if|while|during|upon)\b")).alias("conditioned"))
-
-
-def findings(lines: DataFrame, wanted: DataFrame) -> DataFrame:
-    """All checks as findings: (doc_id, check_seq, check_id, severity, section, rule_id, n)."""
-    section = matched_sections(lines, wanted).select("doc_id", F.lit(1).alias("check_seq"), F.lit("A_SECTION_COVERAGE").alias("check_id"), F.when(F.col("section").isNull(), "error").otherwise("pass").alias("severity"), F.col("required").alias("section"), F.lit("").alias("rule_id"), F.lit(1).cast("long").alias("n"))
-    order = section_order(lines, wanted).select("doc_id", F.lit(2), F.lit("B_SECTION_ORDER"), F.lit("warning"), "section", F.lit("P06"), F.lit(1).cast("long"))
-    counts = placeholder_counts(lines)
-    left = F.col("placeholders") + F.col("variables") + F.col("tbd")
-    clean = counts.select("doc_id", F.lit(3), F.lit("C_PLACEHOLDERS"), F.when(left == 0, "pass").when(F.col("placeholders") + F.col("variables") > 0, "error").otherwise("warning"), F.lit(""), F.lit(""), left)
-    shape = requirement_format(lines).where("shall_lines > 0").select("doc_id", F.lit(4), F.lit("D_FORMAT"), F.when(F.col("table_rows") > 10, "pass").otherwise("warning"), F.lit("REQUIREMENTS"), F.lit("R22"), F.col("table_rows"))
-    lang = requirement_language(lines)
-    words = lang.select("doc_id", F.lit(5), F.lit("E_LANGUAGE"), F.when(F.col("shall") == 0, "error").when(F.col("subjective") > 0, "warning").otherwise("pass"), F.lit("REQUIREMENTS"), F.lit("R23"), F.col("subjective"))
-    ids = requirement_ids(lines).select("doc_id", F.lit(6), F.lit("F_IDS"), F.when(F.col("with_id") == 0, "warning").otherwise("pass"), F.lit("REQUIREMENTS"), F.lit("R20"), F.col("with_id"))
-    t = traceability(lines).select("doc_id", F.lit(7), F.lit("G_TRACEABILITY"), F.when(F.col("ratio") >= 0.5, "pass").otherwise("warning"), F.lit("REQUIREMENTS"), F.lit("R22"), F.col("traced"))
-    std = standards_consistency(lines).select("doc_id", F.lit(10), F.lit("J_STANDARDS"), F.lit("warning"), F.col("standard"), F.lit("R17"), F.lit(1).cast("long"))
-    out = section
-    for part in (order, clean, shape, words, ids, t, std):
-        out = out.unionByName(part.toDF(*section.columns))
-    return out

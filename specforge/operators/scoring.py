@@ -41,11 +41,11 @@ def order_v2(violations: Column, found: Column) -> Column:
 
 
 def verdict(overall: Column, errors: Column) -> Column:
-    return F.when((overall >= 0.80) & (errors == 0), "GOOD").when((overall >= 0.60) & (errors <= 2), "FIXES_NEEDED").when(overall >= 0.35, "NOT_RELIABLE").otherwise("NON_COMPLIANT")
+    return F.when((overall >= 0.80) & (errors == 0), "GOOD").when((overall >= 0.60) & (errors <= 2), "ACCEPTABLE_WITH_FIXES").when(overall >= 0.35, "NOT_RELIABLE").otherwise("NON_COMPLIANT")
 
 
 def verdict_override(no_id: Column, own: Column) -> Column:
-    return F.when(no_id > 50, "NON_COMPLIANT").when(no_id > 30, "NOT_RELIABLE").when(no_id > 15, "FIXES_NEEDED").otherwise(own)
+    return F.when(no_id > 50, "NON_COMPLIANT").when(no_id > 30, "NOT_RELIABLE").when(no_id > 15, "ACCEPTABLE_WITH_FIXES").otherwise(own)
 
 
 def fitness(errors: Column, warnings: Column, findings: Column) -> Column:
@@ -56,25 +56,28 @@ def blended(model: Column, rubric: Column) -> Column:
     return F.when(F.abs(model - rubric) < 0.15, rubric).otherwise(0.4 * rubric + 0.6 * model)
 
 
-#: Weights of the axes: structure, order, cleanliness, requirements, guide.
-WEIGHTS_V2 = (0.25, 0.05, 0.10, 0.35, 0.25)
+def two_decimals(x: Column) -> Column:
+    """Two decimals; a half goes to the even digit."""
+    y = x * 100
+    whole = F.floor(y)
+    rest = y - whole
+    return F.when(rest > 0.5 + 1e-9, whole + 1).when(rest < 0.5 - 1e-9, whole).otherwise(whole + F.pmod(whole, F.lit(2))) / 100.0
+
+
+def ask_confidence(top: Column, not_found: Column) -> Column:
+    """Confidence of an answer on one document, by its best score."""
+    return F.when(not_found, "not_found").when(top >= 0.78, "high").when(top >= 0.60, "medium").otherwise("low")
+
 
+#: Weights of a review's axes: structure, requirements, traceability, cleanliness, fitness.
+WEIGHTS_REVIEW = (0.15, 0.25, 0.40, 0.10, 0.10)
 
-def scores_v2(found: DataFrame) -> DataFrame:
-    """Per document the five axes, the weighted overall score and the verdict, from findings (one pass)."""
-    n = lambda check, level=None: F.sum(F.when(F.col("check_id").isin(*check) & (F.lit(True) if level is None else F.col("severity") == level), 1).otherwise(0))
-    own = ("D_FORMAT", "E_LANGUAGE", "F_IDS", "G_TRACEABILITY")
-    d = found.groupBy("doc_id").agg(
-        n(("A_SECTION_COVERAGE",), "pass").alias("met"), n(("A_SECTION_COVERAGE",)).alias("sections"), n(("B_SECTION_ORDER",)).alias("disordered"),
-        F.sum(F.when(F.col("check_id") == "C_PLACEHOLDERS", F.col("n")).otherwise(0)).alias("residue"),
-        n(own, "pass").alias("req_pass"), n(own, "warning").alias("req_warn"), n(own, "error").alias("req_err"),
-        n(("J_STANDARDS",), "warning").alias("std_warn"), F.count_if(F.col("severity") == "error").alias("errors"),
-    )
-    d = d.select(
-        "doc_id", "errors", structure_curve(F.col("met") / F.col("sections")).alias("structure"), order_v2(F.col("disordered"), F.col("sections")).alias("section_order"),
-        cleanliness(F.col("residue")).alias("cleanliness"), requirements_v2(F.col("req_pass"), F.col("req_warn"), F.col("req_err")).alias("requirements"),
-        guide_v2(F.lit(0), F.lit(0), F.col("std_warn"), F.col("std_warn")).alias("writing_guide"),
-    )
-    axes = ("structure", "section_order", "cleanliness", "requirements", "writing_guide")
-    overall = sum((F.col(a) * w for a, w in zip(axes, WEIGHTS_V2, strict=True)), F.lit(0.0))
-    return d.withColumn("overall", overall).withColumn("verdict", verdict(F.col("overall"), F.col("errors")))
+
+def review_overall(axes: list[Column], no_id: Column) -> Column:
+    """Weighted score of a review, at most 0.20 if more than 50 rows have no identifier."""
+    total = two_decimals(sum((a * w for a, w in zip(axes, WEIGHTS_REVIEW, strict=True)), F.lit(0.0)) / sum(WEIGHTS_REVIEW))
+    return F.when((no_id > 50) & (total > 0.20), 0.20).otherwise(total)
+
+
+#: Weights of the axes: structure, order, cleanliness, requirements, guide.
+WEIGHTS_V2 = (0.25, 0.05, 0.10, 0.35, 0.25)

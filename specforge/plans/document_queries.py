@@ -200,13 +200,6 @@ def req_patterns(spark, sf_dir):
     return rules.requirement_patterns(spec(spark, sf_dir))
 
 
-def evidence_findings(spark, sf_dir):
-    return rules.findings(spec(spark, sf_dir), rules.catalogue(spark))
-
-
-QUERIES["evidence_findings"] = evidence_findings
-
-
 # ---------------------------------------------------------------- scores
 def tiers(n: str) -> str:
     return f"CASE WHEN {n} = 0 THEN 1.0 WHEN {n} <= 2 THEN 0.85 WHEN {n} <= 5 THEN 0.70 WHEN {n} <= 15 THEN 0.50 WHEN {n} <= 40 THEN 0.35 ELSE 0.20 END::DOUBLE"
@@ -232,56 +225,90 @@ def rubric_traceability(spark, sf_dir):
     return t.select("doc_id", "shall_lines", "traced", scoring.traceability_rubric(F.col("ratio"), F.col("shall_lines")).alias("score"))
 
 
-def v2_scores(spark, sf_dir):
-    return scoring.scores_v2(rules.findings(spec(spark, sf_dir), rules.catalogue(spark)))
-
-
-QUERIES["v2_scores"] = v2_scores
-
 # ---------------------------------------------------------------- chunks
 BLOCKS = rf"""WITH RECURSIVE bl AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: {strip_sql('x')}), lambda x: x <> '') AS b FROM documents),
   b AS (SELECT doc_id, unnest(b) AS text, generate_subscripts(b, 1) - 1 AS i FROM bl)"""
+TOK = lambda c: f"greatest(1, length({c}) // 2)"
 
 
-@query(f"SELECT doc_id, (i // 5)::INT AS chunk_id, string_agg(text, ' ' ORDER BY i) AS text FROM ({BLOCKS} SELECT * FROM b) GROUP BY doc_id, i // 5")
+def folded(blocks: str, flush: str, first: str, weight, size: str = "text") -> str:
+    """Recursive fold over blocks b (doc_id, i, text): `flush` tells, of state f and block b, whether b begins a chunk."""
+    w = weight(f"b.{size}")
+    return f"""{blocks}, f AS (SELECT doc_id, i, 0 AS chunk_id, 1 AS n, {weight(size)} AS size FROM b WHERE i = 0
+  UNION ALL SELECT b.doc_id, b.i, f.chunk_id + CASE WHEN {flush} THEN 1 ELSE 0 END, CASE WHEN {flush} THEN 1 ELSE f.n + 1 END, CASE WHEN {flush} THEN {w} ELSE f.size + {w} END
+  FROM f JOIN b ON b.doc_id = f.doc_id AND b.i = f.i + 1)
+  SELECT f.doc_id, f.chunk_id, string_agg(b.{first}, ' ' ORDER BY b.i) AS text FROM f JOIN b ON b.doc_id = f.doc_id AND b.i = f.i GROUP BY f.doc_id, f.chunk_id"""
+
+
+@query(folded(BLOCKS, f"(f.n >= 5 OR f.size + {TOK('b.text')} > 6000)", "text", TOK))
 def chunk_paragraphs(spark, sf_dir):
-    """Both flush rules of the reference: five paragraphs, or 6000 tokens.  The oracle has the first only: it differs where five paragraphs pass 6000."""
+    """Both flush rules: five paragraphs, or 6000 tokens."""
     return chunking.by_paragraphs(documents(spark, sf_dir)).select("doc_id", "chunk_id", "text")
 
 
-@query(f"""{BLOCKS}, f AS (SELECT doc_id, i, 0 AS chunk_id, 1 AS n, greatest(1, length(text) // 2) AS size FROM b WHERE i = 0
-  UNION ALL SELECT b.doc_id, b.i, CASE WHEN f.n >= 5 OR f.size + greatest(1, length(b.text) // 2) > 400 THEN f.chunk_id + 1 ELSE f.chunk_id END,
-    CASE WHEN f.n >= 5 OR f.size + greatest(1, length(b.text) // 2) > 400 THEN 1 ELSE f.n + 1 END,
-    CASE WHEN f.n >= 5 OR f.size + greatest(1, length(b.text) // 2) > 400 THEN greatest(1, length(b.text) // 2) ELSE f.size + greatest(1, length(b.text) // 2) END
-  FROM f JOIN b ON b.doc_id = f.doc_id AND b.i = f.i + 1)
-  SELECT f.doc_id, f.chunk_id, count(*) AS n_paragraphs, sum(length(b.text))::BIGINT AS n_chars FROM f JOIN b ON b.doc_id = f.doc_id AND b.i = f.i GROUP BY f.doc_id, f.chunk_id""")
+@query(folded(BLOCKS, f"(f.n >= 5 OR f.size + {TOK('b.text')} > 400)", "text", TOK))
 def chunk_paragraphs_capped(spark, sf_dir):
-    """Both flush rules: five paragraphs, or 400 tokens; checked by a recursive query."""
-    d = chunking.blocks_of(documents(spark, sf_dir))
-    fold = chunking._fold(
-        F.col("blocks"), lambda a, b: (F.size(a["held"]) > 0) & (a["size"] + T.estimated_tokens(b["text"]) > 400), lambda a: F.size(a["held"]) >= 5, lambda t: F.lit(False), "\x1f", T.estimated_tokens
-    )
-    parts = F.split("text", "\x1f")
-    return chunking._exploded(d, fold).select("doc_id", "chunk_id", F.size(parts).cast("long").alias("n_paragraphs"), F.aggregate(parts, F.lit(0).cast("long"), lambda s, p: s + F.char_length(p)).alias("n_chars"))
+    """As above with a limit that binds often."""
+    return chunking.by_paragraphs(documents(spark, sf_dir), max_tokens=400).select("doc_id", "chunk_id", "text")
+
 
+UPPER = r"length(regexp_replace(b.text, '[^\p{Lu}]', '', 'g')) / greatest(1, length(regexp_replace(b.text, '[^\p{L}]', '', 'g')))"
+HEADED = f"(regexp_matches(b.text, {quoted(chunking.HEADINGS)}) OR (length(b.text) BETWEEN 4 AND 80 AND {UPPER} > 0.7))"
 
+
+@query(folded(BLOCKS, f"({HEADED} OR f.size + {TOK('b.text')} > 6000)", "text", TOK))
 def chunk_sections(spark, sf_dir):
-    return chunking.by_sections(documents(spark, sf_dir))
+    return chunking.by_sections(documents(spark, sf_dir)).select("doc_id", "chunk_id", "text")
 
 
-def chunk_section_aware(spark, sf_dir):
-    return chunking.by_section_aware(documents(spark, sf_dir))
+GL = cte("fx_guide_lines").replace("WITH ", "WITH RECURSIVE ", 1)
+MARKED = rf"""{GL}, m0 AS (SELECT doc_id, line_no, {strip_sql('line')} AS t, CASE WHEN regexp_matches({strip_sql('line')}, '^[A-Z][A-Z\s]{{2,}}$') THEN 1 WHEN regexp_matches({strip_sql('line')}, '^\d+\.\d+\s+[A-Z]') THEN 2
+    WHEN regexp_matches({strip_sql('line')}, '^\d+\s+[A-Z]') THEN 3 END AS level FROM fx_guide_lines),
+  m1 AS (SELECT * FROM m0 WHERE t <> '' AND NOT regexp_matches(t, '<<[^>]*>>') AND NOT (regexp_matches(t, '(?i)\b(TBD|XXX|TODO)\b') AND length(t) < 50)),
+  b AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS i, t, level, CASE WHEN contains(t, '|') THEN '[Number | Description | Upstream] ' || t ELSE t END AS text FROM m1)"""
+LEN = lambda c: f"length({c})"
 
 
+@query(folded(MARKED, "(f.size >= 150 AND (coalesce(b.level <= 3, false) OR f.size + length(b.t) > 8000))", "text", LEN, "t"))
+def chunk_section_aware(spark, sf_dir):
+    """Blocks with levels, tables and template text, with the limits of a writing guide."""
+    blocks = chunking.marked_blocks(fixture(spark, sf_dir, "fx_guide_lines"))
+    return chunking.by_section_aware(blocks, source_file="Writing_guide.docx").select("doc_id", "chunk_id", "text")
+
+
+@query(folded(MARKED, "(f.size >= 150 AND (coalesce(b.level <= 2, false) OR f.size + length(b.t) > 400))", "text", LEN, "t"))
+def chunk_section_aware_capped(spark, sf_dir):
+    """As above for other files, with a cap that binds."""
+    blocks = chunking.marked_blocks(fixture(spark, sf_dir, "fx_guide_lines"))
+    return chunking.by_section_aware(blocks, max_tokens=200).select("doc_id", "chunk_id", "text")
+
+
+@query(rf"""WITH RECURSIVE sl AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents),
+  st AS (SELECT doc_id, k, {strip_sql('line')} AS s FROM sl), hs AS (SELECT *, CASE WHEN length(s) < 80 THEN regexp_replace({strip_sql(f"regexp_extract(s, {quoted(chunking.PASSAGE_HEADING)}, 1)")}, ':+$', '') ELSE '' END AS h FROM st),
+  gs AS (SELECT *, sum(CASE WHEN h <> '' OR s = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS g, last_value(nullif(h, '') IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY k) AS sec FROM hs),
+  pa AS (SELECT doc_id, g, coalesce(any_value(sec), '') AS sec, string_agg(s, ' ' ORDER BY k) AS text FROM gs WHERE h = '' AND s <> '' GROUP BY doc_id, g),
+  p AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY g) AS i, sec, text, length(text) AS n, sum(length(text)) OVER (PARTITION BY doc_id ORDER BY g) AS upto FROM pa),
+  back AS (SELECT a.doc_id, a.i, coalesce(min(b.i), a.i) AS first FROM p a LEFT JOIN p b ON b.doc_id = a.doc_id AND b.i < a.i AND a.upto - a.n - b.upto + b.n <= 180 GROUP BY a.doc_id, a.i),
+  f AS (SELECT doc_id, i, 0 AS chunk_id, i AS first, sec AS section, n::BIGINT AS size FROM p WHERE i = 1
+    UNION ALL SELECT p.doc_id, p.i, f.chunk_id + CASE WHEN f.size + p.n > 900 THEN 1 ELSE 0 END, CASE WHEN f.size + p.n > 900 THEN greatest(f.first, k.first) ELSE f.first END, CASE WHEN f.size + p.n > 900 THEN p.sec ELSE f.section END,
+      (p.upto - (SELECT q.upto - q.n FROM p q WHERE q.doc_id = p.doc_id AND q.i = CASE WHEN f.size + p.n > 900 THEN greatest(f.first, k.first) ELSE f.first END))::BIGINT
+    FROM f JOIN p ON p.doc_id = f.doc_id AND p.i = f.i + 1 JOIN back k ON k.doc_id = p.doc_id AND k.i = p.i),
+  c AS (SELECT doc_id, chunk_id, any_value(first) AS first, any_value(section) AS section, max(i) AS last FROM f GROUP BY doc_id, chunk_id)
+  SELECT c.doc_id, c.chunk_id, c.section, string_agg(p.text, ' ' ORDER BY p.i) AS text FROM c JOIN p ON p.doc_id = c.doc_id AND p.i BETWEEN c.first AND c.last GROUP BY c.doc_id, c.chunk_id, c.section""")
 def chunk_overlap(spark, sf_dir):
     return chunking.with_overlap(documents(spark, sf_dir))
 
 
+@query(rf"""{BLOCKS}, s AS (SELECT *, regexp_extract(text, '{chunking.STANDARD_SECTION}', 1) AS num FROM b),
+  g AS (SELECT *, 'STA' || doc_id || CASE WHEN max(CASE WHEN num <> '' THEN i END) OVER w IS NULL THEN '' ELSE ' §' || last_value(nullif(num, '') IGNORE NULLS) OVER w END AS sec FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+  f AS (SELECT doc_id, i, 0 AS chunk_id, length(text) AS size FROM g WHERE i = 0
+    UNION ALL SELECT g.doc_id, g.i, f.chunk_id + CASE WHEN (g.num <> '' AND f.size * 2 > 800) OR f.size + length(g.text) > 800 THEN 1 ELSE 0 END,
+      CASE WHEN (g.num <> '' AND f.size * 2 > 800) OR f.size + length(g.text) > 800 THEN length(g.text) ELSE f.size + length(g.text) END FROM f JOIN g ON g.doc_id = f.doc_id AND g.i = f.i + 1),
+  c AS (SELECT f.doc_id, chunk_id, string_agg(text, ' ' ORDER BY g.i) AS text, min(g.i) AS a, max(g.i) AS z FROM f JOIN g ON g.doc_id = f.doc_id AND g.i = f.i GROUP BY f.doc_id, chunk_id)
+  SELECT c.doc_id, c.chunk_id, coalesce(n.sec, l.sec) AS section, c.text FROM c LEFT JOIN g n ON n.doc_id = c.doc_id AND n.i = c.z + 1 JOIN g l ON l.doc_id = c.doc_id AND l.i = c.z""")
 def chunk_standard(spark, sf_dir):
-    return chunking.chunk_standard(documents(spark, sf_dir))
-
-
-QUERIES |= {f.__name__: f for f in (chunk_sections, chunk_section_aware, chunk_overlap, chunk_standard)}
+    d = documents(spark, sf_dir).withColumn("code", F.concat(F.lit("STA"), F.col("doc_id")))
+    return chunking.chunk_standard(d)
 
 
 # ---------------------------------------------------------------- requirements
@@ -291,13 +318,52 @@ def extract_requirements_inline(spark, sf_dir):
     return requirements.inline_requirements(spec(spark, sf_dir))
 
 
-def extract_requirements(spark, sf_dir):
+ROWS = rf"""{S}, r AS (SELECT doc_id, line_no, list_transform(string_split(line, '|'), lambda x: trim(x)) AS c FROM fx_spec_lines),
+  q AS (SELECT doc_id, c[1] AS req_id, c[2] AS text, line_no FROM r WHERE regexp_matches(c[1], '^(REF|APP|GEN)-[A-Z0-9][A-Z0-9_.-]+$') AND len(c) = 3 QUALIFY row_number() OVER (PARTITION BY doc_id, c[1] ORDER BY line_no) = 1)"""
+
+
+def spec_texts(spark, sf_dir) -> DataFrame:
     ordered = F.array_sort(F.collect_list(F.struct("line_no", "line")))
-    texts = spec(spark, sf_dir).groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("text"))
-    return requirements.extract_requirements(texts)
+    return spec(spark, sf_dir).groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("text"))
+
+
+@query(f"{ROWS} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1)::INT AS seq, req_id, text, (line_no + 1)::INT AS line_no FROM q")
+def extract_requirements(spark, sf_dir):
+    """The whole scan.  In these documents every requirement is one closed row, which SQL can tell; golden cases hold the rest."""
+    return requirements.extract_requirements(spec_texts(spark, sf_dir))
+
+
+@query(f'{ROWS} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY line_no) + 9)::INT AS "row", text AS col_a, req_id AS col_c FROM q')
+def matrix_template_rows(spark, sf_dir):
+    """Rows that fill the matrix template: description in column A, identifier in column C, from row 10 on."""
+    return requirements.matrix_rows(extract_requirements(spark, sf_dir))
+
+
+TABLES = rf"""{cte('fx_guide_lines')}, tb AS (SELECT doc_id, line_no, line_no // 6 AS table_index, line_no % 6 AS row_index, (doc_id + line_no // 6) % 5 AS form, line FROM fx_guide_lines),
+  tr AS (SELECT doc_id, CAST(table_index AS INT) AS table_index, CAST(row_index AS INT) AS row_index, CASE WHEN table_index % 2 = 0 THEN 'A' ELSE 'B' END AS section, form, line FROM tb)"""
+
+
+def requirement_tables(spark, sf_dir) -> DataFrame:
+    """Six lines are a table: its header in one of five forms, then rows."""
+    d = fixture(spark, sf_dir, "fx_guide_lines").withColumns({"table_index": F.expr("cast(line_no div 6 as int)"), "row_index": F.expr("cast(line_no % 6 as int)")})
+    form = (F.col("doc_id") + F.col("table_index")) % 5
+    words = [["Requirement number", "Description", "Input requirement"], ["Mark", "Reference", "Title"], ["Parameter", "Value"], ["Description", "Upstream requirement", "Remark"], ["Parameter", "Description", "Unit"]]
+    header = F.when(form == 0, F.array(*map(F.lit, words[0])))
+    for k in range(1, 5):
+        header = header.when(form == k, F.array(*map(F.lit, words[k])))
+    own = F.when(F.col("row_index") % 2 == 1, F.concat(F.lit("REF-A-"), F.col("line_no").cast("string"), F.lit("@x\nAtt"))).otherwise("")
+    row = F.when(form == 0, F.array(own, F.col("line"), F.lit("N/A"))).when(form == 3, F.array(F.col("line"), F.lit("UP-1"), F.lit(""))).otherwise(F.array(F.col("line"), F.lit("1"), F.lit("V")))
+    section = F.when(F.col("table_index") % 2 == 0, "A").otherwise("B")
+    return d.select("doc_id", "table_index", "row_index", section.alias("section"), F.when(F.col("row_index") == 0, header).otherwise(row).alias("cells"))
 
 
-QUERIES["extract_requirements"] = extract_requirements
+@query(rf"""{TABLES}, s3 AS (SELECT doc_id, table_index, count(*) FILTER (row_index <= 3 AND length(line) > 10) AS sampled, count(*) FILTER (row_index <= 3 AND length(line) > 10 AND {found('line', requirements.LIKE_REQUIREMENT)}) AS alike
+    FROM tr WHERE row_index > 0 GROUP BY doc_id, table_index)
+  SELECT t.doc_id, t.table_index, t.row_index, t.section, CASE WHEN form = 0 THEN CASE WHEN row_index % 2 = 1 THEN 'REF-A-' || (t.table_index * 6 + row_index) ELSE '' END END AS req_id, line AS description, CASE WHEN form = 0 THEN 'N/A' ELSE 'UP-1' END AS input_requirement
+  FROM tr t JOIN s3 ON s3.doc_id = t.doc_id AND s3.table_index = t.table_index WHERE row_index > 0 AND (form = 0 OR (form = 3 AND NOT (sampled > 0 AND alike = 0))) AND (line <> '' OR (form = 0 AND row_index % 2 = 1))""")
+def requirement_table_rows(spark, sf_dir):
+    """Rows of the tables that are requirement tables, with cleaned identifiers."""
+    return requirements.table_requirements(requirement_tables(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- reports
