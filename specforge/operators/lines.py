@@ -15,6 +15,16 @@ SECTION_WORDS = tuple(
     validation demonstration compliance traceability configuration network electrical mechanical machine weight withdrawal flexibility
     extension transportability storage packaging protection hostility resources reserve capacity document""".split()
 )
+#: The same for the first review.
+SECTION_WORDS_V1 = tuple(
+    """purpose scope system development context general description roles physical architecture diversity quoted documents reference
+    applicable terminology glossary acronyms requirements functional performance external interfaces operational mission profile lifetime
+    ergonomics human factors rams safety maintainability product quality constraint design manufacturing environment conditions integration
+    validation demonstration compliance traceability configuration parameters appendix annex component output input analysis noise water
+    tightness corrosion electronic mechanical testing""".split()
+)
+CAPS_V1 = r"^([A-Z][A-Z\s/()\-&,:;.–—]{2,})$"
+CONTENTS = r"^\d+\t([A-Z][A-Za-z\s/()\-&,:;.]{2,})\t\d+"
 CAPS = r"^([A-Z][A-Z0-9\s/()\-&,:;.–—]{2,})$"
 TITLE = r"^([A-Z][A-Za-z]+(?:\s+(?:[A-Z][A-Za-z]+|[a-z]+)){0,5})$"
 NUMBERED = r"^\d+(?:\.\d+)*\.?\s+([A-Z][A-Za-z\s/()\-&,:;.]{2,})$"
@@ -30,27 +40,35 @@ def by_line(*more: str) -> Window:
     return Window.partitionBy("doc_id", *more).orderBy("line_no")
 
 
-def heading_of(line: Column) -> Column:
-    """Name of the section that a line begins, or null: capitals, Title Case with a section word, numbered."""
+def heading_of(line: Column, caps_pattern: str = CAPS, section_words: tuple[str, ...] = SECTION_WORDS, longest: int = 120, contents: str | None = None) -> Column:
+    """Name of the section that a line begins, or null: capitals, Title Case with a section word, numbered, or a line of a table of contents."""
 
     def capitals(s: Column) -> Column:
-        caps = F.regexp_replace(strip(F.regexp_extract(s, CAPS, 1)), ":+$", "")
+        caps = F.regexp_replace(strip(F.regexp_extract(s, caps_pattern, 1)), ":+$", "")
         return bound(caps, lambda c: F.when((F.char_length(c) >= 3) & (upper_ratio(c) >= 0.8), c))
 
     def titled(s: Column) -> Column:
-        worded = lambda t: F.arrays_overlap(F.split(F.lower(t), r"\s+"), F.array(*[F.lit(w) for w in SECTION_WORDS]))
+        worded = lambda t: F.arrays_overlap(F.split(F.lower(t), r"\s+"), F.array(*[F.lit(w) for w in section_words]))
         return bound(F.regexp_extract(s, TITLE, 1), lambda t: F.when((F.char_length(t) >= 3) & worded(t), t))
 
-    def numbered(s: Column) -> Column:
-        return bound(strip(F.regexp_extract(s, NUMBERED, 1)), lambda n: F.when(F.char_length(n) >= 3, n))
+    def extracted(s: Column, pattern: str) -> Column:
+        return bound(strip(F.regexp_extract(s, pattern, 1)), lambda n: F.when(F.char_length(n) >= 3, n))
+
+    def name(s: Column) -> Column:
+        more = [extracted(s, contents)] if contents else []
+        return F.coalesce(capitals(s), titled(s), extracted(s, NUMBERED), *more)
+
+    return bound(strip(line), lambda s: F.when((s != "") & (F.char_length(s) <= longest) & ~s.rlike(LISTED), name(s)))
+
 
-    name = lambda s: F.coalesce(capitals(s), titled(s), numbered(s))
-    return bound(strip(line), lambda s: F.when((s != "") & (F.char_length(s) <= 120) & ~s.rlike(LISTED), name(s)))
+def first_review_heading(line: Column) -> Column:
+    """As the first review sees headings: no digits in capitals, another list of words, and lines of the table of contents."""
+    return heading_of(line, CAPS_V1, SECTION_WORDS_V1, 100, CONTENTS)
 
 
-def detected_sections(lines: DataFrame) -> DataFrame:
+def detected_sections(lines: DataFrame, heading=heading_of) -> DataFrame:
     """(doc_id, section, line_no): first occurrence of every heading."""
-    return lines.withColumn("section", heading_of(F.col("line"))).where("section is not null").groupBy("doc_id", "section").agg(F.min("line_no").alias("line_no"))
+    return lines.withColumn("section", heading(F.col("line"))).where("section is not null").groupBy("doc_id", "section").agg(F.min("line_no").alias("line_no"))
 
 
 def with_section(lines: DataFrame) -> DataFrame:

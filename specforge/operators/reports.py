@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from specforge import lexicon
 from specforge.functions.text import strip
 from specforge.operators import rules, scoring
-from specforge.operators.lines import with_section
+from specforge.operators.lines import detected_sections, first_review_heading, with_section
 
 
 def placeholder_places(lines: DataFrame, shown: int = 5) -> DataFrame:
@@ -45,27 +46,70 @@ def matrix_stats(found: DataFrame, shown: int = 10) -> DataFrame:
     return found.groupBy("doc_id").agg(F.count("*").alias("total"), F.count_if(F.col("req_id") != "").alias("with_id"), F.count_if(F.col("req_id") == "").alias("without_id"), F.slice(ids, 1, shown).alias("first_ids"))
 
 
-#: Weights of the first validator's axes: structure, cleanliness, requirements, writing guide.
+#: Weights of the first review's axes: structure, cleanliness, requirements, writing guide.
 WEIGHTS_V1 = (0.35, 0.15, 0.30, 0.20)
-
-
-def guide_v1(subjective: Column, figures: Column) -> Column:
-    return 1 - F.when(subjective > 0, 0.15).otherwise(0.0) - F.when(figures == 0, 0.05).otherwise(0.0)
-
-
-def v1_report(lines: DataFrame, wanted: DataFrame) -> DataFrame:
-    """First validator: four axes, weighted overall score and verdict per document."""
-    cover = rules.matched_sections(lines, wanted).groupBy("doc_id").agg((F.count("section") / F.count("*")).alias("ratio"), (F.count("*") - F.count("section")).alias("missing"))
-    residue = rules.placeholder_counts(lines).select("doc_id", (F.col("placeholders") + F.col("variables") + F.col("tbd")).alias("residue"))
-    traced = rules.traceability(lines).select("doc_id", "shall_lines", "ratio").withColumnRenamed("ratio", "trace_ratio")
-    ids = rules.requirement_ids(lines).select("doc_id", (F.col("with_id") / F.col("shall_lines")).alias("id_ratio"))
-    words = rules.requirement_language(lines).select("doc_id", "subjective")
-    d = cover.join(residue, "doc_id").join(traced, "doc_id", "left").join(ids, "doc_id", "left").join(words, "doc_id")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+# Patterns of the first review.
+VARIABLE_V1 = r"<component name>|<part name>|<Part name>|<name of the Model>|<reference>|<PSP>"
+TRACE_V1 = (
+    r"(?i)\binput\s+requirement\b|\bderived\s+from\b|\bbased\s+on\b.{0,50}(?:requirement|spec|standard|regulation)|\b(?:traced|traceable)\s+to\b"
+    r"|\boriginating\s+(?:from|requirement)\b|\bupstream\s+(?:requirement|source)\b|\bsource\s+(?:requirement|document|spec)\b|\bISO\s*\d{4,6}(?:[:\-]\d+)?\b"
+    r"|\bSAE[-\s]?[JZ]\d+\b|\bECER\d{2,3}\b|\bFMVSS\s*\d+\b|\bISTA\s*\d[\.\d]*\b|\btraced?\s+(?:to|from)\b",
+    r"\bVF_\d{2,6}\b|\bCS\.\d{4,6}\b|PSA_Comments@|Att_Sdf@|\[([A-Z]{2,}[_\s][A-Z]{2,}[_\d]*)\]|\b[tT]raceability\b|\bN/A\b",
+)
+
+
+def met_v1(required: str) -> Column:
+    """Whether a detected section (names) meets a required one: one name in the other, or 60 % of the required words."""
+    want = sorted(set(required.lower().split()))
+
+    def fits(n: Column) -> Column:
+        low = F.lower(n)
+        shared = F.size(F.array_intersect(F.split(low, r"\s+"), F.array(*[F.lit(w) for w in want])))
+        return F.contains(low, F.lit(required.lower())) | F.contains(F.lit(required.lower()), low) | (shared * 10 >= 6 * len(want))
+
+    return F.exists("names", fits)
+
+
+def v1_report(lines: DataFrame, mandatory=lexicon.MANDATORY_SECTIONS, recommended=lexicon.RECOMMENDED_SECTIONS) -> DataFrame:
+    """First review: four axes and the weighted score (two decimals), the verdict, and counts of findings by severity.  A blank document is one error."""
+    l = lines.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]).alias("rows"))
+    heads = detected_sections(lines, first_review_heading).groupBy("doc_id").agg(F.collect_list("section").alias("names"))
+    d = l.join(heads, "doc_id", "left").withColumns({"names": F.coalesce("names", F.array().cast("array<string>")), "text": F.array_join("rows", "\n")})
+    rows, text = F.col("rows"), F.col("text")
+    count = lambda p: F.regexp_count(text, F.lit(p))
+    missed = lambda names: sum(((~met_v1(n)).cast("int") for n in names), F.lit(0))
+    sentences = F.filter(rows, rules.is_shall)
+    around = lambda i: F.array_join(F.slice(rows, F.greatest(i - 9, F.lit(1)), F.least(i, F.lit(10)) + 11), " ")
+    placed = F.filter(F.transform(rows, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: rules.is_shall(s["x"]))
+    ids = F.size(F.array_distinct(F.flatten(F.transform(rows, lambda x: F.regexp_extract_all(x, F.lit(f"({rules.REQUIREMENT_ID})"), F.lit(1))))))
+    d = d.select(
+        "doc_id", "text", "names", missed(mandatory).alias("missing"), missed(recommended).alias("unrecommended"), count(rules.PLACEHOLDER).alias("placeholders"), count(rules.TBD).alias("tbds"),
+        count(VARIABLE_V1).alias("variables"), F.size(sentences).alias("total"), ids.alias("ids"), F.size(F.filter(sentences, lambda x: x.rlike(rules.REQUIREMENT_ID))).alias("inline"),
+        F.size(F.filter(placed, lambda s: around(s["i"]).rlike(rules.REQUIREMENT_ID))).alias("nearby"), F.size(F.filter(sentences, lambda x: x.rlike(TRACE_V1[0]) | x.rlike(TRACE_V1[1]))).alias("traced"),
+        count(rules.SHALL).alias("shall"), count(r"(?i)\bshould\b").alias("should"), count(r"(?i)\bmay\b").alias("may"),
+    )
+    near = F.when(F.col("inline") > 0, F.col("inline")).when(F.col("ids") > 0, F.col("nearby")).otherwise(0)
+    d = d.withColumn("with_id", F.when(near > 0, near).otherwise(F.least("ids", "total")))
+    told = F.exists("names", lambda n: F.lower(n).rlike("update|revision|history")) | text.rlike(r"(?i)table\s+of\s+updates|revision\s+history|update\s+history")
+    faults = (
+        (~told, 0.1), (~text.rlike(r"(?i)author|identification|RSP-\d+"), 0.1), ((F.col("shall") == 0) & ((F.col("should") > 5) | (F.col("may") > 5)), 0.15),
+        (~text.rlike(r"(?i)figure\s+<?\d+|picture\s+\d+|table\s+\d+"), 0.05), (met_v1("ACRONYMS") & ~text.rlike(r"[A-Z]{2,}\s*[:\-—]\s*[A-Z]"), 0.05),
+    )
+    d = d.withColumns({f"_f{k}": test for k, (test, _) in enumerate(faults)})
+    lost = sum((F.when(F.col(f"_f{k}"), w).otherwise(0.0) for k, (_, w) in enumerate(faults)), F.lit(0.0))
+    found = sum((F.col(f"_f{k}").cast("int") for k in range(len(faults))), F.lit(0))
+    total, some = F.col("total"), lambda c: (c > 0).cast("int")
     axes = {
-        "structure": scoring.structure_curve(F.col("ratio")), "cleanliness": scoring.cleanliness(F.col("residue")),
-        "requirements": scoring.requirements_v1(F.coalesce("shall_lines", F.lit(0)), zero("id_ratio"), zero("trace_ratio")), "writing_guide": guide_v1(F.col("subjective"), F.lit(0)),
+        "structure": scoring.structure_curve((len(mandatory) - F.col("missing")) / len(mandatory)), "cleanliness": scoring.cleanliness(F.col("placeholders") + F.col("tbds") + F.col("variables")),
+        "requirements": F.least(F.lit(1.0), scoring.requirements_v1(total, F.col("with_id") / total, F.col("traced") / total)), "writing_guide": F.greatest(1 - lost, F.lit(0.0)),
     }
-    d = d.select("doc_id", "missing", *[c.alias(a) for a, c in axes.items()])
-    overall = sum((F.col(a) * w for a, w in zip(axes, WEIGHTS_V1, strict=True)), F.lit(0.0))
-    return d.withColumn("overall", overall).withColumn("verdict", scoring.verdict(F.col("overall"), F.col("missing")))
+    blank = strip(F.col("text")) == ""
+    warnings = F.col("unrecommended") + some(F.col("placeholders")) + some(F.col("tbds")) + some(F.col("variables")) + found
+    warnings = warnings + ((total > 0) & (F.col("with_id") == 0)).cast("int") + ((total > 0) & (F.col("traced") == 0)).cast("int")
+    d = d.select(
+        "doc_id", blank.alias("blank"), F.when(blank, 1).otherwise(F.col("missing") + (total == 0).cast("int")).alias("errors"), F.when(blank, 0).otherwise(warnings).alias("warnings"),
+        F.when(blank, 0).otherwise(some(total)).alias("infos"), "total", "with_id", "traced", *[F.when(~blank, scoring.two_decimals(c)).alias(a) for a, c in axes.items()],
+    )
+    overall = scoring.two_decimals(sum((F.col(a) * w for a, w in zip(axes, WEIGHTS_V1, strict=True)), F.lit(0.0)))
+    d = d.withColumn("overall", F.coalesce(overall, F.lit(0.0)))
+    return d.withColumn("verdict", F.when(F.col("blank"), "NON_COMPLIANT").otherwise(scoring.verdict(F.col("overall"), F.col("errors")))).drop("blank")

@@ -395,19 +395,3 @@ def section_summary(spark, sf_dir):
 def matrix_stats(spark, sf_dir):
     d = reports.matrix_stats(requirements.inline_requirements(spec(spark, sf_dir)))
     return d.withColumn("first_ids", F.array_join("first_ids", ","))
-
-
-@query(f"""{COVER}, cv AS (SELECT doc_id, count(section)::DOUBLE / count(*) AS ratio, count(*) - count(section) AS missing FROM cover GROUP BY doc_id),
-  rs AS (SELECT doc_id, sum({times('line', PLACE)} + {times('line', VAR)} + {times('line', TBD)})::BIGINT AS residue, count(*) FILTER ({found('line', SH)} AND {found('line', SUBJ)}) AS subjective FROM fx_spec_lines GROUP BY doc_id),
-  w AS (SELECT *, {IS_SHALL} AS own, {TRACED} AS hit, max(CAST({TRACED} AS INT)) OVER x AS near, max(CAST({found('line', rules.REQUIREMENT_ID)} AS INT)) OVER x AS idn FROM fx_spec_lines WINDOW x AS (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING)),
-  t AS (SELECT doc_id, count(*) AS n, CASE WHEN count(*) FILTER (hit) > 0 THEN count(*) FILTER (hit) ELSE count(*) FILTER (near = 1) END / count(*) AS tr, count(*) FILTER (idn = 1) / count(*) AS ir FROM w WHERE own GROUP BY doc_id),
-  a AS (SELECT cv.doc_id, missing, least(1.0::DOUBLE, CASE WHEN ratio >= 0.95::DOUBLE THEN 0.9::DOUBLE + (ratio - 0.95::DOUBLE) * 2 WHEN ratio >= 0.80::DOUBLE THEN 0.6::DOUBLE + (ratio - 0.80::DOUBLE) * 2
-      WHEN ratio >= 0.60::DOUBLE THEN 0.3::DOUBLE + (ratio - 0.60::DOUBLE) * 1.5::DOUBLE ELSE ratio * 0.5::DOUBLE END) AS structure, {tiers('residue')} AS cleanliness,
-    least(n / 20.0::DOUBLE, 1.0::DOUBLE) * 0.5::DOUBLE + ir * 0.3::DOUBLE + tr * 0.2::DOUBLE AS requirements, 1.0::DOUBLE - CASE WHEN subjective > 0 THEN 0.15::DOUBLE ELSE 0.0::DOUBLE END - 0.05::DOUBLE AS writing_guide
-    FROM cv JOIN rs ON rs.doc_id = cv.doc_id JOIN t ON t.doc_id = cv.doc_id)
-  SELECT doc_id, missing, CAST(floor(structure * 1e6 + 0.5) AS BIGINT) AS structure, CAST(floor(cleanliness * 1e6 + 0.5) AS BIGINT) AS cleanliness, CAST(floor(requirements * 1e6 + 0.5) AS BIGINT) AS requirements,
-    CAST(floor(writing_guide * 1e6 + 0.5) AS BIGINT) AS writing_guide FROM a""")
-def v1_report(spark, sf_dir):
-    """Axes in millionths, so that the last digit of a double doesn't matter."""
-    d = reports.v1_report(spec(spark, sf_dir), rules.catalogue(spark))
-    return d.select("doc_id", "missing", *[F.floor(F.col(a) * 1e6 + 0.5).alias(a) for a in ("structure", "cleanliness", "requirements", "writing_guide")])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from specforge import lexicon
 from specforge.fixtures import cte, fixture
-from specforge.operators import evidence, rules
+from specforge.operators import evidence, lines, reports, rules
 from specforge.plans.document_queries import SQL_HEADING, strip_sql
 from specforge.plans.registry import found, listed, quoted, registry, times
 
@@ -166,3 +166,45 @@ _own, _guide, _all = "check_seq BETWEEN 4 AND 7", "(check_seq IN (8, 9, 10) OR (
 def v2_scores(spark, sf_dir):
     """Five axes, the weighted score and the verdict of the evidence checks."""
     return evidence.scores(all_findings(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- first review
+_worded = "(" + "|".join(lines.SECTION_WORDS_V1) + ")"
+V1 = rf"""{G}, hd AS (SELECT *, CASE WHEN s = '' OR length(s) > 100 OR regexp_matches(s, '^\d+\.\s+[A-Z][a-z]') THEN NULL WHEN regexp_matches(s, {quoted(lines.CAPS_V1)}) THEN regexp_replace(s, ':+$', '')
+    WHEN regexp_matches(s, '{lines.TITLE}') AND length(s) >= 3 AND regexp_matches(' ' || lower(s) || ' ', '\s{_worded}\s') THEN s
+    WHEN regexp_matches(s, {quoted(lines.NUMBERED)}) THEN regexp_replace(s, '^\d+(\.\d+)*\.?\s+', '') WHEN regexp_matches(s, {quoted(lines.CONTENTS)}) THEN trim(regexp_extract(s, {quoted(lines.CONTENTS)}, 1)) END AS heading
+    FROM (SELECT *, {strip_sql('line')} AS s FROM fx_guide_lines)),
+  sec AS (SELECT doc_id, heading AS section, min(line_no) AS line_no FROM hd WHERE heading IS NOT NULL GROUP BY doc_id, heading)"""
+
+
+@query(f"{V1} SELECT doc_id, section, line_no FROM sec")
+def first_review_sections(spark, sf_dir):
+    return lines.detected_sections(spec(spark, sf_dir), lines.first_review_heading)
+
+
+_met = lambda req, sec: f"(contains(lower({sec}), lower({req})) OR contains(lower({req}), lower({sec})) OR len(list_intersect({SPLIT(sec)}, {SPLIT(req)})) * 10 >= 6 * len({SPLIT(req)}))"
+_traced1 = lambda c: f"({found(c, reports.TRACE_V1[0])} OR {found(c, reports.TRACE_V1[1])})"
+_n = len(lexicon.MANDATORY_SECTIONS)
+
+
+@query(rf"""{V1}, {_need}, ln AS (SELECT *, {found('line', rules.SHALL)} AND length({strip_sql('line')}) > 20 AS own FROM fx_guide_lines),
+  d0 AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY line_no) AS text, count(*) FILTER (own) AS total, count(*) FILTER (own AND {found('line', rules.REQUIREMENT_ID)}) AS inline, count(*) FILTER (own AND {_traced1('line')}) AS traced FROM ln GROUP BY doc_id),
+  cv AS (SELECT d0.doc_id, n.required, n.mandatory, bool_or({_met('n.required', 'sec.section')}) AS met FROM d0 CROSS JOIN need n LEFT JOIN sec ON sec.doc_id = d0.doc_id GROUP BY ALL),
+  ms AS (SELECT doc_id, count(*) FILTER (mandatory AND NOT coalesce(met, false)) AS missing, count(*) FILTER (NOT mandatory AND NOT coalesce(met, false)) AS unrec FROM cv GROUP BY doc_id),
+  ids AS (SELECT doc_id, count(DISTINCT id) AS ids FROM (SELECT doc_id, unnest(regexp_extract_all(line, {quoted(rules.REQUIREMENT_ID)})) AS id FROM ln) GROUP BY doc_id),
+  sx AS (SELECT doc_id, bool_or(regexp_matches(lower(section), 'update|revision|history')) AS hist, bool_or({_met("'ACRONYMS'", 'section')}) AS acr FROM sec GROUP BY doc_id),
+  x AS (SELECT d0.*, missing, unrec, coalesce(ids, 0) AS ids, coalesce(w.n, 0) AS nearby, {times('text', rules.PLACEHOLDER)} AS ph, {times('text', rules.TBD)} AS tb, {times('text', reports.VARIABLE_V1)} AS vr,
+      NOT (coalesce(hist, false) OR regexp_matches(text, '(?i)table\s+of\s+updates|revision\s+history|update\s+history')) AS f0, NOT regexp_matches(text, '(?i)author|identification|RSP-\d+') AS f1,
+      {times('text', rules.SHALL)} = 0 AND ({times('text', '(?i)' + chr(92) + 'bshould' + chr(92) + 'b')} > 5 OR {times('text', '(?i)' + chr(92) + 'bmay' + chr(92) + 'b')} > 5) AS f2,
+      NOT regexp_matches(text, '(?i)figure\s+<?\d+|picture\s+\d+|table\s+\d+') AS f3, coalesce(acr, false) AND NOT regexp_matches(text, '[A-Z]{{2,}}\s*[:\-—]\s*[A-Z]') AS f4
+    FROM d0 JOIN ms ON ms.doc_id = d0.doc_id LEFT JOIN ids ON ids.doc_id = d0.doc_id LEFT JOIN sx ON sx.doc_id = d0.doc_id LEFT JOIN {_near(lambda c: found(c, rules.REQUIREMENT_ID), 'w')} ON w.doc_id = d0.doc_id),
+  y AS (SELECT *, CASE WHEN inline > 0 THEN inline WHEN ids > 0 AND nearby > 0 THEN nearby ELSE least(ids, total) END AS with_id, CAST(f0 AS INT) + CAST(f1 AS INT) + CAST(f2 AS INT) + CAST(f3 AS INT) + CAST(f4 AS INT) AS faults FROM x),
+  z AS (SELECT doc_id, missing + CASE WHEN total = 0 THEN 1 ELSE 0 END AS errors, unrec + CAST(ph > 0 AS INT) + CAST(tb > 0 AS INT) + CAST(vr > 0 AS INT) + faults + CAST(total > 0 AND with_id = 0 AS INT) + CAST(total > 0 AND traced = 0 AS INT) AS warnings,
+      CAST(total > 0 AS INT) AS infos, total, with_id, traced, {sql_round(sql_curve(f'(({_n} - missing) / {_n}::DOUBLE)'))} AS structure, {sql_round(sql_tiers('(ph + tb + vr)'))} AS cleanliness,
+      {sql_round('CASE WHEN total = 0 THEN 0.1::DOUBLE ELSE least(1.0::DOUBLE, least(total / 20.0::DOUBLE, 1.0::DOUBLE) * 0.5::DOUBLE + with_id / total * 0.3::DOUBLE + traced / total * 0.2::DOUBLE) END')} AS requirements,
+      {sql_round('1.0::DOUBLE - (CASE WHEN f0 THEN 0.1::DOUBLE ELSE 0::DOUBLE END + CASE WHEN f1 THEN 0.1::DOUBLE ELSE 0::DOUBLE END + CASE WHEN f2 THEN 0.15::DOUBLE ELSE 0::DOUBLE END + CASE WHEN f3 THEN 0.05::DOUBLE ELSE 0::DOUBLE END + CASE WHEN f4 THEN 0.05::DOUBLE ELSE 0::DOUBLE END)')} AS writing_guide FROM y),
+  o AS (SELECT *, {sql_round('structure * 0.35::DOUBLE + cleanliness * 0.15::DOUBLE + requirements * 0.30::DOUBLE + writing_guide * 0.20::DOUBLE')} AS overall FROM z)
+  SELECT *, {sql_verdict('overall', 'errors')} AS verdict FROM o""")
+def v1_report(spark, sf_dir):
+    """First review: axes, score, verdict and counts of findings."""
+    return reports.v1_report(spec(spark, sf_dir))
