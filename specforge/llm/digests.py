@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from specforge.llm.common import local_rows, long_ids, table, written
 
-#: Rows of a range, about; ranges at most (two levels of splitters).
-RANGE, LEVEL = 500, 128
+#: Rows of a range, about; splitters of a level (ranges are at most its square; beyond that they grow, and windows over them spill).
+RANGE, LEVEL = 500, 512
 LEAST_ID = -(2**63)
 
 
@@ -37,34 +37,41 @@ def wide(form: Column) -> Column:
     return F.concat(*parts, F.lit("-"), F.lower(F.hex(F.octet_length(form).cast("long"))))
 
 
-def ranged(docs: DataFrame) -> DataFrame:
-    """docs with _range, ascending with _id: two levels of quantiles as literal arrays, so a lookup costs 2 * 128 comparisons."""
-    rows = docs.count()
-    wanted = max(1, min(LEVEL * LEVEL, -(-rows // RANGE)))
-    cuts = sorted(set(docs.stat.approxQuantile("_id", [k / wanted for k in range(1, wanted)], min(0.01, 1 / (8 * wanted))))) if wanted > 1 else []
-    cuts = [int(x) for x in cuts]
+def splitters(ids: DataFrame) -> list[int]:
+    """Quantiles of _id, RANGE rows apart; drawn once, since another draw could give others."""
+    wanted = max(1, min(LEVEL * LEVEL, -(-ids.count() // RANGE)))
+    if wanted == 1:
+        return []
+    return sorted({int(x) for x in ids.stat.approxQuantile("_id", [k / wanted for k in range(1, wanted)], min(0.01, 1 / (8 * wanted)))})
+
+
+def ranged(docs: DataFrame, cuts: list[int]) -> DataFrame:
+    """docs with _range, ascending with _id: two levels of splitters as literal arrays, so a lookup costs 2 * LEVEL comparisons."""
+    if not cuts:
+        return docs.withColumn("_range", F.lit(0))
     step = max(1, -(-len(cuts) // LEVEL))
     groups = [cuts[k : k + step] for k in range(0, len(cuts), step)]
-    if not groups:
-        return docs.withColumn("_range", F.lit(0))
-    longs = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
-    inner = F.array(*[longs(g) for g in groups])
+    longs = lambda xs: F.split(F.lit(",".join(map(str, xs))), ",").cast("array<long>")
+    inner = F.transform(F.split(F.lit(";".join(",".join(map(str, g)) for g in groups)), ";"), lambda x: F.split(x, ",").cast("array<long>"))
     below = lambda xs: F.size(F.filter(xs, lambda c: c <= F.col("_id")))
-    top = below(longs([g[0] for g in groups]))
-    d = docs.withColumn("_top", top)
+    d = docs.withColumn("_top", below(longs([g[0] for g in groups])))
     low = F.when(F.col("_top") == 0, F.lit(0)).otherwise((F.col("_top") - 1) * step + below(F.get(inner, F.col("_top") - 1)))
     return d.withColumn("_range", low).drop("_top")
 
 
+def with_ids(docs: DataFrame, *more: Column) -> DataFrame:
+    return long_ids(docs, *more).withColumn("_id", F.coalesce("doc_id", F.lit(LEAST_ID)))
+
+
 def followed(docs: DataFrame) -> DataFrame:
     """(doc_id, text, fp, next_text, next_fp): beside every document the next one in descending order, round about."""
-    d = long_ids(docs, F.coalesce("text", F.lit("")).alias("text")).withColumn("_id", F.coalesce("doc_id", F.lit(LEAST_ID)))
-    d = ranged(d)
+    cuts = splitters(with_ids(docs))
+    d = ranged(with_ids(docs, F.coalesce("text", F.lit("")).alias("text")), cuts)
     d = d.withColumn("fp", wide(canonical(F.col("text"))))
     order = Window.partitionBy("_range").orderBy(F.desc("_id"), "fp", "text")
     d = d.withColumns({"_place": F.row_number().over(order), "next_text": F.lead("text").over(order), "next_fp": F.lead("fp").over(order)})
-    tops = written(ranged(long_ids(docs).withColumn("_id", F.coalesce("doc_id", F.lit(LEAST_ID)))).groupBy("_range").agg(F.max("_id").alias("_id")), "tops")
-    # one row per range, so at most 128 * 128 of them
+    tops = written(ranged(with_ids(docs), cuts).groupBy("_range").agg(F.max("_id").alias("_id")), "tops")
+    # one row per range, so at most LEVEL * LEVEL of them
     heads = d_heads(docs, tops)
     lower = Window.orderBy(F.desc("_range"))
     chain = tops.select("_range", F.lead("_range").over(lower).alias("_to"))
@@ -77,7 +84,7 @@ def followed(docs: DataFrame) -> DataFrame:
 
 def d_heads(docs: DataFrame, tops: DataFrame) -> DataFrame:
     """(head_range, head_text, head_fp): the first row of every range."""
-    d = long_ids(docs, F.coalesce("text", F.lit("")).alias("text")).withColumn("_id", F.coalesce("doc_id", F.lit(LEAST_ID)))
+    d = with_ids(docs, F.coalesce("text", F.lit("")).alias("text"))
     some = d.join(tops, "_id").withColumn("fp", wide(canonical(F.col("text"))))
     first = F.row_number().over(Window.partitionBy("_range").orderBy("fp", "text"))
     return some.withColumn("_n", first).where("_n = 1").select(F.col("_range").alias("head_range"), F.col("text").alias("head_text"), F.col("fp").alias("head_fp"))

@@ -4,16 +4,18 @@ A profile is the list of the ``TOP`` most frequent n-grams of letters (one to th
 first.  A document gets the language whose profile its own is least out of place with: for every n-gram the difference
 of its ranks, or ``TOP`` if the language lacks it.
 
-Profiles are learned from at most ``SAMPLE`` labelled documents a language, drawn by a hash of their number (the least first) among the
-documents that aren't held out; every whole text is classified.  At most ``MAX_LANGS`` languages are learned.
+Profiles are learned from at most ``SAMPLE`` labelled rows a language, drawn by a hash of their number (the least first, then by
+their place in the files) among the documents that aren't held out; every whole text is classified.  Profiles are held in
+blocks of ``BLOCK`` languages; where there are more, texts go through the blocks one after the other with their best language so far.
 
 Nulls and texts without letters are ``und`` with score 0; so is everything if nothing was learned.  Documents without a
-language or a number aren't learned from.  Ties go to the first language by name.  Repeated rows are classified each.
+language or a number aren't learned from.  Ties go to the first language by name.  Repeated rows are classified each, and each counts
+for itself in the sample.  Empty tables give no rows; columns of other names are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -22,11 +24,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from specforge.llm.common import small_batches, table, written
+from specforge.llm.common import PLACE, placed, small_batches, table, written
 
 TOP = 400
 SAMPLE = 400
-MAX_LANGS = 1000
+#: Languages whose profiles a task holds at once (400,000 numbers).
+BLOCK = 1000
+#: Codes that are counted at once while a profile is learned.
+COUNTED = 1 << 21
 GAP = 1  # code point that stands for everything but letters
 
 
@@ -52,7 +57,10 @@ def grams(text: str) -> np.ndarray:
 
 def ranked(codes: np.ndarray) -> np.ndarray:
     """The TOP most frequent codes, most frequent first, ties by code."""
-    values, n = np.unique(codes, return_counts=True)
+    return most_frequent(*np.unique(codes, return_counts=True))
+
+
+def most_frequent(values: np.ndarray, n: np.ndarray) -> np.ndarray:
     if len(values) > TOP:
         edge = np.partition(n, len(n) - TOP)[len(n) - TOP]
         values, n = values[n >= edge], n[n >= edge]
@@ -63,62 +71,101 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def profiles(docs: DataFrame) -> pd.DataFrame:
-    """lang, code, rank: the learned profiles, on the driver (at most MAX_LANGS * TOP rows)."""
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    sizes = written(labelled.groupBy("lang").agg(F.count("*").alias("_size")).withColumnRenamed("lang", "_lang"), "languages", 4)
-    drawn = F.xxhash64(F.col("doc_id").cast("long"))
-    # a draw of about twice the sample first, so that a frequent language brings no more rows to its task than a rare one
-    near = labelled.select("doc_id", "lang").join(sizes, F.col("lang") == F.col("_lang")).where(F.pmod(drawn, F.lit(1 << 30)) <= F.lit(2.0 * SAMPLE * (1 << 30)) / F.col("_size"))
-    order = Window.partitionBy("lang").orderBy(F.pmod(drawn, F.lit(1 << 30)), "doc_id")
-    chosen = written(near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= SAMPLE).select(F.col("doc_id").alias("_d")).distinct(), "sample", 4)
-    texts = labelled.join(chosen, F.col("doc_id") == F.col("_d"), "left_semi").select("lang", F.coalesce("text", F.lit("")).alias("text"))
+def sampled(docs: DataFrame) -> DataFrame:
+    """(lang, text): SAMPLE rows a language at most, by a hash of their number and then by place."""
+    rows = placed(docs)
+    d = rows.select(*PLACE, F.col("_doc.doc_id").alias("doc_id"), F.col("_doc.text").alias("text"), F.col("_doc.lang").cast("string").alias("lang"))
+    labelled = d.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+    sizes = written(labelled.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("_size")).withColumnRenamed("lang", "_lang"), "languages", 4)
+    drawn = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << 30))
+    # a draw of about twice the sample's numbers first, so that a frequent language brings no more rows to its task than a rare one
+    near = labelled.select(*PLACE, drawn.alias("_drawn"), "lang").join(sizes, F.col("lang") == F.col("_lang")).where(F.col("_drawn") <= F.lit(2.0 * SAMPLE * (1 << 30)) / F.col("_size"))
+    order = Window.partitionBy("lang").orderBy("_drawn", *PLACE)
+    chosen = written(near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= SAMPLE).select(*PLACE), "sample", 4)
+    return labelled.join(chosen, PLACE, "left_semi").select("lang", F.coalesce("text", F.lit("")).alias("text"))
+
+
+def counted(texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, counts) over texts; so many codes at once that memory doesn't grow with the texts."""
+    codes, n, held, size = np.empty(0, np.int64), np.empty(0, np.int64), [], 0
+    for text in (*texts, None):
+        if text is not None:
+            held.append(grams(text))
+            size += len(held[-1])
+        if held and (text is None or size >= COUNTED):
+            more, times = np.unique(np.concatenate(held), return_counts=True)
+            every, place = np.unique(np.concatenate((codes, more)), return_inverse=True)
+            n = np.bincount(place, np.concatenate((n, times)), len(every)).astype(np.int64)
+            codes, held, size = every, [], 0
+    return codes, n
+
+
+def profiles(docs: DataFrame) -> DataFrame:
+    """lang, code, rank: the learned profiles, TOP rows a language at most."""
 
     def learn(own: pd.DataFrame) -> pd.DataFrame:
-        codes = ranked(np.concatenate([grams(t) for t in own.text]))
+        codes = most_frequent(*counted(own.text))
         return pd.DataFrame({"lang": own.lang.iloc[0], "code": codes, "rank": np.arange(len(codes))})
 
-    found = texts.groupBy("lang").applyInPandas(learn, "lang string, code long, rank long")
-    got = found.limit(MAX_LANGS * TOP + 1).toPandas()
-    if len(got) > MAX_LANGS * TOP:
-        raise ValueError(f"more than {MAX_LANGS} languages")
-    return got
+    return written(sampled(docs).groupBy("lang").applyInPandas(learn, "lang string, code long, rank long"), "profiles", 4)
+
+
+class Profiles:
+    """Ranks of some languages' n-grams as a matrix."""
+
+    def __init__(self, learned: pd.DataFrame):
+        self.langs = sorted(learned.lang.unique())
+        self.known = np.unique(learned.code.to_numpy(np.int64))
+        self.ranks = np.full((len(self.langs), len(self.known) + 1), -1, np.int64)
+        for k, lang in enumerate(self.langs):
+            own = learned[learned.lang == lang]
+            self.ranks[k, np.searchsorted(self.known, own.code.to_numpy(np.int64))] = own["rank"].to_numpy()
+
+    def nearest(self, own: np.ndarray) -> tuple[str, int]:
+        """The language that a document's ranked codes are least out of place with, and by how much."""
+        at = np.searchsorted(self.known, own)
+        at[at == len(self.known)] = 0
+        at = np.where(self.known[at] == own, at, len(self.known))
+        theirs = self.ranks[:, at]
+        away = np.where(theirs < 0, TOP, np.abs(theirs - np.arange(len(own)))).sum(axis=1)
+        best = int(np.argmin(away))
+        return self.langs[best], int(away[best])
 
 
 def identified(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score."""
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     learned = profiles(docs)
-    langs = sorted(learned.lang.unique())
-    known = np.unique(learned.code.to_numpy(np.int64))
-    ranks = np.full((len(langs), len(known) + 1), -1, np.int64)
-    for k, lang in enumerate(langs):
-        own = learned[learned.lang == lang]
-        ranks[k, np.searchsorted(known, own.code.to_numpy(np.int64))] = own["rank"].to_numpy()
-
-    def classify(text: str | None) -> tuple[str, float]:
-        codes = grams(text) if text and langs else ()
-        if not len(codes):
-            return "und", 0.0
-        own = ranked(codes)
-        at = np.searchsorted(known, own)
-        at[at == len(known)] = 0
-        at = np.where(known[at] == own, at, len(known))
-        theirs = ranks[:, at]
-        away = np.where(theirs < 0, TOP, np.abs(theirs - np.arange(len(own)))).sum(axis=1)
-        best = int(np.argmin(away))
-        return langs[best], float(1 - away[best] / (TOP * len(own)))
+    langs = sorted(r.lang for r in learned.select("lang").distinct().collect())
+    docs = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    d = docs.select("doc_id", held_out().alias("held_out"), "text", F.lit(None).cast("string").alias("lang_pred"), F.lit(None).cast("long").alias("away"), F.lit(0).cast("long").alias("n"))
+    for first in range(0, len(langs), BLOCK):
+        some = learned.where(F.col("lang").between(langs[first], langs[min(first + BLOCK, len(langs)) - 1])).toPandas()
+        d = d.mapInArrow(passed(Profiles(some)), f"doc_id {kind}, held_out boolean, text string, lang_pred string, away long, n long")
+    found = F.col("n") > 0
+    score = F.when(found, 1 - F.col("away") / (F.lit(TOP) * F.col("n"))).otherwise(0.0)
+    return d.select("doc_id", "held_out", F.coalesce("lang_pred", F.lit("und")).alias("lang_pred"), score.alias("score"))
 
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [classify(t) for t in batch.column(2).to_pylist()]
-            columns = [batch.column(0), batch.column(1), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "lang_pred", "score"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(predict, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+def passed(own: Profiles):
+    """Rows with their best language so far, once more compared with these profiles (the earlier language stays in a tie)."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text, lang, away in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
+                codes = ranked(grams(text)) if text else ()
+                if len(codes):
+                    other, far = own.nearest(codes)
+                    lang, away = (other, far) if away is None or far < away else (lang, away)
+                rows.append((lang, away, len(codes)))
+            columns = [list(c) for c in zip(*rows, strict=True)] or [[], [], []]
+            kinds = (pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "held_out", "text", "lang_pred", "away", "n"])
+
+    return compare
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,10 +22,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specforge.llm.common import long_ids, small_batches, table, written
+from specforge.llm.common import long_ids, small_batches, sums_before, table, written
 
 CAPACITY = 2048
 END = 0
@@ -189,8 +189,7 @@ def packed(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, ranks: st
     """Every piece of every document with its sequence and its offset there."""
     cut = written(pieces(docs, vocabulary, capacity, ranks), "pieces")
     per_task = cut.groupBy("part", "length").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = written(per_task.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))), "offsets")
+    offsets = written(sums_before(per_task, "length", "part", "n").withColumnRenamed("_before", "before"), "offsets")
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in offsets.groupBy("length").agg(F.sum("n")).collect():  # at most `capacity` rows
         counts[length] = n
@@ -207,7 +206,8 @@ def packed(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, ranks: st
                 ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
             )
 
-    ranked = cut.join(offsets.drop("n"), ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before")).alias("rank"))
+    # offsets grow with the tasks, so they are never broadcast; neither side has texts
+    ranked = cut.join(offsets.drop("n").hint("merge"), ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before")).alias("rank"))
     return ranked.mapInArrow(seat, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 

@@ -3,12 +3,14 @@
 A page becomes three records: the request, the response (or a revisit, if the same payload was captured under a smaller number)
 and metadata; request and metadata name the response in WARC-Concurrent-To.  Spark's text writer writes the archives: a row
 is a record and the row end is the record end, so any file system that Spark reaches can hold them, and a lost task is
-written anew.  Files hold a bounded number of records and are read whole, parsed by Content-Length, and joined by identifiers into
-one nested row per capture.
+written anew.  Archives are bounded by bytes: payloads are dealt by their size into classes, and an archive of a class holds so many records that
+it stays under ``ARCHIVE`` bytes (one of payloads over that holds one capture).  Archives are read whole, parsed by
+Content-Length, and joined by identifiers into one nested row per capture.  What stands behind a damaged place of an archive can't be told
+apart any more: the records before it are read, and one row of type ``damaged`` says so.
 
 Payloads under 100 bytes are always responses.  Nulls: a null payload is empty, a null URL is given as ``urn:page``; a null
-page_id comes back null and is larger than any number.  Pages with the same page_id and payload: one of them is the response.
-Empty tables give empty archives.  Further columns are ignored.
+page_id comes back null and is larger than any number.  Pages with the same page_id and payload are captures of their own: the first
+row is the response.  A record may be concurrent to several others.  Empty tables give empty archives.  Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +26,11 @@ from pyspark.sql import functions as F
 from specforge.llm.common import new_path, small_batches, table, written
 
 LEAST = 100
-RECORDS = 6000
+#: Bytes of an archive, about; payloads up to these sizes share archives, larger ones have their own.
+ARCHIVE = 64 << 20
+CLASSES = (16 << 10, 256 << 10, 4 << 20, ARCHIVE)
+#: Bytes of the headers of a capture's three records, about.
+HEADERS = 2048
 END = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 SAME = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -61,9 +67,8 @@ def classed(pages: DataFrame) -> DataFrame:
     return p.join(again, p["_row"] == again["_r"], "left").drop("_r")
 
 
-def records(pages: DataFrame) -> DataFrame:
-    """One row per record, in the order request, response, metadata."""
-    p = classed(pages)
+def records(p: DataFrame) -> DataFrame:
+    """One row per record of classed pages, in the order request, response, metadata."""
     url = F.regexp_replace(F.coalesce("url", F.lit("urn:page")), r"[\x00-\x20\x7f]", "%20")
     row, first = F.col("_row"), F.col("first")
     common = [("WARC-Target-URI", url), ("WARC-Date", F.lit(DATE))]
@@ -86,65 +91,99 @@ def records(pages: DataFrame) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str) -> None:
-    records(pages).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS).text(path)
+    """A folder of archives for every class of sizes that occurs."""
+    p = classed(pages)
+    largest = p.agg(F.max("size")).first()[0] or 0
+    low = -1
+    for k, high in enumerate((*CLASSES, 2**62)):
+        if k and low >= largest:
+            break
+        captures_ = max(1, ARCHIVE // (min(high, ARCHIVE) + HEADERS))
+        some = p.where((F.col("size") > low) & (F.col("size") <= high))
+        records(some).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", 3 * captures_).text(f"{path}/class-{k}")
+        low = high
 
 
 # ---------------------------------------------------------------- reading
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields by lower-cased name, block) of the records of an archive, compressed as a whole or by record."""
-    if data[:2] == b"\x1f\x8b":
-        out = []
-        while data:
-            z = zlib.decompressobj(31)
+def inflated(data: bytes) -> tuple[bytes, bool]:
+    """(content, whole) of gzip members one behind the other; of a damaged one what could be read."""
+    out = []
+    while data[:2] == b"\x1f\x8b":
+        z = zlib.decompressobj(31)
+        try:
             out.append(z.decompress(data))
-            data = z.unused_data
-        data = b"".join(out)
+        except zlib.error:
+            return b"".join(out), False
+        if not z.eof:
+            return b"".join(out), False
+        data = z.unused_data
+    return b"".join(out), not data.strip(b"\0")
+
+
+def parse(data: bytes) -> Iterator[tuple[dict[str, list[str]], bytes] | None]:
+    """(header fields by lower-cased name, block) of the records of an archive, compressed as a whole or by record; None where it is damaged."""
+    whole = True
+    if data[:2] == b"\x1f\x8b":
+        data, whole = inflated(data)
     at = 0
     while (start := data.find(b"WARC/", at)) >= 0:
-        end = data.index(b"\r\n\r\n", start)
-        lines = data[start:end].decode("utf-8", "replace").split("\r\n")[1:]
-        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        size = int(fields["content-length"])
-        yield fields, data[end + 4 : end + 4 + size]
-        at = end + 4 + size + 4
+        end = data.find(b"\r\n\r\n", start)
+        lines = data[start : max(end, start)].decode("utf-8", "replace").split("\r\n")[1:]
+        fields: dict[str, list[str]] = {}
+        for name, _, value in (x.partition(":") for x in lines):
+            fields.setdefault(name.strip().lower(), []).append(value.strip())
+        size = fields.get("content-length", ["?"])[0]
+        if end < 0 or not size.isdecimal() or end + 4 + int(size) > len(data) or "warc-type" not in fields or "warc-record-id" not in fields:
+            whole = False
+            break
+        yield fields, data[end + 4 : end + 4 + int(size)]
+        at = end + 4 + int(size) + 4
+    if not whole:
+        yield None
 
 
-RECORD = "record_id string, type string, concurrent_to string, refers_to string, target_uri string, date string, payload_digest string, payload_bytes long, page_id long, payload binary"
+RECORD = "record_id string, type string, concurrent_to array<string>, refers_to string, target_uri string, date string, payload_digest string, payload_bytes long, page_id long, payload binary"
 
 
 def read_records(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
     """A row per record.  Digests and sizes of responses are taken from what was read, those of revisits from their header."""
-    small_batches(spark, 4)
+    small_batches(spark, 1)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
                 rows = []
-                for f, block in parse(content.as_py()):
+                for record_ in parse(content.as_py()):
+                    if record_ is None:
+                        rows.append((None, "damaged", *[None] * 8))
+                        continue
+                    f, block = record_
+                    one = lambda name, f=f: f.get(name, [None])[0]
                     head, _, body = block.partition(b"\r\n\r\n")
                     digest = size = page = kept = None
-                    if f["warc-type"] == "response":
+                    kind = one("warc-type")
+                    if kind == "response":
                         digest, size, kept = hashlib.sha256(body).hexdigest(), len(body), body
-                    elif f["warc-type"] == "revisit":
-                        digest = f["warc-payload-digest"].partition(":")[2]
-                        size = next(int(x.partition(b":")[2]) for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:"))
-                    elif f["warc-type"] == "metadata":
+                    elif kind == "revisit":
+                        digest = (one("warc-payload-digest") or "").partition(":")[2] or None
+                        size = next((int(x.partition(b":")[2]) for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")), None)
+                    elif kind == "metadata":
                         page = next((x.partition(b":")[2].strip() for x in block.split(b"\r\n") if x.startswith(b"pageId:")), b"")
                         page = int(page) if page else None
-                    rows.append((f["warc-record-id"], f["warc-type"], f.get("warc-concurrent-to"), f.get("warc-refers-to"), f.get("warc-target-uri"), f.get("warc-date"), digest, size, page, kept if payloads else None))
+                    rows.append((one("warc-record-id"), kind, f.get("warc-concurrent-to"), one("warc-refers-to"), one("warc-target-uri"), one("warc-date"), digest, size, page, kept if payloads else None))
                 columns = list(zip(*rows, strict=True)) or [[]] * 10
-                kinds = [pa.string()] * 7 + [pa.int64()] * 2 + [pa.binary()]
+                kinds = [pa.string(), pa.string(), pa.list_(pa.string()), *[pa.string()] * 4, pa.int64(), pa.int64(), pa.binary()]
                 names = [x.split()[0] for x in RECORD.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true").load(path).select("content")
     return files.mapInArrow(read, RECORD)
 
 
 def captures(found: DataFrame) -> DataFrame:
     """One nested row per capture: response (or revisit) with the request and the metadata that were concurrent to it."""
     fields = [c for c in found.columns if c != "concurrent_to"]
-    nest = lambda d, name: d.select(F.col("concurrent_to").alias(f"_{name}"), F.struct(*fields).alias(name))
+    nest = lambda d, name: d.select(F.explode("concurrent_to").alias(f"_{name}"), F.struct(*fields).alias(name))
     main = found.where("type in ('response', 'revisit')").select("record_id", F.struct(*fields).alias("response"))
     request = nest(found.where("type = 'request'"), "request")
     metadata = nest(found.where("type = 'metadata'"), "metadata")
