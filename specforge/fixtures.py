@@ -58,11 +58,16 @@ SELECT event_id, ts, user_id, value AS top_score, event_id % 6 AS source_count,
 FROM events
 """
 
-QUESTIONS = """
-SELECT * FROM (VALUES (1, 'Where is the ertion of the thing?'), (2, 'the and of'), (3, 'validate the document'),
-  (4, 'what is this document about'), (5, 'look up the standards for noise'), (6, 'que la porte dans le document'),
-  (7, 'what does ASU stand for'), (8, 'how to write the scope section'), (9, 'help'), (10, 'maximum noise level of the unit')) AS t(q_id, question)
-"""
+ASKED = (
+    "Where is the ertion of the thing?", "the and of", "validate the document", "what is this document about", "look up the standards for noise",
+    "que la porte dans le document", "what does ASU stand for", "how to write the scope section", "help", "maximum noise level of the unit",
+    "What should I put in the reference documents?", "REQUIREMENTS?", "composant", "check if the file is compliant", "summarize the spec", "tell me about ISO 26262",
+    "what is the wiring voltage", "que doit contenir la section glossaire", "power consumption of the unit at rest", "describe the file unit 3 door",
+    "which test procedure is given for the packaging process", "what is the purpose of the door unit", "explain the acronymes", "comment rédiger la section exigences",
+    "how many cycles shall the unit withstand", "zzzz qqqq xxxx", "validate unit 5 door", "what goes in the mission profile", "state machine of the door", "environmental heat",
+)
+_quote = lambda s: "'" + s.replace("'", "''") + "'"
+QUESTIONS = f"SELECT * FROM (VALUES {', '.join(f'({k + 1}, {_quote(q)})' for k, q in enumerate(ASKED))}) AS t(q_id, question)"
 
 #: Wide supplier rows: several status columns, a customer verdict, versions; built on the first matrix.
 WIDE = """

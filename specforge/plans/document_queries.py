@@ -283,7 +283,9 @@ def chunk_section_aware_capped(spark, sf_dir):
     return chunking.by_section_aware(blocks, max_tokens=200).select("doc_id", "chunk_id", "text")
 
 
-@query(rf"""WITH RECURSIVE sl AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents),
+def overlap_ctes(source: str) -> str:
+    """CTEs that chunk a table (doc_id, text) with overlap; the last, chunks, has (doc_id, chunk_id, section, text)."""
+    return rf"""sl AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM {source}),
   st AS (SELECT doc_id, k, {strip_sql('line')} AS s FROM sl), hs AS (SELECT *, CASE WHEN length(s) < 80 THEN regexp_replace({strip_sql(f"regexp_extract(s, {quoted(chunking.PASSAGE_HEADING)}, 1)")}, ':+$', '') ELSE '' END AS h FROM st),
   gs AS (SELECT *, sum(CASE WHEN h <> '' OR s = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS g, last_value(nullif(h, '') IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY k) AS sec FROM hs),
   pa AS (SELECT doc_id, g, coalesce(any_value(sec), '') AS sec, string_agg(s, ' ' ORDER BY k) AS text FROM gs WHERE h = '' AND s <> '' GROUP BY doc_id, g),
@@ -293,8 +295,11 @@ def chunk_section_aware_capped(spark, sf_dir):
     UNION ALL SELECT p.doc_id, p.i, f.chunk_id + CASE WHEN f.size + p.n > 900 THEN 1 ELSE 0 END, CASE WHEN f.size + p.n > 900 THEN greatest(f.first, k.first) ELSE f.first END, CASE WHEN f.size + p.n > 900 THEN p.sec ELSE f.section END,
       (p.upto - (SELECT q.upto - q.n FROM p q WHERE q.doc_id = p.doc_id AND q.i = CASE WHEN f.size + p.n > 900 THEN greatest(f.first, k.first) ELSE f.first END))::BIGINT
     FROM f JOIN p ON p.doc_id = f.doc_id AND p.i = f.i + 1 JOIN back k ON k.doc_id = p.doc_id AND k.i = p.i),
-  c AS (SELECT doc_id, chunk_id, any_value(first) AS first, any_value(section) AS section, max(i) AS last FROM f GROUP BY doc_id, chunk_id)
-  SELECT c.doc_id, c.chunk_id, c.section, string_agg(p.text, ' ' ORDER BY p.i) AS text FROM c JOIN p ON p.doc_id = c.doc_id AND p.i BETWEEN c.first AND c.last GROUP BY c.doc_id, c.chunk_id, c.section""")
+  c AS (SELECT doc_id, chunk_id, any_value(first) AS first, any_value(section) AS section, max(i) AS last FROM f GROUP BY doc_id, chunk_id),
+  chunks AS (SELECT c.doc_id, c.chunk_id, c.section, string_agg(p.text, ' ' ORDER BY p.i) AS text FROM c JOIN p ON p.doc_id = c.doc_id AND p.i BETWEEN c.first AND c.last GROUP BY c.doc_id, c.chunk_id, c.section)"""
+
+
+@query(f"WITH RECURSIVE {overlap_ctes('documents')} SELECT * FROM chunks")
 def chunk_overlap(spark, sf_dir):
     return chunking.with_overlap(documents(spark, sf_dir))
 

@@ -310,9 +310,55 @@ def test_missing_vectors_and_ties(spark):
 
 
 def test_intents(spark):
-    want = {"help": "clarify", "validate the document": "validate", "what is this document about": "overview", "look up the standards for noise": "standards", "maximum noise level of the unit": "search", "how to write the scope section": "guidance"}
-    d = spark.createDataFrame([(k,) for k in want], "question string").select("question", qa.intent(F.col("question")).alias("i"))
-    assert {r.question: r.i for r in d.collect()} == want
+    want = {
+        "help": ("clarify", "clarify"), "composant": ("clarify", "clarify"), "validate the document": ("validate", "validate"), "Validate!": ("clarify", "clarify"), "what is this document about": ("overview", "guidance"),
+        "look up the standards for noise": ("standards", "standards"), "maximum noise level of the unit": ("search", "search"), "how to write the scope section": ("search", "guidance"),
+        "what is the wiring voltage of it": ("search", "search"), "explain the glossary": ("search", "guidance"), "comment rédiger la section exigences": ("search", "guidance"), "check if the file is compliant": ("validate", "validate"),
+        "which component does this document describe": ("overview", "overview"), "explain the file": ("overview", "overview"),
+    }
+    q = F.col("question")
+    d = spark.createDataFrame([(k,) for k in want], "question string").select("question", qa.intent(q).alias("i"), qa.intent(q, True).alias("h"))
+    assert {r.question: (r.i, r.h) for r in d.collect()} == want
+
+
+@pytest.mark.parametrize(("question", "section"), [
+    ("What is the PURPOSE?", "PURPOSE"), ("que doit contenir la section glossaire", "GLOSSARY"), ("the mission profile of it", "MISSION PROFILE"), ("how is the system developed in context", "SYSTEM DEVELOPMENT CONTEXT"),
+    ("profil de mission", "MISSION PROFILE"), ("what of the system", "SYSTEM DEVELOPMENT CONTEXT"), ("nothing at all", None),
+])
+def test_section_of_a_question(spark, question, section):
+    assert one(spark, qa.section_of(F.lit(question))) == section
+
+
+def test_question_classes(spark):
+    want = {"what is the voltage": "factual", "where now": "overview", "explain it to me please": "overview", "combien de cycles": "factual"}
+    assert {k: one(spark, qa.question_class(F.lit(k))) for k in want} == want
+
+
+def test_topk_in_blocks_and_tasks(spark, monkeypatch):
+    """The same neighbours whatever the number of blocks and tasks, against numpy; vectors of another width are compared over the shared part."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    rows = [(int(k), rng.normal(size=8 if k % 7 else 6).tolist()) for k in range(200)] + [(300, None), (301, [0.0] * 8)]
+    v = spark.createDataFrame(rows, "chunk_key int, embedding array<double>").repartition(5)
+    q = v.where("chunk_key % 20 = 0").select(F.col("chunk_key").alias("q_id"), "embedding")
+    full = {k: np.pad(np.array(e), (0, 8 - len(e))) for k, e in rows if e is not None}
+    score = lambda a, b: 0.0 if not a.any() or not b.any() else round(float(a @ b / np.linalg.norm(a) / np.linalg.norm(b)), 12)
+    want = {(k, c, r + 1) for k in full if k % 20 == 0 for r, c in enumerate(sorted(full, key=lambda c: (-score(full[k], full[c]), c))[:4])}
+    for size in (4096, 3):
+        monkeypatch.setattr(retrieval, "QUERIES", size)
+        assert {(r.q_id, r.chunk_key, r["rank"]) for r in retrieval.cosine_topk(q, v, 4, -2.0).collect()} == want
+        pairs = retrieval.cosine_scores(q, v, 0.5).count()
+        assert pairs == sum(score(full[a], full[b]) >= 0.5 for a in full if a % 20 == 0 for b in full)
+
+
+def test_retrieval_falls_back_to_keywords(spark):
+    chunks = [("1", "up.txt", "NOISE", "the noise level of the unit"), ("2", "up.txt", "", "power supply of the door"), ("3", "up.txt", "", "")]
+    c = spark.createDataFrame(chunks, "chunk_key string, file_name string, section string, text string")
+    q = spark.createDataFrame([(1, "noise level of the unit"), (2, "supply of something else altogether")], "q_id int, question string")
+    got = {(r.q_id, r.chunk_key, r.method) for r in retrieval.retrieve(q, c, retrieval.embedded, threshold=0.9).collect()}
+    assert got == {(1, "1", "vectors"), (2, "2", "keywords")}
+    assert retrieval.index_of(c).where("embedding is null").count() == 1
 
 
 def test_metrics_without_events(spark):
@@ -340,12 +386,11 @@ def test_header_roles(spark):
 
 
 def test_queries_chunk_at_the_production_limit(spark, tmp_path):
-    """Both callers flush before 6000 estimated tokens; three paragraphs of 2000 fit exactly, a longer one stands alone."""
-    from specforge.plans import document_queries, question_queries
+    """Flushed before 6000 estimated tokens; three paragraphs of 2000 fit exactly, a longer one stands alone."""
+    from specforge.plans import document_queries
 
     own = {1: ["a" * 4000] * 7, 2: ["b" * 13000, "c", "d" * 11998, "e"], 3: ["f"] * 7}
     spark.createDataFrame([(k, "\n".join(p)) for k, p in own.items()], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     want = {(1, 0): own[1][:3], (1, 1): own[1][3:6], (1, 2): own[1][6:], (2, 0): own[2][:1], (2, 1): own[2][1:3], (2, 2): own[2][3:], (3, 0): own[3][:5], (3, 1): own[3][5:]}
     want = {k: " ".join(p) for k, p in want.items()}
     assert {(r.doc_id, r.chunk_id): r.text for r in document_queries.chunk_paragraphs(spark, str(tmp_path)).collect()} == want
-    assert {(int(r.file_name), r.chunk_id): r.text for r in question_queries.paragraphs(spark, str(tmp_path)).collect()} == want
