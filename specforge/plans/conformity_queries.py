@@ -9,6 +9,7 @@ from specforge import lexicon
 from specforge.fixtures import cte, fixture
 from specforge.functions import text as T
 from specforge.operators import conformity as C
+from specforge.operators import matrices
 from specforge.plans.registry import found, listed, norm, quoted, registry
 
 QUERIES, ORACLES, query = registry()
@@ -242,3 +243,79 @@ HEAD = "SELECT * FROM (VALUES (0, 0, 'Title', '', ''), (0, 1, 'Requirement ID',
 def header_rows(spark, sf_dir):
     rows = spark.sql(HEAD).select(F.lit("m").alias("file_name"), "sheet_idx", "row_index", F.array("c0", "c1", "c2").alias("cells"))
     return C.header_rows(rows)
+
+
+# ---------------------------------------------------------------- the whole path
+def sheets(spark, sf_dir) -> DataFrame:
+    """Three files of cells: two sets of status and comment with a verdict; OK and NOK columns; versions and domains under wrong headers.  Each has
+    a title sheet, blank rows, summary rows and rows that are no requirements."""
+    w = fixture(spark, sf_dir, "fx_wide").withColumns({"f": F.expr("cast(row_index % 3 as int)"), "k": F.expr("cast(row_index div 3 as int)")})
+    i = F.col("row_index")
+    name = F.when(i % 97 == 0, "BLOCK").when(i % 89 == 0, "STOP here").when(i % 83 == 0, "3.2 Chapter").otherwise(F.col("req_id"))
+    bare = lambda c: F.when(i % 83 == 0, "").otherwise(c)
+    version = F.when(i % 4 == 0, "v2").when(i % 4 == 1, "b").otherwise("c")
+    domain = F.when(i % 3 == 0, "SW").when(i % 5 == 0, "ee").otherwise("")
+    cells = F.when(F.col("f") == 0, F.array(name, F.lit("ref"), F.col("applicable"), bare(F.col("s0")), bare(F.col("c0")), F.lit("about it"), bare(F.col("s1")), bare(F.col("c1")), bare(F.col("verdict")), F.col("version")))
+    cells = cells.when(F.col("f") == 1, F.array(name, F.lit("ref"), F.lit(""), F.lit("about it"), bare(F.when(i % 2 == 0, F.col("s0")).otherwise("")), bare(F.when(i % 5 == 0, F.col("s1")).otherwise("")), bare(F.col("c0"))))
+    cells = cells.otherwise(F.array(name, F.lit("ref"), bare(F.col("s0")), bare(F.col("c0")), bare(domain), bare(version)))
+    cells = F.when(i % 101 == 0, F.transform(cells, lambda c: F.lit(" "))).otherwise(cells)
+    own = F.concat(F.lit("file"), F.col("f").cast("string"), F.lit(".xlsx"))
+    body = w.select(own.alias("file_name"), F.lit(1).alias("sheet_idx"), F.lit("Matrix").alias("sheet_name"), (F.col("k") + 10).alias("row_index"), cells.alias("cells"))
+    heads = [
+        ("file0.xlsx", ["Requirement ID", "Link", "Version applicable", "Statut FNR", "Commentaires FNR", "Text", "Supplier status", "Supplier comments", "Statut Stellantis", "Version"]),
+        ("file1.xlsx", ["Requirement ID", "Link", "", "Text", "OK", "NOK", "Supplier comments"]), ("file2.xlsx", ["Requirement ID", "Link", "Statut FNR", "Commentaires FNR", "Supplier status", "Supplier comments"]),
+    ]
+    rows = [(f, 1, "Matrix", 3, h) for f, h in heads] + [(f, 1, "Matrix", 1, ["Title", ""]) for f, _ in heads] + [(f, 0, "Cover", 0, ["Statut FNR", "nothing else"]) for f, _ in heads]
+    rows += [(f, 1, "Matrix", 5, ["Template rows", "x"]) for f, _ in heads]
+    return body.unionByName(spark.createDataFrame(rows, "file_name string, sheet_idx int, sheet_name string, row_index int, cells array<string>"))
+
+
+_n = norm
+_is_ver = lambda c: f"regexp_matches({_n(c)}, '^([a-i]$|v\\d+)')"
+_saysok = lambda c: f"((regexp_matches({_n(c)}, ':\\s*ok') AND NOT contains({_n(c)}, 'nok')) OR (regexp_matches({_n(c)}, '\\b(ok|okay)\\b') AND NOT contains({_n(c)}, 'nok') AND NOT contains({_n(c)}, 'not ok')))"
+_vnok = f"({_n('verdict')} IN {listed(lexicon.NOK_VALUES)} OR starts_with({_n('verdict')}, 'nok'))"
+_vok = f"(({_n('verdict')} IN {listed(lexicon.OK_VALUES)} OR regexp_matches({_n('verdict')}, '\\bok\\b')) AND NOT contains({_n('verdict')}, 'nok') AND NOT contains({_n('verdict')}, 'not ok'))"
+_same = lambda c: f"(ver <> '' AND ({c} = ver OR {_n(c)} = {_n('ver')}))"
+_said = lambda c: f"CASE WHEN {c} <> '' AND NOT {_same(c)} THEN {c} END"
+_tail = "CASE WHEN category = 'EMPTY' AND comment <> '' THEN 'medium' ELSE 'high' END AS classification_confidence, category = 'EMPTY' AND comment <> '' AS needs_review"
+MATRIX = f"""{cte('fx_wide')}, w AS (SELECT row_index AS i, CAST(row_index % 3 AS INT) AS f, CAST(row_index // 3 + 10 AS INT) AS row_index, CASE WHEN row_index % 97 = 0 THEN 'BLOCK' WHEN row_index % 89 = 0 THEN 'STOP here' WHEN row_index % 83 = 0 THEN '3.2 Chapter' ELSE req_id END AS req_id,
+    trim(applicable) AS applicable, trim(version) AS version, {', '.join(f"CASE WHEN row_index % 83 = 0 THEN '' ELSE trim({c}) END AS {c}" for c in ('s0', 'c0', 's1', 'c1', 'verdict'))}, row_index % 101 = 0 AS blank FROM fx_wide),
+  v AS (SELECT *, CASE WHEN i % 83 = 0 THEN '' WHEN i % 4 = 0 THEN 'v2' WHEN i % 4 = 1 THEN 'b' ELSE 'c' END AS verc, CASE WHEN i % 83 = 0 THEN '' WHEN i % 3 = 0 THEN 'SW' WHEN i % 5 = 0 THEN 'ee' ELSE '' END AS dom FROM w),
+  lastrow AS (SELECT f, max(row_index) FILTER (NOT blank) AS z FROM v GROUP BY f), firstrow AS (SELECT f, min(row_index) FILTER (NOT blank AND req_id NOT IN ('BLOCK', 'STOP here')) AS a FROM v GROUP BY f),
+  r AS (SELECT v.* FROM v JOIN lastrow l ON l.f = v.f JOIN firstrow t ON t.f = v.f WHERE row_index BETWEEN a AND z AND (blank OR req_id NOT IN ('BLOCK', 'STOP here'))),
+  rate AS (SELECT (SELECT avg(CAST({_saysok('s0')} AS INT)) > 0.1 FROM r WHERE f = 0 AND NOT blank AND s0 <> '') AS a0, (SELECT avg(CAST({_saysok('s1')} AS INT)) > 0.1 FROM r WHERE f = 0 AND NOT blank AND s1 <> '') AS a1, (SELECT avg(CAST({_saysok('s0')} AS INT)) > 0.1 FROM r WHERE f = 2 AND NOT blank AND s0 <> '') AS a2),
+  b AS (SELECT f, row_index, '' AS req_id, '' AS reference, '' AS description, '' AS conformity_raw, 'EMPTY' AS category, '' AS comment, '' AS version, 0 AS column_set FROM r WHERE blank),
+  x0 AS (SELECT *, {sql_class('s0')} AS k0, {sql_class('s1')} AS k1, CASE WHEN applicable <> '' THEN applicable WHEN version <> '' THEN version WHEN {_is_ver('c0')} THEN c0 WHEN {_is_ver('c1')} THEN c1 ELSE '' END AS ver FROM r, rate WHERE f = 0 AND NOT blank AND (starts_with(req_id, 'REQ-') OR s0 || c0 || s1 || c1 || verdict <> '')),
+  y0 AS (SELECT *, CASE WHEN NOT a0 AND s0 <> '' THEN 's0' WHEN NOT a1 AND s1 <> '' THEN 's1' WHEN a0 AND s0 || c0 <> '' AND NOT (a1 AND s1 || c1 <> '' AND {RANK('k1')} > {RANK('k0')}) THEN 's0' WHEN a1 AND s1 || c1 <> '' THEN 's1' ELSE '' END AS pick FROM x0),
+  z0 AS (SELECT f, row_index, req_id, 'ref' AS reference, 'about it' AS description, CASE WHEN {_vnok} THEN 'NOK' WHEN CASE pick WHEN 's0' THEN k0 WHEN 's1' THEN k1 ELSE 'EMPTY' END = 'EMPTY' AND {_vok} THEN 'OK' ELSE CASE pick WHEN 's0' THEN k0 WHEN 's1' THEN k1 ELSE 'EMPTY' END END AS category,
+      CASE WHEN {_vnok} THEN verdict WHEN CASE pick WHEN 's0' THEN k0 WHEN 's1' THEN k1 ELSE 'EMPTY' END = 'EMPTY' AND {_vok} THEN verdict ELSE CASE pick WHEN 's0' THEN s0 WHEN 's1' THEN s1 ELSE '' END END AS conformity_raw,
+      CASE WHEN {_said('c0')} = {_said('c1')} THEN c0 ELSE concat_ws(' | ', {_said('c0')}, {_said('c1')}) END AS comment, ver AS version, CASE WHEN {_vnok} OR (CASE pick WHEN 's0' THEN k0 WHEN 's1' THEN k1 ELSE 'EMPTY' END = 'EMPTY' AND {_vok}) THEN 0 WHEN pick = 's1' THEN 1 ELSE 0 END AS column_set FROM y0),
+  x1 AS (SELECT *, CASE WHEN i % 2 = 0 THEN s0 ELSE '' END AS o, CASE WHEN i % 5 = 0 THEN s1 ELSE '' END AS n FROM r WHERE f = 1 AND NOT blank),
+  y1 AS (SELECT *, CASE WHEN o <> '' THEN {sql_class('o')} END AS ko, CASE WHEN n <> '' THEN {sql_class('n')} END AS kn FROM x1),
+  z1 AS (SELECT f, row_index, req_id, 'ref' AS reference, CASE WHEN n <> '' THEN n ELSE 'about it' END AS description, CASE WHEN ko = 'NA' OR kn = 'NA' THEN 'NA' WHEN kn = 'NOK' THEN 'NOK' WHEN ko = 'OK' THEN 'OK' ELSE coalesce(kn, ko, 'EMPTY') END AS category,
+      CASE WHEN ko = 'NA' THEN o WHEN kn = 'NA' THEN n WHEN kn = 'NOK' THEN n WHEN ko = 'OK' THEN o WHEN kn IS NOT NULL THEN n WHEN ko IS NOT NULL THEN o ELSE '' END AS conformity_raw, c0 AS comment, '' AS version, 0 AS column_set FROM y1 WHERE o || n || c0 <> ''),
+  x2 AS (SELECT *, {sql_class('s0')} AS k0, verc AS ver FROM r, rate WHERE f = 2 AND NOT blank AND (starts_with(req_id, 'REQ-') OR s0 || c0 || dom <> '')),
+  z2 AS (SELECT f, row_index, req_id, 'ref' AS reference, verc AS description, CASE WHEN s0 <> '' THEN k0 ELSE 'EMPTY' END AS category, s0 AS conformity_raw, CASE WHEN {_said('c0')} = {_said('dom')} THEN c0 ELSE concat_ws(' | ', {_said('c0')}, {_said('dom')}) END AS comment, ver AS version, 0 AS column_set FROM x2),
+  e AS (SELECT * FROM b UNION ALL BY NAME SELECT * FROM z0 UNION ALL BY NAME SELECT * FROM z1 UNION ALL BY NAME SELECT * FROM z2),
+  it AS MATERIALIZED (SELECT 'file' || f || '.xlsx' AS file_name, 'Matrix' AS sheet_name, e.* EXCLUDE (f), {_tail} FROM e)"""
+
+
+@query(f"{MATRIX} SELECT * FROM it")
+def matrix_path(spark, sf_dir):
+    """From rows of spreadsheets over header roles, data range and moved columns to items."""
+    return matrices.items(sheets(spark, sf_dir))
+
+
+@query(f"""{MATRIX} SELECT file_name, list_position(['OK', 'NOK', 'NA', 'EMPTY'], category)::INT AS place, category AS status, count(*) AS n, floor(count(*) * 10000 / sum(count(*)) OVER (PARTITION BY file_name) + 0.5) / 100 AS percentage,
+  CASE category WHEN 'OK' THEN '#28a745' WHEN 'NOK' THEN '#dc3545' WHEN 'NA' THEN '#6c757d' ELSE '#e9ecef' END AS colour FROM it GROUP BY file_name, category""")
+def matrix_status_table(spark, sf_dir):
+    """Status summary of each file, with percentages, in the order of the report."""
+    return matrices.status_table(matrix_path(spark, sf_dir))
+
+
+@query(f"""{MATRIX}, c AS (SELECT *, {_n('comment')} AS n, list_filter(list_transform(string_split({_n('comment')}, '/'), lambda x: trim(x)), lambda x: x <> '') AS parts FROM it WHERE category = 'OK' AND comment <> ''),
+  s AS (SELECT file_name, row_index, req_id, conformity_raw, comment, {sql_score(lexicon.SUSPICIONS)} AS score FROM c WHERE NOT {DOMAIN_ONLY})
+  SELECT file_name, row_index, req_id, conformity_raw, comment, score, CASE WHEN score >= 4 THEN 'error' ELSE 'warning' END AS severity FROM s WHERE score >= 2""")
+def matrix_findings(spark, sf_dir):
+    """Third report table: OK items whose comment doubts it."""
+    return C.ok_suspicions(matrix_path(spark, sf_dir)).select("file_name", "row_index", "req_id", "conformity_raw", "comment", "score", "severity")

@@ -323,7 +323,7 @@ def test_intents(spark):
 
 @pytest.mark.parametrize(("question", "section"), [
     ("What is the PURPOSE?", "PURPOSE"), ("que doit contenir la section glossaire", "GLOSSARY"), ("the mission profile of it", "MISSION PROFILE"), ("how is the system developed in context", "SYSTEM DEVELOPMENT CONTEXT"),
-    ("profil de mission", "MISSION PROFILE"), ("what of the system", "SYSTEM DEVELOPMENT CONTEXT"), ("nothing at all", None),
+    ("profil de mission", "MISSION PROFILE"), ("what of the system", "GENERAL DESCRIPTION OF THE SYSTEM"), ("nothing at all", None),
 ])
 def test_section_of_a_question(spark, question, section):
     assert one(spark, qa.section_of(F.lit(question))) == section
