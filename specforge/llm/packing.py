@@ -18,6 +18,8 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,10 @@ from specforge.llm.common import long_ids, small_batches, sums_before, table, wr
 CAPACITY = 2048
 END = 0
 #: Chunks of texts whose ids a worker remembers at most; then it forgets them all.
-REMEMBERED = 150_000
+REMEMBERED = 400_000
+#: Texts that are looked up at once.
+TOGETHER = 200
+WHITE = " \n\t\r"
 #: White space with the letters behind it, or with any other word.  No token of this vocabulary spans a change from a word to
 #: white space, nor one from letters to an ASCII character that isn't a letter.
 LATIN = "A-Za-z" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ((0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0x24F)))
@@ -52,6 +57,19 @@ def merges(ranks: str):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table_, special_tokens={}).encode_ordinary
 
 
+class Places(dict):
+    """Chunks by number; a new one gets the next number and is noted as fresh."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        self[chunk] = number = len(self)
+        self.fresh.append(chunk)
+        return number
+
+
 class Ids:
     """Token ids of texts by way of remembered chunks."""
 
@@ -69,41 +87,56 @@ class Ids:
         self.forget()
 
     def forget(self) -> None:
-        self.place: dict[str, int] = {}
+        self.place = Places()
         self.flat, self.offsets, self.lengths = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def learn(self, chunks: list[str]) -> None:
         """Chunks that begin with a blank and end in a word are tokenised as one text and told apart by the bytes of their tokens."""
-        joined = [c for c in chunks if c[0] == " " and not c[-1].isspace()]
-        single = [c for c in chunks if c[0] != " " or c[-1].isspace()]
+        plain = [c[0] == " " and c[-1] not in WHITE for c in chunks]
+        joined, single = list(compress(chunks, plain)), [c for c, p in zip(chunks, plain, strict=True) if not p]
         encode, text = self.tokenizer.encode_batch_fast, "".join(joined)
         flat = np.array(self.quick(text) if self.quick else encode([text], add_special_tokens=False)[0].ids, np.uint32)
-        ends = np.cumsum(np.fromiter((len(c.encode()) for c in joined), np.int64, len(joined)))
+        ends = np.cumsum(np.fromiter(map(len, joined if text.isascii() else map(str.encode, joined)), np.int64, len(joined)))
         upto = np.searchsorted(np.cumsum(self.bytes[flat]), ends) + 1
         rest = [x.ids for x in encode(single, add_special_tokens=False)]
         sizes = np.concatenate([np.diff(upto, prepend=0), np.fromiter(map(len, rest), np.int64, len(rest))])
-        self.place.update(zip(joined + single, range(len(self.place), len(self.place) + len(chunks)), strict=True))
-        self.offsets = np.concatenate([self.offsets, len(self.flat) + np.cumsum(sizes) - sizes])
-        self.lengths = np.concatenate([self.lengths, sizes])
-        self.flat = np.concatenate([self.flat, flat, np.array([i for x in rest for i in x], np.uint32)])
+        offsets = len(self.flat) + np.cumsum(sizes) - sizes
+        order = np.argsort(~np.array(plain, bool), kind="stable")  # joined ones first, as they lie in flat
+        own = np.empty((2, len(chunks)), np.int64)
+        own[:, order] = offsets, sizes
+        self.offsets, self.lengths = np.concatenate([self.offsets, own[0]]), np.concatenate([self.lengths, own[1]])
+        self.flat = np.concatenate([self.flat, flat, np.fromiter(chain.from_iterable(rest), np.uint32)])
 
     def of(self, texts: list[str]) -> Iterator[np.ndarray]:
-        for at in range(0, len(texts), 200):
-            some = texts[at : at + 200]
+        """Ids of each text; some texts are looked up at once."""
+        for at in range(0, len(texts), TOGETHER):
+            some = texts[at : at + TOGETHER]
             if len(self.place) > REMEMBERED:
                 self.forget()
             chunks = [None if ODD.search(t) else CHUNK.findall(t) for t in some]
-            new = {c for own in chunks if own for c in own if c not in self.place}
-            if new:
-                self.learn(sorted(new))
+            n = sum(len(own) for own in chunks if own)
+            index = np.fromiter(map(self.place.__getitem__, chain.from_iterable(own for own in chunks if own)), np.int64, n)
+            if self.place.fresh:
+                self.learn(self.place.fresh)
+                self.place.fresh = []
+            sizes = self.lengths[index]
+            upto = np.cumsum(sizes)
+            ids = self.flat[np.repeat(self.offsets[index] - upto + sizes, sizes) + np.arange(upto[-1] if len(upto) else 0)]
+            begin, seen = 0, 0
             for text, own in zip(some, chunks, strict=True):
                 if own is None:
                     yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
                     continue
-                index = np.fromiter(map(self.place.__getitem__, own), np.int64, len(own))
-                sizes = self.lengths[index]
-                total = int(sizes.sum())
-                yield self.flat[np.repeat(self.offsets[index] - (np.cumsum(sizes) - sizes), sizes) + np.arange(total)]
+                seen += len(own)
+                end = int(upto[seen - 1]) if own else begin
+                yield ids[begin:end]
+                begin = end
+
+
+@lru_cache(1)
+def ids_of(vocabulary: str, ranks: str | None) -> Ids:
+    """One tokeniser a worker, whatever the number of its tasks."""
+    return Ids(vocabulary, ranks)
 
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, ranks: str | None = None) -> DataFrame:
@@ -111,7 +144,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, ranks: st
     small_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, part, seen = Ids(vocabulary, ranks), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        ids, part, seen = ids_of(vocabulary, ranks), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             rows = []
             texts = [t or "" for t in batch.column(1).to_pylist()]

@@ -94,3 +94,28 @@ def test_packing_against_whole_texts(docs, rows):
 def test_odd_tables(repeated, none):
     assert P.packed(none, P.vocabulary_path()).count() == 0
     assert P.packed(repeated, P.vocabulary_path()).where("piece = 0").count() == repeated.count()
+
+
+def test_over_the_whole_vocabulary():
+    """What the shortcut rests on, for every token: both files hold the same bytes under the same numbers; no token spans a change from a word
+    to white space or from letters to an ASCII character that isn't one; and both tokenise every token's text alike, alone and behind a blank."""
+    import base64
+    import re
+
+    own, quick = tokenizer(), P.merges(RANKS)
+    with open(RANKS, "rb") as file:
+        ranks = {int(number): base64.b64decode(word) for word, number in map(bytes.split, file)}
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte_of = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in printable)}
+    vocabulary = {number: bytes(byte_of[c] for c in word) for word, number in own.get_vocab().items() if number in ranks}
+    assert vocabulary == ranks and len(ranks) == 50256
+    for word in ranks.values():
+        if not P.ODD.search(word.decode("utf-8", "replace")):  # texts with other white space are tokenised whole
+            assert not re.search(rb"[^ \n\t\r][ \n\t\r]", word), word
+            assert not re.search(rb"[A-Za-z][\x21-\x40\x5b-\x60\x7b-\x7e]", word), word
+    texts = [t for w in ranks.values() if (t := w.decode("utf-8", "replace")) and "�" not in t]
+    texts += [" " + t for t in texts if t[0] not in " \n\t\r"]
+    assert len(texts) > 60_000
+    assert [quick(t) for t in texts] == [x.ids for x in own.encode_batch(texts, add_special_tokens=False)]
+    got = P.Ids(P.vocabulary_path(), RANKS).of(texts)
+    assert all(a.tolist() == b.ids for a, b in zip(got, own.encode_batch(texts, add_special_tokens=False), strict=True))
