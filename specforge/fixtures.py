@@ -95,6 +95,8 @@ PHRASES = (
     "REF-PSP-COMP-0001 | The unit shall open within the time that the plan gives | N/A", "APP-ASU-CD-0002 | The unit shall withstand several cycles of use | [SSD_AUE]",
     "[STA20] | 98037030 | part drawing", "[N41] | CS.00244 | EMC requirements", "Comply with [STA20] and [n7] in service", "The value is TBD and <<fill in the value>>",
     "<component name> of the car", "The supplier should answer and may ask", "Delete this sentence of the template before you submit the document", "one | two | three", "", "plain text", "7\tTERMINOLOGY\t31", "1.1 Sources", "The unit is based on the requirement of the plan and shall hold", "See ISO 16750 and N/A", "NA",
+    "Idle state: waits", "Alarm mode - rings", "The unit can switch from Idle to Alarm.", "It may go from Sleep to Idle, then waits", "move from Ready to Closed and stop", "transition Test into Halt.", "### 1.2.3 Deep part", "4. TRACEABILITY - overview",
+    "<<(*) example of text>>", "Value XXX of the part", "comply with [N41] as specified in [STA20]",
 )
 _listed = ", ".join(f"({k}, '{p}')" for k, p in enumerate(PHRASES))
 #: Long specifications of these lines, by part number: 40 documents.

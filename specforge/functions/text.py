@@ -92,6 +92,17 @@ def source_type(c: Column) -> Column:
     return F.when(F.lower(c).rlike("template|guide|writing"), "reference").otherwise("uploaded")
 
 
+def search_score(raw: Column) -> Column:
+    """A remote search's score, a tenth of it and 1 at most."""
+    return F.least(raw / 10.0, F.lit(1.0))
+
+
+def sheet_name(c: Column) -> Column:
+    """A name that a sheet may have: without its forbidden signs, 31 characters at most."""
+    plain = F.regexp_replace(c, r"[\[\]:*?/\\]", "")
+    return F.when(plain == "", "Sheet").otherwise(F.substring(plain, 1, 31))
+
+
 def compact_section(c: Column) -> Column:
     """'A > B > C' as '[A] > C'."""
     parts = F.split(c, r"\s*>\s*")
