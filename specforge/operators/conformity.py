@@ -6,31 +6,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from specforge import lexicon
-from specforge.functions.text import any_of, normalize, strip
+from specforge.functions.text import any_of, bound, normalize, strip
 
 CATEGORIES = ("OK", "NOK", "NA", "EMPTY")
 
 
 def classify(value: Column) -> Column:
     """OK, NOK, NA or EMPTY of a raw status; negative wording is looked at first, domain and version codes stay EMPTY."""
-    n = strip(normalize(value))
-    denied = n.contains("nok") | n.contains("not ok") | n.contains("not conform")
-    return (
-        F.when(n == "", "EMPTY")
-        .when(n.isin(*lexicon.NOK_VALUES) | n.startswith("nok"), "NOK")
-        .when(n.rlike(r"\b(ok|okay)\b") & ~denied, "OK")
-        .when(n.rlike(r":\s*ok") & ~n.contains("nok"), "OK")
-        .when(n.isin(*lexicon.OK_VALUES), "OK")
-        .when(n.isin(*lexicon.NA_VALUES) | n.startswith("not applicable") | n.startswith("non applic"), "NA")
-        .otherwise("EMPTY")
-    )
+
+    def kind(n: Column) -> Column:
+        denied = n.contains("nok") | n.contains("not ok") | n.contains("not conform")
+        return (
+            F.when(n == "", "EMPTY")
+            .when(n.isin(*lexicon.NOK_VALUES) | n.startswith("nok"), "NOK")
+            .when(n.rlike(r"\b(ok|okay)\b") & ~denied, "OK")
+            .when(n.rlike(r":\s*ok") & ~n.contains("nok"), "OK")
+            .when(n.isin(*lexicon.OK_VALUES), "OK")
+            .when(n.isin(*lexicon.NA_VALUES) | n.startswith("not applicable") | n.startswith("non applic"), "NA")
+            .otherwise("EMPTY")
+        )
+
+    return bound(strip(normalize(value)), kind)
 
 
 def items(matrix: DataFrame) -> DataFrame:
     """Rows with their category, review flag and confidence: an EMPTY status with a comment needs a look."""
-    category = classify(F.col("conformity_raw"))
-    review = (category == "EMPTY") & (strip(F.coalesce("comment", F.lit(""))) != "")
-    return matrix.withColumns({"category": category, "needs_review": review, "classification_confidence": F.when(review, "medium").otherwise("high")})
+    d = matrix.withColumn("category", classify(F.col("conformity_raw")))
+    d = d.withColumn("needs_review", (F.col("category") == "EMPTY") & (strip(F.coalesce("comment", F.lit(""))) != ""))
+    return d.withColumn("classification_confidence", F.when(F.col("needs_review"), "medium").otherwise("high"))
 
 
 def status_summary(found: DataFrame) -> DataFrame:
@@ -55,13 +58,16 @@ def status_rollup(found: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- several status columns
 def chosen_status(statuses: list[Column], verdict: Column) -> Column:
     """Status of a row with several columns: a NOK verdict, the first value that isn't an assessment, the worst
-    assessment (NOK, then NA, EMPTY, OK), an OK verdict."""
-    v = classify(verdict)
-    first = classify(statuses[0])
-    filled = F.filter(F.array(*[F.struct(strip(s).alias("raw"), rank(classify(s)).alias("rank"), classify(s).alias("category")) for s in statuses[1:]]), lambda x: x["raw"] != "")
-    worst = F.reduce(filled, F.struct(F.lit(-9).alias("rank"), F.lit("EMPTY").alias("category")), lambda a, x: F.when(x["rank"] > a["rank"], F.struct(x["rank"].alias("rank"), x["category"].alias("category"))).otherwise(a))
-    base = F.when(v == "NOK", "NOK").when(strip(statuses[0]) != "", first).when(F.size(filled) > 0, worst["category"]).otherwise("EMPTY")
-    return F.when((base == "EMPTY") & (v == "OK"), "OK").otherwise(base)
+    assessment (NOK, then NA, EMPTY, OK), an OK verdict.  Every cell is classified once."""
+    graded = lambda s: bound(classify(s), lambda c: F.struct(rank(c).alias("rank"), c.alias("category")))
+    filled = F.filter(F.transform(F.array(*statuses[1:]), strip), lambda s: s != "")
+    worst = F.reduce(F.transform(filled, graded), F.struct(F.lit(-9).alias("rank"), F.lit("EMPTY").alias("category")), lambda a, x: F.when(x["rank"] > a["rank"], x).otherwise(a))
+    other = F.when(strip(statuses[0]) != "", classify(statuses[0])).otherwise(worst["category"])
+
+    def decided(v: Column) -> Column:
+        return F.when(v == "NOK", "NOK").otherwise(bound(other, lambda o: F.when((o == "EMPTY") & (v == "OK"), "OK").otherwise(o)))
+
+    return bound(classify(verdict), decided)
 
 
 def rank(category: Column) -> Column:
@@ -188,27 +194,47 @@ def ok_suspicions(found: DataFrame) -> DataFrame:
 
 
 def inconsistencies(found: DataFrame) -> DataFrame:
-    """OK items with negative comments, or without a comment and without 'ok' in the raw status."""
-    ok = found.where("category = 'OK'").withColumn("signals", signals(F.col("comment"), lexicon.NEGATIVE_SIGNALS)).withColumn("score", score(F.col("signals")))
-    silent = (strip(F.col("comment")) == "") & ~normalize(F.col("conformity_raw")).contains("ok")
-    kind = F.when(F.size("signals") > 0, "OK_NEGATIVE_COMMENT").when(silent, "OK_WITHOUT_COMMENT")
-    level = F.when(F.size("signals") > 0, F.when(F.col("score") >= 4, "error").otherwise("warning")).otherwise("info")
-    return ok.withColumns({"kind": kind, "severity": level}).where("kind is not null")
+    """OK items with negative comments, or without a comment and without the word ok in the raw status.
+
+    Comments that are domain codes alone are passed over.  (Comments that say 'not applicable' are negative ones already.)
+    """
+    ok = found.where("category = 'OK'").withColumn("_told", strip(F.col("comment")) != "")
+    ok = ok.withColumn("_looked", F.col("_told") & ~domains_only(F.col("comment")))
+    ok = ok.withColumn("signals", F.when(F.col("_looked"), signals(F.col("comment"), lexicon.NEGATIVE_SIGNALS)).otherwise(F.array().cast("array<struct<label:string,weight:int,matched:string>>")))
+    ok = ok.withColumn("score", score(F.col("signals")))
+    first = F.col("column_set") == 0 if "column_set" in found.columns else F.lit(True)
+    silent = ~F.col("_told") & first & ~normalize(F.col("conformity_raw")).rlike(r"\bok\b")
+    kind = F.when(F.size("signals") > 0, "OK_NEGATIVE_COMMENT").when(silent, "OK_NO_COMMENT")
+    return ok.withColumns({"kind": kind, "severity": F.when(F.col("score") >= 4, "error").otherwise("warning")}).where("kind is not null").drop("_told", "_looked")
 
 
-#: Labels in the order in which they decide the message.
+# Comments that only assign domains.
+_DOMAIN = "(?:sys|sw|ve|ee|me|od|opt|cg|tp|hw|mech|dq|fusa|ipm|all)"
+ASSIGNED = rf"(?i)^{_DOMAIN}(?:\s*/\s*{_DOMAIN})*\s*$"
+
+
+def domains_only(comment: Column) -> Column:
+    return strip(comment).rlike(ASSIGNED)
+
+
+#: Labels in the order in which they decide the message; one of a pair is enough.
 PRIORITIES = (
-    ("cannot", "cannot be met"), ("not_meet", "does not meet"), ("fail_defect", "failed or defective"), ("pending_confirmation", "to be confirmed"), ("na_language", "not applicable"),
-    ("partial_limited", "partial"), ("alternative_approach", "alternative"), ("missing_incomplete", "missing"), ("remaining", "remaining"), ("follow_same", "same as another"),
+    (("na_language",), "says not applicable"), (("cannot",), "says it can't be done"), (("not_responsible",), "declines responsibility"), (("rejected",), "refuses"),
+    (("pending_confirmation", "in_development"), "not confirmed yet"), (("needs_action", "stla_action"), "needs action"), (("alternative_approach",), "another approach"), (("conflict",), "in conflict"),
+    (("partial_limited",), "partial or limited"), (("temporary",), "temporary"), (("remaining",), "something remains"),
 )
 
 
-def comment_label(found: Column) -> Column:
-    labels = F.transform(found, lambda s: s["label"])
-    out = F.when(F.array_contains(labels, PRIORITIES[0][0]), PRIORITIES[0][1])
-    for label, text in PRIORITIES[1:]:
-        out = out.when(F.array_contains(labels, label), text)
-    return out.otherwise("other")
+def comment_label(found: Column, points: Column) -> Column:
+    """The message of a finding: by its first label that decides, else by its points."""
+
+    def told(labels: Column) -> Column:
+        out = F.when(F.lit(False), "")
+        for own, text in PRIORITIES:
+            out = out.when(F.arrays_overlap(labels, F.array(*[F.lit(x) for x in own])), text)
+        return out.when(points >= 3, "several signals").when(points >= 1, "minor signals").otherwise("")
+
+    return bound(F.transform(found, lambda s: s["label"]), told)
 
 
 # ---------------------------------------------------------------- comparison

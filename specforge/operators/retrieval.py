@@ -195,12 +195,6 @@ def file_overview(chunks: DataFrame, first: int = 7) -> DataFrame:
     return chunks.where(F.col("chunk_id") < first).withColumn("score", F.lit(1.0))
 
 
-def search_standards(queries: DataFrame, vectors: DataFrame, codes: list[str], k: int = 5, threshold: float = 0.65) -> DataFrame:
-    """Vectors of some standards only (codes in any case); the filter stands before the scores."""
-    wanted = [c.upper() for c in codes]
-    return cosine_topk(queries, vectors.where(F.upper("source_code").isin(*wanted)), k, threshold)
-
-
 def stem_words(file_name: Column) -> Column:
     """Words of three letters or more of a file's name without its suffix."""
     stem = F.lower(F.regexp_replace(file_name, r"\.[^.]*$", ""))

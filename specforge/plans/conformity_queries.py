@@ -208,23 +208,23 @@ def ok_suspicion(spark, sf_dir):
     return C.ok_suspicions(items(spark, sf_dir)).select("row_index", "comment", "score", "severity")
 
 
-@query(f"""{COMMENTS}, s AS (SELECT row_index, conformity_raw, comment, {sql_score(lexicon.NEGATIVE_SIGNALS)} AS score FROM c1)
-  SELECT row_index, CASE WHEN score > 0 THEN 'OK_NEGATIVE_COMMENT' ELSE 'OK_WITHOUT_COMMENT' END AS kind, score,
-    CASE WHEN score >= 4 THEN 'error' WHEN score > 0 THEN 'warning' ELSE 'info' END AS severity
-  FROM s WHERE score > 0 OR (trim(comment) = '' AND NOT contains(lower(conformity_raw), 'ok'))""")
+@query(f"""{COMMENTS}, s AS (SELECT row_index, conformity_raw, comment, CASE WHEN trim(comment) = '' OR {found("trim(comment)", C.ASSIGNED)} THEN 0 ELSE {sql_score(lexicon.NEGATIVE_SIGNALS)} END AS score FROM c1)
+  SELECT row_index, CASE WHEN score > 0 THEN 'OK_NEGATIVE_COMMENT' ELSE 'OK_NO_COMMENT' END AS kind, score, CASE WHEN score >= 4 THEN 'error' ELSE 'warning' END AS severity
+  FROM s WHERE score > 0 OR (trim(comment) = '' AND NOT regexp_matches({norm('conformity_raw')}, '\\bok\\b'))""")
 def negative_signals(spark, sf_dir):
     return C.inconsistencies(items(spark, sf_dir)).select("row_index", "kind", "score", "severity")
 
 
 def _label_case() -> str:
-    by_label = {label: [p for p, k, _ in lexicon.SUSPICIONS if k == label] for label, _ in C.PRIORITIES}
-    return "CASE " + " ".join("WHEN " + " OR ".join(found("n", p) for p in by_label[k]) + f" THEN {quoted(t)}" for k, t in C.PRIORITIES) + " ELSE 'other' END"
+    own = lambda labels: [p for p, k, _ in lexicon.SUSPICIONS if k in labels]
+    tests = [(" OR ".join(found("n", p) for p in own(k)), t) for k, t in C.PRIORITIES if own(k)]
+    return "CASE " + " ".join(f"WHEN {w} THEN {quoted(t)}" for w, t in tests) + f" WHEN {sql_score(lexicon.SUSPICIONS)} >= 3 THEN 'several signals' ELSE 'minor signals' END"
 
 
 @query(f"""{COMMENTS}, s AS (SELECT row_index, {_label_case()} AS message, {sql_score(lexicon.SUSPICIONS)} AS score FROM c1 WHERE trim(comment) <> '' AND NOT {DOMAIN_ONLY})
   SELECT row_index, message FROM s WHERE score >= 2""")
 def ai_comment_label(spark, sf_dir):
-    return C.ok_suspicions(items(spark, sf_dir)).select("row_index", C.comment_label(F.col("signals")).alias("message"))
+    return C.ok_suspicions(items(spark, sf_dir)).select("row_index", C.comment_label(F.col("signals"), F.col("score")).alias("message"))
 
 
 @query(f"""{COMMENTS}, s AS (SELECT row_index, {sql_score(lexicon.SUSPICIONS)} AS score FROM c1 WHERE trim(comment) <> '' AND NOT {DOMAIN_ONLY})

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from xml.etree import ElementTree as ET
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from specforge.schemas import BLOCKS, IMAGES
@@ -112,7 +112,7 @@ def images(spark: SparkSession, path: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, path: str) -> DataFrame:
-    """(file_name, text) of txt and docx files; what can't be read is empty.  One row per name."""
+    """(file_name, text) of txt and docx files; what can't be read is empty.  One row per name: the greatest text of files of one name."""
 
     def make(name: str, data: bytes) -> list[tuple]:
         try:
@@ -120,11 +120,12 @@ def texts(spark: SparkSession, path: str) -> DataFrame:
         except Exception:  # noqa: BLE001  the contract of this reader: failures are empty texts
             return [(name, "")]
 
-    return _mapped(spark, path, "*.{txt,docx}", make, "file_name string, text string").groupBy("file_name").agg(F.first("text").alias("text"))
+    return _mapped(spark, path, "*.{txt,docx}", make, "file_name string, text string").groupBy("file_name").agg(F.max("text").alias("text"))
 
 
-def image_kinds(found: DataFrame) -> DataFrame:
-    """Kind of each image by the words of its section."""
-    s = F.lower("section")
-    kind = F.when(s.rlike("architect|block"), "architecture").when(s.rlike("state|mode"), "state_machine").when(s.rlike("interface|context"), "context").when(s.rlike("electric|wiring"), "electrical").otherwise("figure")
-    return found.withColumn("kind", kind)
+def requirement_tables(found: DataFrame) -> DataFrame:
+    """(doc_id, table_index, row_index, section, cells) of blocks: rows of tables as requirement extraction wants them, row 0 being the header."""
+    d = found.where("block_type in ('table', 'table_row')").select(F.col("source_file").alias("doc_id"), "block_id", F.coalesce("section_context", F.lit("")).alias("section"), "block_type", "text")
+    d = d.withColumn("table_index", (F.sum((F.col("block_type") == "table").cast("int")).over(Window.partitionBy("doc_id").orderBy("block_id")) - 1).cast("int"))
+    d = d.withColumn("row_index", F.row_number().over(Window.partitionBy("doc_id", "table_index").orderBy("block_id")) - 1)
+    return d.select("doc_id", "table_index", "row_index", "section", F.transform(F.split("text", r"\|"), lambda x: F.trim(x)).alias("cells"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from specforge.operators.chunking import with_overlap
+from specforge.operators.retrieval import cosine_topk, embedded, index_of
 from specforge.schemas import VECTORS
 
 
@@ -27,9 +31,13 @@ def status(index: DataFrame) -> DataFrame:
     return index.agg(F.count("*").alias("chunks"), F.sort_array(F.collect_set("source_code")).alias("sources"))
 
 
-def resolved_standards(wanted: DataFrame, standards: DataFrame) -> DataFrame:
-    """(code, status, title) of wanted codes against (code, title, state): the exact code first, else the first that begins with it."""
-    joined = wanted.join(standards.withColumnRenamed("code", "_code"), F.upper("_code").startswith(F.upper("code")), "left")
-    best = joined.groupBy("code").agg(F.min_by(F.struct("title", "state", "_code"), F.struct((F.upper("_code") != F.upper("code")).alias("far"), "_code")).alias("x"))
-    state = F.when(F.col("x._code").isNull(), "not_found").when(F.lower("x.state").isin("active", "cancelled", "draft"), F.lower("x.state")).otherwise("unknown_status")
-    return best.select("code", state.alias("status"), F.col("x.title").alias("title"))
+def index_documents(texts: DataFrame, path: str, embed: Callable[[Column], Column] = embedded) -> None:
+    """Chunk (with overlap), embed and store texts (doc_id, text): one write, with a file's chunks under its own partition."""
+    chunks = with_overlap(texts).select(F.col("doc_id").cast("string").alias("source_code"), "chunk_id", "text")
+    save_index(index_of(chunks, embed).select("source_code", "chunk_id", "text", F.col("embedding").cast("array<float>").alias("embedding")), path)
+
+
+def search_standards(queries: DataFrame, index: DataFrame, codes: list[str], k: int = 5, threshold: float = 0.65) -> DataFrame:
+    """Best chunks of some standards (codes in any case) for query vectors; the filter stands before the scores."""
+    some = index.where(F.upper("source_code").isin([c.upper() for c in codes])).withColumn("chunk_key", F.concat_ws("#", "source_code", F.col("chunk_id").cast("string")))
+    return cosine_topk(queries, some, k, threshold)
