@@ -9,7 +9,10 @@ How windows that are equal find one another without comparing all shards with al
    still be equal in part: these pieces are asked for.
 3. The pieces' bytes go to shards by anchor.  A shard has a suffix array by Larsson-Sadakane refinement; Kasai common prefixes
    of at least 100 bytes make windows equal; shards of one bucket are merged by binary search (see `suffix`).
-4. A document's removed intervals are united and its other bytes digested.
+4. No digest removes anything by itself: a piece that was taken for a copy names the copy before it.  Pieces that lie behind one another in both
+   documents are one run; the earlier document's bytes of every run are sent to the later one and compared there, byte by byte.
+   (Copies form chains, so a passage that a third of all documents hold is sent once a copy, and no document is asked by all.)
+5. A document's removed intervals are united and its other bytes digested.  If any run differed, all is done again with other digests.
 
 Hot passages.  Hashes of 32-byte strings that are frequent in a sample of about ``SAMPLE`` documents get the highest values, so they
 are anchors only of windows that hold nothing else, and those have few different pieces.  The sample steers only where windows
@@ -47,6 +50,12 @@ PIECE = np.dtype([("anchor", "<u8"), ("digest", "<u8"), ("doc", "<i8"), ("at", "
 #: Set in n if the anchor occurs twice within the piece: windows of the piece itself may then be equal.
 SELF = 1 << 30
 INTERVAL = np.dtype([("doc", "<i8"), ("start", "<i4"), ("end", "<i4")])
+#: A piece that is taken for a copy, and where the copy before it stands; runs of such pieces.
+LATER = np.dtype([("doc", "<i8"), ("src", "<i8"), ("at", "<i4"), ("n", "<i4"), ("src_at", "<i4"), ("pad", "<i4")])
+RUN = np.dtype([("doc", "<i8"), ("src", "<i8"), ("start", "<i4"), ("end", "<i4"), ("src_at", "<i4"), ("pad", "<i4")])
+#: Bits of the digests of each attempt; the words of texts are turned by another number each time.
+ATTEMPTS = (64, 64, 64)
+TURNS = (0, 0x5851F42D4C957F2D, 0x14057B7EF767814F)
 
 
 # ---------------------------------------------------------------- hashing
@@ -89,8 +98,8 @@ class Hot:
         return h
 
 
-def pieces(docs: list[tuple[int, bytes]], hot: Hot) -> np.ndarray:
-    """All pieces of some documents."""
+def pieces(docs: list[tuple[int, bytes]], hot: Hot, turn: int = 0, bits: int = 64) -> np.ndarray:
+    """All pieces of some documents; digests of so many bits of words that are turned by a number."""
     docs = [x for x in docs if len(x[1]) >= WINDOW]
     if not docs:
         return np.empty(0, PIECE)
@@ -119,10 +128,11 @@ def pieces(docs: list[tuple[int, bytes]], hot: Hot) -> np.ndarray:
     size = max(CHUNK_BYTES, 1 << int(n).bit_length())
     up, down = powers(size)
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum(mixed[:n] * up[:n], out=total[1:])
+    turned = mix(mixed[:n] ^ np.uint64(turn)) if turn else mixed[:n]
+    np.cumsum(turned * up[:n], out=total[1:])
     out = np.empty(len(first), PIECE)
     out["anchor"], out["n"] = value[first], run | np.where(twice(h, least, a, value[first]), SELF, 0)
-    out["digest"] = mix((total[b - 7] - total[a]) * down[a] + run.astype(np.uint64) * M2)
+    out["digest"] = mix((total[b - 7] - total[a]) * down[a] + run.astype(np.uint64) * M2) >> np.uint64(64 - bits)
     out["doc"] = np.fromiter((x[0] for x in docs), np.int64, len(docs))[owner[first]]
     out["at"] = a - begins[owner[first]]
     return out
@@ -166,11 +176,27 @@ def ordered(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return p, first
 
 
-def whole(p: np.ndarray) -> np.ndarray:
-    """The intervals that pieces cover, united."""
-    out = np.empty(len(p), INTERVAL)
-    out["doc"], out["start"], out["end"] = p["doc"], p["at"], p["at"] + count(p) + (WINDOW - 1)
-    return united(out)
+def copies(p: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The pieces of ordered ones that aren't first, each with the copy right before it."""
+    at = np.flatnonzero(~first)
+    out = np.zeros(len(at), LATER)
+    out["doc"], out["at"], out["n"] = p["doc"][at], p["at"][at], count(p[at])
+    out["src"], out["src_at"] = p["doc"][at - 1], p["at"][at - 1]
+    return out
+
+
+def runs_of_copies(v: np.ndarray) -> np.ndarray:
+    """LATER rows as runs: pieces of a document that overlap or touch and whose copies lie in one document at one distance."""
+    v = v[np.lexsort((v["at"], v["src_at"].astype(np.int64) - v["at"], v["src"], v["doc"]))]
+    end = v["at"].astype(np.int64) + v["n"] + (WINDOW - 1)
+    new = np.ones(len(v), bool)
+    same = (v["doc"][1:] == v["doc"][:-1]) & (v["src"][1:] == v["src"][:-1]) & (v["src_at"][1:] - v["at"][1:] == v["src_at"][:-1] - v["at"][:-1])
+    new[1:] = ~same | (v["at"][1:] > end[:-1])
+    first = np.flatnonzero(new)
+    out = np.zeros(len(first), RUN)
+    out["doc"], out["src"], out["start"], out["src_at"] = v["doc"][first], v["src"][first], v["at"][first], v["src_at"][first]
+    out["end"] = end[np.append(first[1:], len(v)) - 1] if len(v) else []
+    return out
 
 
 def united(v: np.ndarray) -> np.ndarray:
@@ -248,15 +274,15 @@ def frequent(docs: DataFrame) -> np.ndarray:
     return np.array([r.h for r in found.orderBy(F.desc("n"), "h").limit(HOT).select("h").collect()], np.int64).view(np.uint64)
 
 
-def anchored(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
-    """Per task and bucket: first pieces (kind 0); per task and document bucket: intervals of later ones (kind 1)."""
+def anchored(docs: DataFrame, hot: np.ndarray, buckets: int, turn: int, bits: int) -> DataFrame:
+    """Per task and bucket: first pieces (kind 0); per task and document bucket: later ones with the copies before them (kind 1)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lifted, held, some, size = Hot(hot), [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             p, first = ordered(np.concatenate(held)) if held else (np.empty(0, PIECE), np.empty(0, bool))
-            again = whole(p[~first])
+            again = copies(p, first)
             for row in (*dealt(p[first], by_anchor(p["anchor"][first], buckets), 0), *dealt(again, by_doc(again["doc"], buckets), 1)):
                 yield batch_of([row])
             held.clear()
@@ -266,23 +292,23 @@ def anchored(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
                 some.append((key, text))
                 size += len(text)
                 if size >= CHUNK_BYTES:
-                    held.append(pieces(some, lifted))
+                    held.append(pieces(some, lifted, turn, bits))
                     some, size = [], 0
                     if sum(map(len, held)) >= FLUSH:
                         yield from flush()
-        held.append(pieces(some, lifted))
+        held.append(pieces(some, lifted, turn, bits))
         yield from flush()
 
     return docs.select("key", "text").mapInArrow(cut, BLOB)
 
 
 def met(found: DataFrame, buckets: int) -> DataFrame:
-    """Across tasks, by document bucket: intervals of later pieces (kind 1), and pieces to be looked at (kind 2)."""
+    """Across tasks, by document bucket: later pieces with the copies before them (kind 1), and pieces to be looked at (kind 2)."""
 
     def meet(own: pd.DataFrame) -> pd.DataFrame:
         rows = [(int(own.bucket.iloc[0]), 1, x) for x in own.data[own.kind == 1]]
         p, first = ordered(np.concatenate([np.frombuffer(x, PIECE) for x in own.data[own.kind == 0]] or [np.empty(0, PIECE)]))
-        again = whole(p[~first])
+        again = copies(p, first)
         p = p[first]
         same = p["anchor"][1:] == p["anchor"][:-1]
         shared = (np.append(same, False) | np.insert(same, 0, False) | (p["n"] >= SELF)) if len(p) else np.empty(0, bool)
@@ -305,21 +331,69 @@ def per_doc(blobs: DataFrame, dtype: np.dtype, unite: bool) -> DataFrame:
     return blobs.groupBy("bucket").applyInPandas(split, "key long, data binary")
 
 
+def copied(blobs: DataFrame) -> DataFrame:
+    """(key, kind, data) of kind-1 blobs: by document bucket the runs of copies as intervals (kind 1), and by the document that holds the copy what is to be sent (kind 4)."""
+
+    def split(own: pd.DataFrame) -> pd.DataFrame:
+        runs = runs_of_copies(np.concatenate([np.frombuffer(x, LATER) for x in own.data]))
+        cut = np.empty(len(runs), INTERVAL)
+        cut["doc"], cut["start"], cut["end"] = runs["doc"], runs["start"], runs["end"]
+        rows = [(int(own.bucket.iloc[0]), 1, united(cut).tobytes())] + [(key, 4, data) for key, data in by_key(runs, "src")]
+        return pd.DataFrame(rows, columns=["key", "kind", "data"]).astype({"key": "int64", "kind": "int32"})
+
+    return blobs.groupBy("bucket").applyInPandas(split, "key long, kind int, data binary")
+
+
+def by_key(rows: np.ndarray, field: str) -> Iterator[tuple[int, bytes]]:
+    rows = rows[np.argsort(rows[field], kind="stable")]
+    cuts = np.flatnonzero(np.diff(rows[field])) + 1
+    for s, e in zip(np.concatenate(([0], cuts)), np.append(cuts, len(rows)), strict=True):
+        if e > s:
+            yield int(rows[field][s]), rows[s:e].tobytes()
+
+
+#: Head of the bytes of a run that are sent to the later document.
+SENT = np.dtype([("start", "<i4"), ("size", "<i4")])
+
+
 def fetched(docs: DataFrame, asked: DataFrame, shards: int) -> DataFrame:
-    """(bucket, kind, data): pieces that were asked for, with their bytes behind one another, by anchor."""
+    """(bucket, kind, data) of what documents are asked for (key, kind, data), in one pass over their texts: pieces with their bytes, by anchor
+    (kind 3), and the bytes of runs, by the later document (kind 5)."""
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held: dict[int, list[bytes]] = {}
-            for text, data in zip(text_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                p = np.frombuffer(data, PIECE)
-                for row, bucket, n in zip(p, by_anchor(p["anchor"], shards), count(p).tolist(), strict=True):
-                    at = int(row["at"])
-                    held.setdefault(int(bucket), []).append(row.tobytes() + text[at : at + n + WINDOW - 1])
-            yield batch_of([(b, 3, b"".join(x)) for b, x in held.items()])
-
-    joined = docs.select("key", "text").join(asked.withColumnRenamed("key", "_key"), F.col("key") == F.col("_key"))
-    return joined.select("text", "data").mapInArrow(fetch, BLOB)
+            held: dict[tuple[int, int], list[bytes]] = {}
+            for text, asks in zip(text_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+                for ask in asks:
+                    if ask["kind"] == 2:
+                        p = np.frombuffer(ask["data"], PIECE)
+                        for row, bucket, n in zip(p, by_anchor(p["anchor"], shards), count(p).tolist(), strict=True):
+                            at = int(row["at"])
+                            held.setdefault((int(bucket), 3), []).append(row.tobytes() + text[at : at + n + WINDOW - 1])
+                        continue
+                    for r in np.frombuffer(ask["data"], RUN):
+                        size, at = int(r["end"] - r["start"]), int(r["src_at"])
+                        head = np.array([(r["start"], size)], SENT).tobytes()
+                        held.setdefault((int(r["doc"]), 5), []).append(head + text[at : at + size])
+            yield batch_of([(b, kind, b"".join(x)) for (b, kind), x in held.items()])
+
+    per = asked.groupBy("key").agg(F.collect_list(F.struct("kind", "data")).alias("asks")).withColumnRenamed("key", "_key")
+    joined = docs.select("key", "text").join(per, F.col("key") == F.col("_key"))
+    return joined.select("text", "asks").mapInArrow(fetch, BLOB)
+
+
+def differing(text: bytes, sent: list[bytes]) -> int:
+    """Runs whose bytes in the text aren't those that were sent (or that were cut short)."""
+    wrong = 0
+    for blob in sent:
+        at = 0
+        while at < len(blob):
+            head = np.frombuffer(blob, SENT, 1, at)[0]
+            start, size = int(head["start"]), int(head["size"])
+            at += SENT.itemsize
+            wrong += text[start : start + size] != blob[at : at + size]
+            at += size
+    return wrong
 
 
 def unpacked(blobs: list[bytes]) -> list[tuple[np.void, bytes]]:
@@ -377,45 +451,58 @@ def sharded(parts: DataFrame, buckets: int) -> DataFrame:
     return parts.groupBy("bucket").applyInPandas(look, BLOB)
 
 
-def removed(docs: DataFrame) -> DataFrame:
-    """(key, data) of documents that lose bytes: their removed intervals, united; docs as from `numbered`."""
+def removed(docs: DataFrame, turn: int = 0, bits: int = 64) -> tuple[DataFrame, DataFrame]:
+    """(key, data) of documents that lose bytes: their removed intervals, united; and (key, sent): what their runs of copies are held against."""
     spark = docs.sparkSession
     small_batches(spark)
     buckets = max(8, 4 * docs.rdd.getNumPartitions())
-    hot = frequent(docs)
-    found = written(met(anchored(docs, hot, buckets), buckets), "pieces")
-    asked = found.where("kind = 2")
-    wanted = asked.agg(F.sum(F.octet_length("data"))).first()[0] or 0
-    intervals = found.where("kind = 1")
-    if wanted:
-        # a piece of 32 bytes here has some 140 bytes of text
-        shards = max(4, -(-int(wanted) * 5 // (SHARD_BYTES // 2)))
-        parts = fetched(docs, written(per_doc(asked, PIECE, False), "asked"), shards)
-        intervals = intervals.unionByName(written(sharded(parts, buckets), "later"))
-    return written(per_doc(intervals, INTERVAL, True), "intervals")
-
-
-def deduplicated(docs: DataFrame, texts: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 [, kept: the remaining bytes] of every document."""
+    found = written(met(anchored(docs, frequent(docs), buckets, turn, bits), buckets), "pieces")
+    runs = written(copied(found.where("kind = 1")), "runs")
+    pieces_ = per_doc(found.where("kind = 2"), PIECE, False).select("key", F.lit(2).alias("kind"), "data")
+    # a piece of 32 bytes here has some 140 bytes of text
+    wanted = found.where("kind = 2").agg(F.sum(F.octet_length("data"))).first()[0] or 0
+    shards = max(4, -(-int(wanted) * 5 // (SHARD_BYTES // 2)))
+    parts = written(fetched(docs, written(pieces_.unionByName(runs.where("kind = 4")), "asked"), shards), "parts")
+    later = sharded(parts.where("kind = 3"), buckets)
+    own = runs.where("kind = 1").select(F.col("key").alias("bucket"), "kind", "data")
+    intervals = written(per_doc(written(later, "later").unionByName(own), INTERVAL, True), "intervals")
+    sent = parts.where("kind = 5").groupBy(F.col("bucket").alias("key")).agg(F.collect_list("data").alias("sent"))
+    return intervals, sent
+
+
+def deduplicated(docs: DataFrame, texts: bool = False, attempts: tuple[int, ...] = ATTEMPTS) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 [, kept: the remaining bytes] of every document.
+
+    attempts: bits of the digests of each attempt.  An attempt in which a run of copies differs is thrown away.
+    """
     d = numbered(docs)
-    cut = removed(d).withColumnRenamed("key", "_key")
+    for turn, bits in zip(TURNS, attempts, strict=False):
+        out = written(applied(d, *removed(d, turn, bits), texts), "deduplicated")
+        if not out.where("_wrong > 0").limit(1).count():
+            return out.drop("_wrong") if texts else out.drop("_wrong", "kept")
+    raise RuntimeError("digests collided in every attempt")
+
+
+def applied(d: DataFrame, intervals: DataFrame, sent: DataFrame, texts: bool) -> DataFrame:
+    """Documents without their intervals, and how many of their runs differ from what was sent."""
     small_batches(d.sparkSession)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, data in zip(text_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+            for text, data, proof in zip(text_bytes(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 v = np.frombuffer(data or b"", INTERVAL)
                 edges = [0, *np.stack([v["start"], v["end"]], 1).ravel().tolist(), len(text)]
                 kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                rows.append((len(text), len(text) - len(kept), len(v), hashlib.sha256(kept).hexdigest(), kept if texts else None))
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-    joined = d.join(cut, F.col("key") == F.col("_key"), "left").select("doc_id", "text", "data")
-    out = joined.mapInArrow(apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    return out if texts else out.drop("kept")
+                rows.append((len(text), len(text) - len(kept), len(v), hashlib.sha256(kept).hexdigest(), kept if texts else None, differing(text, proof or [])))
+            columns = list(zip(*rows, strict=True)) or [[]] * 6
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "_wrong"])
+
+    cut, told = intervals.withColumnRenamed("key", "_key"), sent.withColumnRenamed("key", "_to")
+    both = cut.join(told, F.col("_key") == F.col("_to"), "left").select("_key", "data", "sent")  # who is sent something loses something
+    joined = d.join(both, F.col("key") == F.col("_key"), "left").select("doc_id", "text", "data", "sent")
+    return joined.mapInArrow(apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, _wrong long")
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

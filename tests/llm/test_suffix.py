@@ -6,6 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from specforge.llm import substrings as S
 from specforge.llm.substrings import deduplicated
 from specforge.llm.suffix import PAD, common_prefixes, not_first, search, suffix_array
 
@@ -86,3 +87,22 @@ def test_dedup_repeated_and_empty(repeated, none):
     key = lambda r: (r[0] is not None, r[0] or 0, r[1:])
     assert sorted((tuple(r) for r in deduplicated(repeated).collect()), key=key) == sorted(expected(rows_), key=key)
     assert deduplicated(none).count() == 0
+
+
+def test_colliding_digests_remove_nothing(docs, rows):
+    """Digests of one bit take unlike pieces for copies; their bytes tell, and the next attempt gives the right result."""
+    import pytest as _pytest
+
+    got = sorted(tuple(r) for r in deduplicated(docs, attempts=(1, 64)).collect())
+    assert got == sorted(expected([(r[0], r[1]) for r in rows]))
+    with _pytest.raises(RuntimeError):
+        deduplicated(docs, attempts=(1,))
+
+
+def test_runs_of_copies():
+    v = np.zeros(5, S.LATER)
+    v["doc"], v["src"], v["at"], v["n"], v["src_at"] = [7, 7, 7, 7, 8], [3, 3, 3, 4, 3], [0, 10, 500, 0, 0], [10, 5, 4, 9, 10], [100, 110, 600, 2, 100]
+    got = [tuple(r)[:5] for r in S.runs_of_copies(v)]
+    assert got == [(7, 3, 0, 114, 100), (7, 3, 500, 603, 600), (7, 4, 0, 108, 2), (8, 3, 0, 109, 100)]
+    assert len(S.runs_of_copies(v[:0])) == 0
+    assert S.differing(b"abcdef", [np.array([(1, 3)], S.SENT).tobytes() + b"bcd"]) == 0 and S.differing(b"abcdef", [np.array([(1, 3)], S.SENT).tobytes() + b"bxd"]) == 1
