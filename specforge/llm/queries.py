@@ -1,8 +1,7 @@
-"""The queries of the training-data operators and their oracles."""
+"""The queries of the training-data operators and their oracles (the pipeline is registered beside them)."""
 
 from __future__ import annotations
 
-import corpus_pipeline
 from specforge.llm import oracles
 from specforge.llm.digests import op4_digests
 from specforge.llm.language import op6_language
@@ -26,6 +25,5 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_mixing": op9_mixing,
     "op10_secrets": op10_secrets,
-    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {"op3_warc": oracles.WARC, "op10_secrets": oracles.SECRETS}

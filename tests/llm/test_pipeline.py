@@ -1,5 +1,5 @@
 import corpus_pipeline as C
-from specforge.llm.common import DOCUMENT_COLUMNS
+from specforge.llm.common import DOCUMENT_COLUMNS, written
 from specforge.llm.packing import packed, vocabulary_path
 from specforge.llm.quality import judged
 from specforge.llm.secrets import secret_spans
@@ -25,3 +25,24 @@ def test_stages_hand_on_documents(spark, sf_dir, tmp_path):
 
 def test_run_on_the_smallest_table(spark, sf_dir):
     assert C.run(spark, sf_dir).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+
+
+def test_stages_on_odd_tables(spark, none, repeated, sf_dir):
+    """Empty tables stay empty; null and repeated numbers and clashing columns go through every stage."""
+    for name, stage in C.STAGES:
+        assert stage(spark, none, sf_dir).count() == 0, name
+    n = repeated.count()
+    docs = repeated
+    for k, (name, stage) in enumerate(C.STAGES):
+        out = stage(spark, docs, sf_dir)
+        if k < len(C.STAGES) - 1:
+            assert out.columns == docs.columns, name
+        docs = out.cache()
+        assert docs.count() > 0 and (k > 2 or docs.count() <= n)
+        docs = written(docs, "odd") if k < len(C.STAGES) - 1 else docs
+
+
+def test_registered_beside_the_queries():
+    import __spark_entry__ as entry
+
+    assert entry.queries()["pipeline"] is C.run and len([k for k in entry.queries() if k.startswith("op")]) == 10
