@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from specforge import lexicon
 from specforge.functions.text import strip
-from specforge.operators.lines import by_line, context_flags, declaration_islands, detected_sections
+from specforge.operators.lines import by_line, context_flags, detected_sections
 
 # Patterns of the rules.
 REQUIREMENT_ID = r"(?i)\b(?:REF|APP|GEN)\s*[-_\s]\s*[A-Z0-9][A-Z0-9_-]*?\s*[-_]\s*\d+"
@@ -20,8 +20,6 @@ TRACE = (
     r"(?i)\binput\s+requirement\b|\bupstream\s+requirement\b|\bderived\s+from\b|\btraced?\s+(?:to|from)\b|\bISO\s*\d{4,6}",
     r"\bN/A\b|\bVF_\d{2,6}\b|\bCS\.\d{4,6}\b|\[([A-Z]{2,}[_\s][A-Z]{2,}[_\d]*)\]",
 )
-STANDARD = r"\[(STA\s?\d{1,4}|N\s?\d{1,3})\]"
-COLOURS = r"(?i)\b(red|green|blue|yellow|orange|purple)\b"
 
 
 def is_shall(line: Column) -> Column:
@@ -71,14 +69,6 @@ def traceability(lines: DataFrame) -> DataFrame:
     return per.withColumn("traced", traced).withColumn("ratio", traced / F.col("shall_lines"))
 
 
-def standards_consistency(lines: DataFrame) -> DataFrame:
-    """(doc_id, standard, problem): standards declared but not used, or used but not declared."""
-    split = declaration_islands(lines)
-    refs = split.select("doc_id", "declared", F.explode(F.regexp_extract_all(F.upper("line"), F.lit(STANDARD), F.lit(1))).alias("raw"))
-    per = refs.groupBy("doc_id", F.regexp_replace("raw", r"\s+", "").alias("standard")).agg(F.bool_or("declared").alias("declared"), F.bool_or(~F.col("declared")).alias("used"))
-    return per.where("declared <> used").select("doc_id", "standard", F.when(F.col("declared"), "unused").otherwise("undeclared").alias("problem"))
-
-
 def catalogue(spark, names=lexicon.MANDATORY_SECTIONS) -> DataFrame:
     """Rule catalogue: mandatory sections in their order."""
     return spark.createDataFrame([(n, k) for k, n in enumerate(names)], "required string, place int")
@@ -105,33 +95,6 @@ def matched_sections(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     return every.join(best, ["doc_id", "required"], "left").select("doc_id", "required", "place", "section")
 
 
-def section_order(lines: DataFrame, wanted: DataFrame, slack: int = 3) -> DataFrame:
-    """(doc_id, section, line_no, place, highest): sections that come `slack` places or more after a later one."""
-    found = detected_sections(lines)
-    words = lambda c: F.array_distinct(F.split(F.lower(F.trim(c)), r"\s+"))
-    pairs = found.join(F.broadcast(wanted)).withColumn("likeness", F.size(F.array_intersect(words("section"), words("required"))) / F.size(F.array_union(words("section"), words("required"))))
-    best = pairs.where("likeness >= 0.6").groupBy("doc_id", "section", "line_no").agg(F.min_by("place", F.struct(-F.col("likeness"), F.col("place"))).alias("place"))
-    before = by_line().rowsBetween(Window.unboundedPreceding, -1)
-    return best.withColumn("highest", F.max("place").over(before)).where(F.col("highest") - F.col("place") >= slack)
-
-
-#: Writing-guide flags: rule, pattern, whether it is looked for on shall-lines only.  Patterns run over lower-cased text.
-FLAGS = (
-    ("R02", r"\b(red|green|blue|yellow|orange)\b", False), ("R05", r"\b(title|identifier)\b", False), ("R07", r"\b(writer|approver|approved by)\b", False),
-    ("R09", r"\b(revision history|history of)\b", False), ("R11", r"\b(figure|diagram)\b", False), ("R21", r"\bshall\b", False), ("R27", r"\b(state machine|switch from)\b", False),
-    ("R33", r"\b0[bx][0-9a-f]+\b", True), ("R36", r"\belectrical diagram\b", False), ("R40", r"\bmission profile\b", False), ("R41", r"\bnoise\b", False),
-    ("P01", r"\bprocess\b", True), ("P04", r"\b(precondition|when the ignition)\b", True), ("P08", r"\b(reference|applicable) documents\b", False), ("P10", r"\b(dependability|reliability|rams)\b", False),
-)
-
-
-def rule_flags(lines: DataFrame) -> DataFrame:
-    """(doc_id, rule_id, hits): lines per rule, all rules in one pass over the lines."""
-    low = F.lower("line")
-    tests = [F.when(low.rlike(p) & (low.rlike(r"\bshall\b") if shall else F.lit(True)), F.lit(rule)) for rule, p, shall in FLAGS]
-    hits = lines.select("doc_id", F.explode(F.array_compact(F.array(*tests))).alias("rule_id"))
-    return hits.groupBy("doc_id", "rule_id").agg(F.count("*").alias("hits"))
-
-
 # Unit patterns of physical parameters.
 UNITS = (
     ("sound_level_db", r"(?i)(\d+(?:\.\d+)?)\s*(?:dB|dB\(A\)|dBA?)"), ("voltage_v", r"(?i)(\d+(?:\.\d+)?)\s*(?:V|volts?)\b"),
@@ -152,36 +115,6 @@ def _valued(unit: str):
     return lambda v: F.struct(F.lit(unit).alias("unit"), v.cast("double").alias("value"))
 
 
-def state_machine(lines: DataFrame) -> DataFrame:
-    """Per document: states without a way in, states without a way out."""
-    edge = r"(?i)from\s+(\w+)\s+to\s+(\w+)"
-    edges = lines.select("doc_id", F.regexp_extract("line", edge, 1).alias("src"), F.regexp_extract("line", edge, 2).alias("dst")).where("src <> ''")
-    per = edges.groupBy("doc_id").agg(F.collect_set("src").alias("src"), F.collect_set("dst").alias("dst"))
-    return per.select("doc_id", F.size(F.array_except("src", "dst")).alias("no_way_in"), F.size(F.array_except("dst", "src")).alias("no_way_out"))
-
-
-def requirement_issues(lines: DataFrame) -> DataFrame:
-    """(doc_id, line_no, issue) of table rows: several issues a row."""
-    cells = F.split("line", r"\|")
-    rows = lines.withColumn("cells", F.transform(cells, lambda c: F.trim(c))).where((F.size("cells") >= 3) & F.col("line").rlike(SHALL))
-    desc, ref = F.get("cells", F.lit(1)), F.get("cells", F.lit(2))
-    issues = F.array_compact(
-        F.array(
-            F.when(~F.get("cells", F.lit(0)).rlike(REQUIREMENT_ID), "missing_id"),
-            F.when(desc.rlike(PLACEHOLDER) | desc.rlike(TBD), "placeholder_in_desc"),
-            F.when((ref == "") | (ref == "N/A"), "missing_input_ref"),
-            F.when(F.char_length(desc) < 40, "weak_description"),
-            F.when(desc.rlike(SUBJECTIVE), "indirect_requirement"),
-        )
-    )
-    return rows.select("doc_id", "line_no", F.explode(issues).alias("issue"))
-
-
-def issue_groups(issues: DataFrame, shown: int = 2) -> DataFrame:
-    """(doc_id, issue, n, kind): few issues are shown one by one, many as one pattern."""
-    return issues.groupBy("doc_id", "issue").agg(F.count("*").alias("n")).withColumn("kind", F.when(F.col("n") <= shown, "single").otherwise("pattern"))
-
-
 def standard_codes(lines: DataFrame) -> DataFrame:
     """Distinct bracketed standard codes per document."""
     return lines.select("doc_id", F.explode(F.regexp_extract_all("line", F.lit(r"\[([A-Z][A-Z0-9_-]+)\]"), F.lit(1))).alias("code")).distinct()

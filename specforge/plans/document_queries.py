@@ -125,16 +125,6 @@ def traceability(spark, sf_dir):
     return rules.traceability(spec(spark, sf_dir))
 
 
-@query(rf"""{S}, b AS (SELECT *, contains(line, '|') AS bar, CAST(regexp_matches(line, '^\s*\[[A-Z0-9_]{{1,15}}\]\s*\|[^|\n]*\|') AS INT) AS decl FROM fx_spec_lines),
-  r AS (SELECT *, line_no - row_number() OVER (PARTITION BY doc_id, bar ORDER BY line_no) AS run FROM b),
-  d AS (SELECT *, bar AND sum(decl) OVER (PARTITION BY doc_id, bar, run) >= 2 AS declared FROM r),
-  e AS (SELECT doc_id, declared, regexp_replace(unnest(regexp_extract_all(upper(line), '\[(STA\s?\d{{1,4}}|N\s?\d{{1,3}})\]', 1)), '\s+', '', 'g') AS standard FROM d),
-  g AS (SELECT doc_id, standard, bool_or(declared) AS dec, bool_or(NOT declared) AS used FROM e GROUP BY doc_id, standard)
-  SELECT doc_id, standard, CASE WHEN dec THEN 'unused' ELSE 'undeclared' END AS problem FROM g WHERE dec <> used""")
-def standards_consistency(spark, sf_dir):
-    return rules.standards_consistency(spec(spark, sf_dir))
-
-
 WANTED = "wanted AS (SELECT * FROM (VALUES " + ", ".join(f"({quoted(n)}, {k})" for k, n in enumerate(lexicon.MANDATORY_SECTIONS)) + ") AS t(required, place))"
 SPLIT = lambda c: f"list_distinct(string_split(lower(trim({c})), ' '))"
 COVER = f"""{SECTIONS}, {WANTED}, p AS (SELECT doc_id, required, section, line_no, {SPLIT('required')} AS rw, {SPLIT('section')} AS fw, lower(required) AS rl, lower(trim(section)) AS fl FROM sec, wanted),
@@ -149,47 +139,12 @@ def section_coverage(spark, sf_dir):
     return rules.matched_sections(spec(spark, sf_dir), rules.catalogue(spark))
 
 
-@query(f"""{SECTIONS}, {WANTED}, p AS (SELECT doc_id, section, line_no, place, len(list_intersect({SPLIT('section')}, {SPLIT('required')})) / len(list_distinct(list_concat({SPLIT('section')}, {SPLIT('required')}))) AS likeness FROM sec, wanted),
-  b AS (SELECT doc_id, section, line_no, place FROM p WHERE likeness >= 0.6 QUALIFY row_number() OVER (PARTITION BY doc_id, section, line_no ORDER BY likeness DESC, place) = 1),
-  o AS (SELECT *, max(place) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS highest FROM b) SELECT * FROM o WHERE highest - place >= 1""")
-def section_order(spark, sf_dir):
-    return rules.section_order(spec(spark, sf_dir), rules.catalogue(spark), slack=1)
-
-
-@query(f"{S} SELECT doc_id, rule_id, count(*) AS hits FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{r}' AS rule_id FROM fx_spec_lines WHERE {found('lower(line)', p)}" + (rf" AND regexp_matches(lower(line), '\bshall\b')" if s else "") for r, p, s in rules.FLAGS) + ") GROUP BY ALL")  # noqa: F541
-def rule_flags(spark, sf_dir):
-    return rules.rule_flags(spec(spark, sf_dir))
-
-
 @query(f"{S}, v AS (" + " UNION ALL ".join(f"SELECT doc_id, line_no, '{u}' AS unit, CAST(unnest(regexp_extract_all(line, {quoted(p)}, 1)) AS DOUBLE) AS value FROM fx_spec_lines" for u, p in rules.UNITS) + """)
   SELECT *, (unit = 'sound_level_db' AND value > 130) OR (unit = 'voltage_v' AND (value < 1 OR value > 48)) OR (unit = 'percentage' AND value > 100) AS suspicious FROM v""")
 def physical_params(spark, sf_dir):
     return rules.physical_parameters(spec(spark, sf_dir))
 
 
-@query(rf"""{S}, e AS (SELECT doc_id, regexp_extract(line, '(?i)from\s+(\w+)\s+to\s+(\w+)', 1) AS src, regexp_extract(line, '(?i)from\s+(\w+)\s+to\s+(\w+)', 2) AS dst FROM fx_spec_lines),
-  g AS (SELECT doc_id, list_distinct(list(src)) AS s, list_distinct(list(dst)) AS d FROM e WHERE src <> '' GROUP BY doc_id)
-  SELECT doc_id, len(list_filter(s, lambda x: NOT list_contains(d, x)))::INT AS no_way_in, len(list_filter(d, lambda x: NOT list_contains(s, x)))::INT AS no_way_out FROM g""")
-def state_machine(spark, sf_dir):
-    return rules.state_machine(spec(spark, sf_dir))
-
-
-ISSUES = rf"""{S}, r AS (SELECT doc_id, line_no, list_transform(string_split(line, '|'), lambda x: trim(x)) AS c FROM fx_spec_lines WHERE len(string_split(line, '|')) >= 3 AND {found('line', SH)}),
-  i AS (SELECT doc_id, line_no, 'missing_id' AS issue FROM r WHERE NOT {found('c[1]', rules.REQUIREMENT_ID)} UNION ALL SELECT doc_id, line_no, 'placeholder_in_desc' FROM r WHERE {found('c[2]', PLACE)} OR {found('c[2]', TBD)}
-    UNION ALL SELECT doc_id, line_no, 'missing_input_ref' FROM r WHERE c[3] IN ('', 'N/A') UNION ALL SELECT doc_id, line_no, 'weak_description' FROM r WHERE length(c[2]) < 40
-    UNION ALL SELECT doc_id, line_no, 'indirect_requirement' FROM r WHERE {found('c[2]', SUBJ)})"""
-
-
-@query(f"{ISSUES} SELECT * FROM i")
-def req_issues(spark, sf_dir):
-    return rules.requirement_issues(spec(spark, sf_dir))
-
-
-@query(f"{ISSUES} SELECT doc_id, issue, count(*) AS n, CASE WHEN count(*) <= 2 THEN 'single' ELSE 'pattern' END AS kind FROM i GROUP BY doc_id, issue")
-def req_issue_groups(spark, sf_dir):
-    return rules.issue_groups(rules.requirement_issues(spec(spark, sf_dir)))
-
-
 @query(rf"{S} SELECT DISTINCT doc_id, unnest(regexp_extract_all(line, '\[([A-Z][A-Z0-9_-]+)\]', 1)) AS code FROM fx_spec_lines")
 def standard_codes(spark, sf_dir):
     return rules.standard_codes(spec(spark, sf_dir))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from specforge import lexicon
 from specforge.fixtures import cte, fixture
 from specforge.operators import evidence, lines, reports, rules
@@ -124,6 +126,19 @@ def evidence_findings(spark, sf_dir):
     return all_findings(spark, sf_dir)
 
 
+@query(f"{ALL} SELECT doc_id, section, line_no, place::INT AS place FROM late WHERE top - place >= 3")
+def section_order(spark, sf_dir):
+    """Sections that come three places or more after a later one of the plan."""
+    d = evidence.documents(spec(spark, sf_dir))
+    return d.select("doc_id", F.inline(evidence.disordered(lexicon.MANDATORY_SECTIONS))).select("doc_id", "section", "line_no", "place")
+
+
+@query(f"{ALL} SELECT doc_id, severity, section, rule_id, n FROM ef WHERE check_seq = 10")
+def standards_consistency(spark, sf_dir):
+    """Standards that are declared and not used, or used and not declared."""
+    return all_findings(spark, sf_dir).where("check_seq = 10").select("doc_id", "severity", "section", "rule_id", "n")
+
+
 _rule = "regexp_extract(rule_id, '^([RP][0-9]+)', 1)"
 
 

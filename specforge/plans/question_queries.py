@@ -176,7 +176,7 @@ def acronym_lookup(spark, sf_dir):
     return retrieval.acronym_hits(fixture(spark, sf_dir, "fx_questions"), specifications(spark, sf_dir)).select("q_id", "chunk_key", "rank")
 
 
-FILES = """fn AS (SELECT DISTINCT file_name FROM ck), fs AS (SELECT file_name, list_filter(regexp_split_to_array(trim(regexp_replace(lower(regexp_replace(file_name, '\.[^.]*$', '')), '[_\-]+', ' ', 'g')), '\s+'), lambda t: length(t) > 2) AS stem FROM fn),
+FILES = r"""fn AS (SELECT DISTINCT file_name FROM ck), fs AS (SELECT file_name, list_filter(regexp_split_to_array(trim(regexp_replace(lower(regexp_replace(file_name, '\.[^.]*$', '')), '[_\-]+', ' ', 'g')), '\s+'), lambda t: length(t) > 2) AS stem FROM fn),
   fq AS MATERIALIZED (SELECT q_id, file_name FROM fx_questions, fs WHERE len(stem) > 0 AND len(list_filter(stem, lambda t: contains(lower(question), t))) >= CASE WHEN len(stem) > 2 THEN 2 ELSE 1 END
     QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY length(file_name) DESC, file_name) = 1)"""
 
