@@ -227,3 +227,9 @@ def status_table(found: DataFrame) -> DataFrame:
     colour = F.element_at(F.create_map(*[F.lit(x) for kv in COLOURS.items() for x in kv]), F.col("status"))
     pct = F.floor(F.col("n") * 10000 / F.col("_all") + 0.5) / 100
     return counts.join(total, "file_name").select("file_name", F.array_position(names, F.col("status")).cast("int").alias("place"), "status", "n", pct.alias("percentage"), colour.alias("colour"))
+
+
+def status_report(found: DataFrame) -> DataFrame:
+    """(file_name, place, status, n): statuses of each file, the most frequent first (ties by name): one small group a file."""
+    counts = found.groupBy("file_name", F.col("category").alias("status")).agg(F.count("*").alias("n"))
+    return counts.withColumn("place", F.row_number().over(Window.partitionBy("file_name").orderBy(F.desc("n"), "status")))

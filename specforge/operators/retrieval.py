@@ -172,6 +172,12 @@ def progressive(scored: DataFrame, k: int = 5, threshold: float = 0.50) -> DataF
     return top(scored.withColumn("_limit", limit).where(F.col("score") >= F.col("_limit")).drop("_limit"), k)
 
 
+def first_matches(ranked: DataFrame) -> DataFrame:
+    """(chunk_key, q_id, score): of chunks that several queries match, the match of the first query, so that a reference is shown once."""
+    best = F.min_by(F.struct("q_id", "score"), F.struct("q_id", "rank")).alias("m")
+    return ranked.groupBy("chunk_key").agg(best).select("chunk_key", "m.q_id", "m.score")
+
+
 def reciprocal_rank_fusion(first: DataFrame, second: DataFrame, k: int = 5, constant: int = 60) -> DataFrame:
     """Extension for hybrid search: sum of 1 / (constant + rank) over both rankings."""
     every = first.select("q_id", "chunk_key", "rank").unionByName(second.select("q_id", "chunk_key", "rank"))

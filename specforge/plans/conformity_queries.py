@@ -319,3 +319,9 @@ def matrix_status_table(spark, sf_dir):
 def matrix_findings(spark, sf_dir):
     """Third report table: OK items whose comment doubts it."""
     return C.ok_suspicions(matrix_path(spark, sf_dir)).select("file_name", "row_index", "req_id", "conformity_raw", "comment", "score", "severity")
+
+
+@query(f"{MATRIX} SELECT file_name, category AS status, count(*) AS n, row_number() OVER (PARTITION BY file_name ORDER BY count(*) DESC, category) AS place FROM it GROUP BY file_name, category")
+def matrix_status_report(spark, sf_dir):
+    """Statuses of each file by count."""
+    return matrices.status_report(matrix_path(spark, sf_dir))

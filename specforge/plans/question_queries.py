@@ -231,3 +231,11 @@ def cosine_threshold(spark, sf_dir):
 def progressive_threshold(spark, sf_dir):
     s = retrieval.cosine_scores(query_vectors(spark, sf_dir), vectors(spark, sf_dir), 0.25).where("q_id <> chunk_key")
     return retrieval.progressive(s).select("q_id", "chunk_key", "rank")
+
+
+@query(f"""{COS}, t AS (SELECT q_id, chunk_key, raw, row_number() OVER (PARTITION BY q_id ORDER BY raw DESC, chunk_key) AS rank FROM s WHERE raw >= 0.2 QUALIFY rank <= 5)
+  SELECT chunk_key, q_id, CAST(floor(raw * 1e6 + 0.5) AS BIGINT) AS micros FROM t QUALIFY row_number() OVER (PARTITION BY chunk_key ORDER BY q_id, rank) = 1""")
+def matched_references(spark, sf_dir):
+    """References that chunks of a document match, each once, with the match that was met first; scores in millionths."""
+    d = retrieval.first_matches(retrieval.cosine_topk(query_vectors(spark, sf_dir), vectors(spark, sf_dir), threshold=0.2))
+    return d.select("chunk_key", "q_id", F.floor(F.col("score") * 1e6 + 0.5).alias("micros"))
