@@ -10,7 +10,6 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -69,15 +68,21 @@ def placed(docs: DataFrame) -> DataFrame:
     """(_doc, _file, _row): rows of docs as structs, whatever their columns are called, and the place of each.
 
     A place is the file (a hash of its path) and the row's index there, so it is the same at every reading and costs no pass over
-    the texts.  Rows that don't come straight from files are written first.
+    the texts.  Rows that don't come straight from files, one of docs for one of a file, are written first.
     """
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
-    try:
-        if "_metadata" in docs.columns:
-            raise AnalysisException("a column hides the files' own")
+    if "_metadata" not in docs.columns and read_straight(docs):
         return docs.select(whole, *_places())
-    except AnalysisException:
-        return written(docs.select(whole), "placed").select("_doc", *_places())
+    return written(docs.select(whole), "placed").select("_doc", *_places())
+
+
+def read_straight(docs: DataFrame) -> bool:
+    """Whether docs are columns and rows of files, without anything between that could repeat a row."""
+    plan = docs._jdf.queryExecution().analyzed()
+    kind = lambda: plan.getClass().getSimpleName()
+    while kind() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().apply(0)
+    return kind() == "LogicalRelation" and plan.relation().getClass().getSimpleName() == "HadoopFsRelation"
 
 
 def _places() -> list[Column]:

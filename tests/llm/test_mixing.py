@@ -103,3 +103,14 @@ def test_columns_with_the_operators_own_names(spark):
     d = spark.createDataFrame([(k, "some words of text " * 40, "a", "_id", 1, 2, "m") for k in range(8)], "doc_id long, text string, source string, _id string, _copies long, _row long, _metadata string")
     out = M.mix_documents(d)
     assert out.columns == d.columns and {r._id for r in out.collect()} == {"_id"}
+
+
+def test_places_are_those_of_files(spark, docs, rows, repeated):
+    """Files' rows are known by where they stand; rows of joins and unions are written first, so every row has a place of its own."""
+    from specforge.llm.common import placed, read_straight
+
+    assert read_straight(docs) and read_straight(docs.where("doc_id > 3").select("doc_id", "text"))
+    twice = docs.join(spark.createDataFrame([(1, "a"), (1, "b")], "doc_id long, more string"), "doc_id")
+    for d, straight in ((docs, True), (repeated, False), (twice, False), (docs.limit(3), False)):
+        assert read_straight(d) == straight
+        assert placed(d).select("_file", "_row").distinct().count() == d.count()
