@@ -157,14 +157,19 @@ def chosen_sheets(scored: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- signals
+SIGNALS = "array<struct<label:string,weight:int,matched:string>>"
+
+
 def signals(comment: Column, table: tuple) -> Column:
     """array<struct<label, weight, matched>>: first match of each pattern that is found in the normalised comment."""
-    n = normalize(comment)
-    found = [F.struct(F.lit(label).alias("label"), F.lit(weight).alias("weight"), F.regexp_extract(n, f"({pattern})", 1).alias("matched"), n.rlike(pattern).alias("hit")) for pattern, label, weight in table]
-    hits = F.filter(F.array(*found), lambda s: s["hit"])
-    return F.when(any_of(n, [p for p, _, _ in table]), F.transform(hits, lambda s: F.struct(s["label"].alias("label"), s["weight"].alias("weight"), s["matched"].alias("matched")))).otherwise(
-        F.array().cast("array<struct<label:string,weight:int,matched:string>>")
-    )
+    return bound(normalize(comment), lambda n: signals_in(n, table))
+
+
+def signals_in(n: Column, table: tuple) -> Column:
+    """Signals of a comment that is normalised already; a pattern's match is taken out only where it is found."""
+    found = [F.struct(F.lit(label).alias("label"), F.lit(weight).alias("weight"), F.when(n.rlike(pattern), F.regexp_extract(n, f"({pattern})", 1)).alias("matched")) for pattern, label, weight in table]
+    hits = F.filter(F.array(*found), lambda s: s["matched"].isNotNull())
+    return F.when(any_of(n, [p for p, _, _ in table]), hits.cast(SIGNALS)).otherwise(F.array().cast(SIGNALS))
 
 
 def score(found: Column) -> Column:
@@ -178,19 +183,23 @@ def severity(points: Column) -> Column:
 DOMAIN_OK = r"^(?:(?:" + "|".join(lexicon.DOMAIN_CODES) + r")\s*:\s*ok[\s,;.]*)+$"
 
 
-def is_domain_only(comment: Column) -> Column:
-    """Comments that only assign domains, or say ok per domain."""
-    n = normalize(comment)
+def is_domain_only(n: Column) -> Column:
+    """Normalised comments that only assign domains, or say ok per domain."""
     parts = F.filter(F.transform(F.split(n, "/"), lambda c: F.trim(c)), lambda p: p != "")
-    return (F.size(parts) > 0) & F.forall(parts, lambda p: p.isin(*lexicon.DOMAIN_CODES)) | n.rlike(DOMAIN_OK)
+    return bound(parts, lambda own: (F.size(own) > 0) & F.forall(own, lambda p: p.isin(*lexicon.DOMAIN_CODES))) | n.rlike(DOMAIN_OK)
 
 
 def ok_suspicions(found: DataFrame) -> DataFrame:
-    """Findings on OK items whose comment doubts it, worst first when ordered by (severity_rank, -score, row_index)."""
-    doubted = found.where((F.col("category") == "OK") & (strip(F.col("comment")) != "") & ~is_domain_only(F.col("comment")))
-    d = doubted.withColumn("signals", signals(F.col("comment"), lexicon.SUSPICIONS)).where(F.size("signals") > 0)
-    d = d.withColumn("score", score(F.col("signals"))).withColumn("severity", severity(F.col("score"))).where("severity <> 'info'")
-    return d.withColumn("severity_rank", F.when(F.col("severity") == "error", 0).otherwise(1))
+    """Findings on OK items whose comment doubts it, worst first when ordered by (severity_rank, -score, row_index).
+
+    A generator of one row or none: the optimiser copies no part of it into filters, so each comment is searched once.
+    """
+
+    def weighed(s: Column) -> Column:
+        return bound(score(s), lambda p: F.struct(s.alias("signals"), p.alias("score"), severity(p).alias("severity"), F.when(p >= 4, 0).otherwise(1).alias("severity_rank")))
+
+    judged = bound(normalize(F.col("comment")), lambda n: F.when((n != "") & ~is_domain_only(n), bound(signals_in(n, lexicon.SUSPICIONS), weighed)))
+    return found.where("category = 'OK'").select("*", F.inline(F.filter(F.array(judged), lambda x: x["score"] >= 2)))
 
 
 def inconsistencies(found: DataFrame) -> DataFrame:
@@ -200,7 +209,7 @@ def inconsistencies(found: DataFrame) -> DataFrame:
     """
     ok = found.where("category = 'OK'").withColumn("_told", strip(F.col("comment")) != "")
     ok = ok.withColumn("_looked", F.col("_told") & ~domains_only(F.col("comment")))
-    ok = ok.withColumn("signals", F.when(F.col("_looked"), signals(F.col("comment"), lexicon.NEGATIVE_SIGNALS)).otherwise(F.array().cast("array<struct<label:string,weight:int,matched:string>>")))
+    ok = ok.withColumn("signals", F.when(F.col("_looked"), signals(F.col("comment"), lexicon.NEGATIVE_SIGNALS)).otherwise(F.array().cast(SIGNALS)))
     ok = ok.withColumn("score", score(F.col("signals")))
     first = F.col("column_set") == 0 if "column_set" in found.columns else F.lit(True)
     silent = ~F.col("_told") & first & ~normalize(F.col("conformity_raw")).rlike(r"\bok\b")

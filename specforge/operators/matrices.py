@@ -1,7 +1,8 @@
 """The matrix path: from the rows of spreadsheets to one item per requirement row.
 
 Header roles make one small row per file; every row of a file then meets that row, and all the rest is expressions over its cells.  Files are
-many and rows are more, so the only exchanges are groupings of few sums a file and column.
+many and rows are more, so the only exchanges are groupings of few sums a file and column: what a file's row holds goes through them as a key,
+so that every pass over the rows is made once, and the rows stay where they are unless files are more than FEW.
 """
 
 from __future__ import annotations
@@ -22,11 +23,14 @@ ROLES = {
 }
 VERSION = r"^([a-i]$|v\d+)"
 HEAD_ROWS, SAMPLE_ROWS = 50, 100
-SET = "struct<raw:string,comment:string,col:int,set:int>"
+SET = "struct<raw:string,comment:string,n:string,col:int,set:int>"
+#: Files whose header rows (some hundred bytes each) are sent to every executor; the rows of more files are exchanged by file.
+FEW = 20_000
 
 
-def cell(at: Column, cells: Column | str = "cells") -> Column:
-    return strip(F.coalesce(F.get(F.col(cells) if isinstance(cells, str) else cells, at), F.lit("")))
+def cell(at: Column) -> Column:
+    """A cell of a row whose cells are stripped, or ''."""
+    return F.coalesce(F.get("cells", at), F.lit(""))
 
 
 def first_filled(cols: Column) -> Column:
@@ -58,74 +62,88 @@ def header_columns(rows: DataFrame) -> DataFrame:
     return d.where(F.size("conformity") > 0).withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
-def chosen(rows: DataFrame, headers: DataFrame) -> DataFrame:
-    """Rows of the chosen sheets behind their header, with the columns' places; a row a file is all that is joined."""
-    return rows.drop("sheet_name").join(headers, ["file_name", "sheet_idx"]).where(F.col("row_index") > F.col("header_row"))
+def stripped(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("cells", F.transform("cells", lambda c: strip(F.coalesce(c, F.lit("")))))
+
+
+def chosen(rows: DataFrame, heads: DataFrame, few: bool) -> DataFrame:
+    """Rows of the chosen sheets behind their header, stripped; a row a file is all that is joined."""
+    d = rows.drop("sheet_name").join(F.broadcast(heads) if few else heads, ["file_name", "sheet_idx"])
+    return stripped(d.where(F.col("row_index") > F.col("head.header_row")))
 
 
 def data_ranges(d: DataFrame) -> DataFrame:
-    """(file_name, data_start, data_end): the first row with a value that counts, the last one with any."""
-    looked = F.array_distinct(F.concat(F.array(F.lit(0)), "req", "conformity", "comment"))
-    value = first_filled(looked)
-    begins = (value != "") & ~value.startswith("Template") & ~value.startswith("STOP") & ~F.upper(value).isin(*SUMMARY)
-    filled = F.exists("cells", lambda c: strip(F.coalesce(c, F.lit(""))) != "")
-    ends = d.groupBy("file_name").agg(F.min(F.when(begins, F.col("row_index"))).alias("_start"), F.max(F.when(filled, F.col("row_index"))).alias("_last"), F.first("header_row").alias("_head"))
-    start = F.coalesce("_start", F.col("_head") + 1)
-    return ends.select("file_name", start.alias("data_start"), F.greatest(start, F.coalesce("_last", start)).alias("data_end"))
-
-
-def reclassified(d: DataFrame, headers: DataFrame) -> DataFrame:
-    """headers with columns moved by what their first rows hold: comments that are versions, statuses that are domains; and `assessed`, the
-    status columns of which over a tenth says ok.  d: rows with data_start."""
+    """(file_name, sheet_idx, head, data_start, data_end): the first row with a value that counts, the last one with any."""
+    looked = F.array_distinct(F.concat(F.array(F.lit(0)), "head.req", "head.conformity", "head.comment"))
+    begins = lambda v: (v != "") & ~v.startswith("Template") & ~v.startswith("STOP") & ~F.upper(v).isin(*SUMMARY)
+    filled = F.exists("cells", lambda c: c != "")
+    ends = d.groupBy("file_name", "sheet_idx", "head").agg(F.min(F.when(bound(first_filled(looked), begins), F.col("row_index"))).alias("_start"), F.max(F.when(filled, F.col("row_index"))).alias("_last"))
+    start = F.coalesce("_start", F.col("head.header_row") + 1)
+    return ends.select("file_name", "sheet_idx", "head", start.alias("data_start"), F.greatest(start, F.coalesce("_last", start)).alias("data_end"))
+
+
+def reclassified(d: DataFrame) -> DataFrame:
+    """(file_name, sheet_idx, head, data_start, data_end) with columns moved by what their first rows hold: comments that are versions, statuses
+    that are domains; and `assessed`, the status columns of which over a tenth says ok.  d: rows with head and data range.
+
+    A file has a status column and a row from its start on, so none gets lost.
+    """
     held = d.where(F.col("row_index") >= F.col("data_start"))
     early = F.col("row_index") < F.col("data_start") + SAMPLE_ROWS
-    cells = held.select("file_name", early.alias("early"), F.explode(F.transform(F.array_distinct(F.concat("conformity", "comment")), lambda c: F.struct(c.alias("col"), normalize(cell(c)).alias("n")))).alias("x"))
+    looked = F.array_distinct(F.concat("head.conformity", "head.comment"))
+    of_file = ["file_name", "sheet_idx", "head", "data_start", "data_end"]
+    cells = held.select(*of_file, early.alias("early"), F.explode(F.transform(looked, lambda c: F.struct(c.alias("col"), normalize(cell(c)).alias("n")))).alias("x"))
     n, code = F.col("x.n"), lambda values: F.col("x.n").isin(*values)
-    says_ok = (n.rlike(r":\s*ok") & ~n.contains("nok")) | (n.rlike(r"\b(ok|okay)\b") & ~n.contains("nok") & ~n.contains("not ok"))
+    says_ok = n.contains("ok") & ~n.contains("nok") & (n.rlike(r":\s*ok") | (n.rlike(r"\b(ok|okay)\b") & ~n.contains("not ok")))
     domain = code(lexicon.DOMAIN_CODES)
     status = ~domain & code((*lexicon.OK_VALUES, *lexicon.NOK_VALUES, *lexicon.NA_VALUES))
-    per = cells.where(n != "").groupBy("file_name", F.col("x.col").alias("col")).agg(
-        F.count("*").alias("filled"), F.count_if(says_ok).alias("ok"), F.count_if("early").alias("seen"), F.count_if(F.col("early") & n.rlike(VERSION)).alias("versions"),
-        F.count_if(F.col("early") & domain).alias("domains"), F.count_if(F.col("early") & status).alias("statuses"),
+    filled = n != ""
+    first = filled & F.col("early")
+    per = cells.groupBy(*of_file, F.col("x.col").alias("col")).agg(
+        F.count_if(filled).alias("filled"), F.count_if(says_ok).alias("ok"), F.count_if(first).alias("seen"), F.count_if(first & n.rlike(VERSION)).alias("versions"),
+        F.count_if(first & domain).alias("domains"), F.count_if(first & status).alias("statuses"),
     )
     seen = F.col("seen") > 5
-    marked = per.groupBy("file_name").agg(
+    marked = per.groupBy(*of_file).agg(
         F.collect_set(F.when(seen & (F.col("versions") * 10 > F.col("seen") * 6), F.col("col"))).alias("versioned"),
         F.collect_set(F.when(seen & (F.col("domains") * 2 > F.col("seen")) & (F.col("statuses") * 10 < F.col("seen")), F.col("col"))).alias("domained"),
         F.collect_set(F.when(F.col("ok") * 10 > F.col("filled"), F.col("col"))).alias("okayed"),
     )
     none = F.array().cast("array<int>")
-    h = headers.join(marked, "file_name", "left").withColumns({c: F.coalesce(c, none) for c in ("versioned", "domained", "okayed")})
+    h = marked.select(*of_file, "head.*", "versioned", "domained", "okayed")
     moved = F.filter("comment", lambda c: F.array_contains("versioned", c))
     left = F.filter("comment", lambda c: ~F.array_contains("versioned", c))
     domains = F.when(F.size("conformity") > 1, F.filter("conformity", lambda c: F.array_contains("domained", c))).otherwise(none)
     h = h.withColumns({"_domains": domains, "_left": left, "_moved": F.filter(moved, lambda c: ~F.array_contains("applicable", c))})
     h = h.withColumns({"applicable": F.concat("applicable", "_moved"), "comment": F.concat("_left", F.filter("_domains", lambda c: ~F.array_contains("_left", c))), "conformity": F.filter("conformity", lambda c: ~F.array_contains("_domains", c))})
-    return h.withColumn("assessed", F.filter("conformity", lambda c: F.array_contains("okayed", c))).drop("_domains", "_left", "_moved", "versioned", "domained", "okayed")
+    h = h.withColumns({"assessed": F.filter("conformity", lambda c: F.array_contains("okayed", c)), "two": F.size(F.concat("ok", "nok")) > 0})
+    return h.drop("head", "_domains", "_left", "_moved", "versioned", "domained", "okayed")
 
 
 # ---------------------------------------------------------------- items
 def verdicts(cols: Column) -> Column:
     """struct<nok, ok>: the first customer verdict that says NOK, and the first that says OK (null without)."""
-    filled = F.filter(F.transform(cols, lambda c: cell(c)), lambda v: v != "")
-    is_nok = lambda v: bound(normalize(v), lambda n: n.isin(*lexicon.NOK_VALUES) | n.startswith("nok"))
-    is_ok = lambda v: bound(normalize(v), lambda n: (n.isin(*lexicon.OK_VALUES) | n.rlike(r"\bok\b")) & ~n.contains("nok") & ~n.contains("not ok"))
-    return F.struct(F.get(F.filter(filled, is_nok), F.lit(0)).alias("nok"), F.get(F.filter(filled, is_ok), F.lit(0)).alias("ok"))
+    filled = F.transform(F.filter(F.transform(cols, lambda c: cell(c)), lambda v: v != ""), lambda v: F.struct(v.alias("v"), normalize(v).alias("n")))
+    is_nok = lambda x: x["n"].isin(*lexicon.NOK_VALUES) | x["n"].startswith("nok")
+    is_ok = lambda x: (x["n"].isin(*lexicon.OK_VALUES) | x["n"].rlike(r"\bok\b")) & ~x["n"].contains("nok") & ~x["n"].contains("not ok")
+    first = lambda f, test: F.get(F.filter(f, test), F.lit(0))["v"]
+    return bound(filled, lambda f: F.struct(first(f, is_nok).alias("nok"), first(f, is_ok).alias("ok")))
 
 
 def sets_of() -> Column:
-    """array<struct<raw, comment, col, set>>: status and comment columns side by side, then comments without a status column.
+    """array<struct<raw, comment, n, col, set>>: status and comment columns side by side, then comments without a status column; n: the comment normalised.
 
     A lone comment's set is its place among what was found, which may be that of a status column.
     """
     n = F.when(F.size("comment") > 0, F.least(F.size("conformity"), F.size("comment"))).otherwise(F.size("conformity"))
-    pair = lambda k: F.struct(cell(F.get("conformity", k)).alias("raw"), F.when(k < F.size("comment"), cell(F.get("comment", k))).otherwise("").alias("comment"), F.get("conformity", k).alias("col"), k.alias("set"))
+    said = lambda k: F.when(k < F.size("comment"), cell(F.get("comment", k))).otherwise("")
+    pair = lambda k: bound(said(k), lambda c: F.struct(cell(F.get("conformity", k)).alias("raw"), c.alias("comment"), normalize(c).alias("n"), F.get("conformity", k).alias("col"), k.alias("set")))
     every = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), pair)).otherwise(F.array().cast(f"array<{SET}>"))
     paired = F.filter(every, lambda s: (s["raw"] != "") | (s["comment"] != ""))
     lone = F.filter(F.transform(F.slice("comment", n + 1, F.greatest(F.size("comment"), F.lit(1))), lambda c: F.struct(cell(c).alias("v"), c.alias("c"))), lambda x: x["v"] != "")
 
     def joined(p: Column) -> Column:
-        return F.concat(p, F.transform(lone, lambda x, j: F.struct(F.lit("").alias("raw"), x["v"].alias("comment"), x["c"].alias("col"), (F.size(p) + j).cast("int").alias("set"))))
+        return F.concat(p, F.transform(lone, lambda x, j: F.struct(F.lit("").alias("raw"), x["v"].alias("comment"), normalize(x["v"]).alias("n"), x["c"].alias("col"), (F.size(p) + j).cast("int").alias("set"))))
 
     return bound(paired, joined)
 
@@ -172,16 +190,15 @@ def item_of(req_id: Column, reference: Column, description: Column, found: Colum
 
 def row_items() -> Column:
     """The items of one row: none, or one.  Every part is bound to a name, so it is worked out once."""
-    two = F.size(F.concat("ok", "nok")) > 0
-    none = F.lit("")
+    two, none = F.col("two"), F.lit("")
 
     def built(b: Column) -> Column:
-        lone = F.get(F.filter(F.transform(b["sets"], lambda s: s["comment"]), lambda c: normalize(c).rlike(VERSION)), F.lit(0))
+        lone = F.get(F.filter(b["sets"], lambda s: s["n"].rlike(VERSION)), F.lit(0))["comment"]
         return bound(F.when((b["version"] == "") & ~two, F.coalesce(lone, none)).otherwise(b["version"]), lambda v: told(b, v))
 
     def told(b: Column, v: Column) -> Column:
-        same = lambda c: (v != "") & ((c == v) | (normalize(c) == normalize(v)))
-        own = F.filter(F.transform(b["sets"], lambda s: s["comment"]), lambda c: (c != "") & ~same(c))
+        other = bound(normalize(v), lambda n: F.filter(b["sets"], lambda s: (s["comment"] != "") & ~((v != "") & ((s["comment"] == v) | (s["n"] == n)))))
+        own = F.transform(other, lambda s: s["comment"])
         every = F.filter(F.transform("comment", lambda c: cell(c)), lambda c: c != "")
         comment = F.array_join(F.when(two, every).otherwise(F.array_distinct(own)), " | ")
         return bound(F.struct(comment.alias("comment"), F.when(two, two_column_status(b)).otherwise(standard_status(b)).alias("status")), lambda x: done(b, v, x))
@@ -198,7 +215,7 @@ def row_items() -> Column:
     named = bound(first_filled(F.col("req")), lambda n: F.when(n != "", n).otherwise(cell(F.lit(0))))
     from_sheet = bound(first_filled(F.col("applicable")), lambda n: F.when(n != "", n).otherwise(first_filled(F.col("version"))))
     base = F.struct(named.alias("req_id"), from_sheet.alias("version"), sets_of().alias("sets"), verdicts(F.col("verdict")).alias("verdict"), first_filled(F.col("ok")).alias("ok"), first_filled(F.col("nok")).alias("nok"))
-    blank = ~F.exists("cells", lambda c: strip(F.coalesce(c, F.lit(""))) != "")
+    blank = ~F.exists("cells", lambda c: c != "")
     return F.when(blank, F.array(item_of(none, none, none, status(none, "EMPTY"), none, none))).otherwise(bound(base, told_apart))
 
 
@@ -208,10 +225,11 @@ def items(rows: DataFrame) -> DataFrame:
     Rows (file_name, sheet_idx, sheet_name, row_index, cells) of spreadsheets; blank rows among the data count as EMPTY items.
     """
     headers = header_columns(rows)
-    behind = chosen(rows, headers)
-    ranges = data_ranges(behind)
-    final = reclassified(behind.join(ranges, "file_name"), headers)
-    d = chosen(rows, final).join(ranges, "file_name").where(F.col("row_index").between(F.col("data_start"), F.col("data_end")))
+    few = headers.count() <= FEW
+    ranges = data_ranges(chosen(rows, headers.select("file_name", "sheet_idx", F.struct(*headers.columns[2:]).alias("head")), few))
+    final = reclassified(chosen(rows, ranges, few))
+    d = rows.drop("sheet_name").join(F.broadcast(final) if few else final, ["file_name", "sheet_idx"])
+    d = stripped(d.where(F.col("row_index").between(F.col("data_start"), F.col("data_end"))))
     return d.select("file_name", "sheet_name", "row_index", F.inline(row_items()))
 
 
