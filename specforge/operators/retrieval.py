@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from specforge.functions.text import confidence_from_scores, content_tokens, tokenize
+from specforge.functions.text import bound, confidence_from_scores, content_tokens, tokenize
 from specforge.operators import qa
+from specforge.tables import written
 
 BUILT_IN = ("spec_extracted.txt", "template_extracted.txt")
 
@@ -30,11 +31,16 @@ def top(scored: DataFrame, k: int, by: str = "q_id", ties: str = "chunk_key") ->
 
 def phrase_bonus(tokens: Column, text: Column) -> Column:
     """0.15 for every two neighbours among the sorted query tokens that first occur within 40 characters of one another."""
-    q = F.array_sort(tokens)
-    place = lambda t: F.call_function("instr", text, t)
-    pairs = F.when(F.size(q) > 1, F.sequence(F.lit(0), F.size(q) - 2)).otherwise(F.array().cast("array<int>"))
-    close = lambda i: (place(F.get(q, i)) > 0) & (place(F.get(q, i + 1)) > 0) & (F.abs(place(F.get(q, i)) - place(F.get(q, i + 1))) <= 40)
-    return F.size(F.filter(pairs, close)) * 0.15
+    first = lambda low: F.transform(F.array_sort(tokens), lambda t: F.call_function("instr", low, t))
+    close = lambda at: F.zip_with(at, F.slice(at, 2, F.greatest(F.size(at), F.lit(1))), lambda x, y: F.when((x > 0) & (y > 0) & (F.abs(x - y) <= 40), 1))
+    return bound(bound(text, first), lambda at: F.size(F.array_compact(close(at)))) * 0.15
+
+
+def tokenized(chunks: DataFrame) -> DataFrame:
+    """chunks with tokens of text and section, unless they have them."""
+    if "tokens" in chunks.columns:
+        return chunks
+    return chunks.withColumns({"tokens": content_tokens(F.col("text")), "sec": tokenize(F.lower(F.coalesce("section", F.lit(""))))})
 
 
 def keyword_scores(questions: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -44,7 +50,7 @@ def keyword_scores(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     looked up for the questions' tokens only.
     """
     q = questions.select("q_id", content_tokens(F.col("question")).alias("q_tokens")).where(F.size("q_tokens") > 0)
-    c = chunks.select("chunk_key", "file_name", "text", content_tokens(F.col("text")).alias("tokens"), tokenize(F.lower(F.coalesce("section", F.lit("")))).alias("sec"))
+    c = tokenized(chunks).select("chunk_key", "file_name", "text", "tokens", "sec")
     n = c.agg(F.count("*").alias("n_chunks"))
     asked = q.select("q_id", "q_tokens", F.explode("q_tokens").alias("token"))
     words = asked.select("token").distinct()
@@ -63,7 +69,8 @@ def keyword_scores(questions: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def keyword_topk(questions: DataFrame, chunks: DataFrame, k: int = 5, least: float = 0.10) -> DataFrame:
-    return top(keyword_scores(questions, chunks).where(F.col("score") >= least), k)
+    """The k best of at least `least`; what is below ranks behind, so it goes after the ranking and scores are worked out once."""
+    return top(keyword_scores(questions, chunks), k).where(F.col("score") >= least)
 
 
 #: Query vectors that are held at once.
@@ -187,13 +194,15 @@ def reciprocal_rank_fusion(first: DataFrame, second: DataFrame, k: int = 5, cons
 def acronym_hits(questions: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
     """First chunks that spell out the acronym a question asks for: 'X (Full Name)', 'X - Full' or 'Full Name (X)'.
 
-    Only chunks that hold the acronym as a word meet a question (an equi-join on words), whatever the number of questions.
+    Only chunks that hold the acronym as a word meet a question (an equi-join on words), whatever the number of questions; and only those with
+    a bracket, dash or colon at it, which is quickly seen, are searched for names, as that goes back over six words at each word.
     """
     asked = questions.withColumn("acronym", F.upper(F.regexp_extract("question", "(?i)" + qa.ACRONYM, 1))).where("acronym <> ''").select("q_id", "acronym")
     words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(r"([A-Za-z][A-Za-z0-9_]{1,10})"), F.lit(1)), F.upper))
     held = chunks.select("chunk_key", "text", F.explode(words).alias("acronym")).join(asked, "acronym")
     spelled = F.concat(F.lit(r"(?i)(?:\b"), "acronym", F.lit(r"\s*[\(—\-:]\s*([A-Z][^\)]{3,60})|\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,5})\s*\(\s*"), "acronym", F.lit(r"\s*\))"))
-    hits = held.where(F.call_function("rlike", F.col("text"), spelled))
+    marked = F.concat(F.lit(r"(?i)\b"), "acronym", F.lit(r"\s*[\(—\-:]|\(\s*"), "acronym", F.lit(r"\s*\)"))
+    hits = held.where(F.call_function("rlike", F.col("text"), marked) & F.call_function("rlike", F.col("text"), spelled))
     return top(hits.select("q_id", "chunk_key", F.lit(2.0).alias("score")), k)
 
 
@@ -255,7 +264,9 @@ def answers(questions: DataFrame, chunks: DataFrame) -> DataFrame:
 
     Refused, unclear and validation questions end at once.  Others take the first chunks of the file they name (overview), chunks that
     spell out an acronym, or the best by keywords; without any they are guidance, if they ask how to write a section, else not found.
+    Every way reads the chunks, so they and their tokens are made once and written.
     """
+    chunks = written(tokenized(chunks), "passages")
     q = questions.select("q_id", "question", qa.intent(F.col("question")).alias("intent"), qa.is_guidance(F.col("question")).alias("guided"))
     open_ = q.where(F.col("intent").isin("overview", "search"))
     named = file_questions(open_.where("intent = 'overview'"), chunks.select("file_name").distinct())

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from specforge import lexicon
 from specforge.functions import text as T
-from specforge.operators import conformity, matrices
-from specforge.plans import conformity_queries
+from specforge.operators import chunking, conformity, matrices, retrieval
+from specforge.plans import conformity_queries, question_queries
+from specforge.tables import written
 
 
 def plan(d):
@@ -47,3 +48,41 @@ def test_strip_and_normalize_as_patterns(spark):
     whole = F.regexp_replace(F.translate(F.regexp_replace(F.lower(F.coalesce("t", F.lit(""))), r"^\s+|\s+$", ""), T.ACCENTED, T.PLAIN), r"\s+", " ")
     for r in d.select(T.strip(F.col("t")).alias("s"), plain.alias("p"), T.normalize(F.col("t")).alias("n"), whole.alias("w")).collect():
         assert (r.s, r.n) == (r.p, r.w)
+
+
+def test_passages_of_long_documents(spark):
+    """No fold that copies what it has gathered at every line; a document of 60,000 lines beside odd ones, ids of another type."""
+    lines = [("1.2 Roles", "word " * 30, "", "x y ")[k % 4] for k in range(60_000)]
+    d = spark.createDataFrame([("long", "\n".join(lines)), ("none", None), ("blank", " \n\n"), ("bare", "SCOPE OF WORK")], "doc_id string, text string")
+    out = chunking.with_overlap(d)
+    assert "aggregate(" not in plan(out)
+    got = {(r.doc_id, r.chunk_id): (r.section, r.text) for r in out.collect()}
+    paragraphs, want, held = ["x y"] * 15_000 + ["word " * 29 + "word"] * 15_000, [], []
+    paragraphs[::2], paragraphs[1::2] = paragraphs[15_000:], paragraphs[:15_000]
+    for p in paragraphs:
+        if held and sum(map(len, held)) + len(p) > 900:
+            want.append(" ".join(held))
+            tail = []
+            while held and sum(map(len, tail)) + len(held[-1]) <= 180:
+                tail.insert(0, held.pop())
+            held = tail
+        held.append(p)
+    assert got == {("long", k): ("1.2 Roles", t) for k, t in enumerate([*want, " ".join(held)])}
+
+
+def test_acronyms_are_marked_before_names_are_searched(spark):
+    """What the search for names finds, found behind the quick test too; and that test stands first."""
+    texts = ["ASU: Alarm Siren Unit", "the Alarm Siren Unit ( asu ) rings", "ASU rings (asu", "asu — Alarm", "XASU: Alarm Siren", "Alarm ASU", "Unit (ASU)", "Alarm Unit\n(ASU)", "asu(alarm siren)", "ASU-al", "ASU \t- alarms"]
+    chunks = spark.createDataFrame(list(enumerate(texts)), "chunk_key long, text string")
+    asked = spark.createDataFrame([(1, "What does ASU stand for?"), (2, "nothing")], "q_id int, question string")
+    hits = retrieval.acronym_hits(asked, chunks, k=20)
+    spelled = re.compile(r"\bASU\s*[\(—\-:]\s*([A-Z][^\)]{3,60})|\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,5})\s*\(\s*ASU\s*\)", re.IGNORECASE)
+    assert sorted(r.chunk_key for r in hits.collect()) == [k for k, t in enumerate(texts) if spelled.search(t)]
+    assert plan(hits).count("RLIKE") == 2
+
+
+def test_a_question_reads_chunks_that_were_made_once(spark, sf_dir, monkeypatch):
+    made = []
+    monkeypatch.setattr(retrieval, "written", lambda d, what: made.append(what) or written(d, what))
+    d = question_queries.ask_pipeline(spark, sf_dir)
+    assert made == ["passages"] and "part.parquet" not in " ".join(d.inputFiles()) and "MapInArrow" not in plan(d)
